@@ -2,5 +2,6 @@
 
 from epochwise.plans import (  # noqa: F401
     projections,
+    sequences,
 )
 from epochwise.plans.base import ORACLES, QUERIES  # noqa: F401
