@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
 
@@ -66,19 +67,19 @@ def fisher_value(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, mass[weight <= 1e-9].sum() / mass.sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Two-sided normal p value."""
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0))).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = t.notna() & df.notna()
     return pd.Series([t_tail_value(x, k) if good else None for x, k, good in zip(t, df, ok, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     ok = a.notna() & b.notna() & c.notna() & d.notna()
     rows = zip(a, b, c, d, ok, strict=True)

@@ -18,7 +18,7 @@ from epochwise.functions.hashing import stable_seed, uniform
 from epochwise.functions.numbers import ratio
 from epochwise.operators.joins import beside_control
 from epochwise.operators.longitudinal import meets_threshold
-from epochwise.operators.ranks import split_points
+from epochwise.operators.ranks import piece_of, small_side, split_points
 
 
 def moments(rows: DataFrame, by: list[str], value="value") -> DataFrame:
@@ -74,11 +74,11 @@ def fisher_p(hits="hits", n="n", control_hits="control_hits", control_n="control
     return tails.fisher_two_sided(a, F.col(n) - a, c, F.col(control_n) - c)
 
 
-def mann_whitney(rows: DataFrame, control: str, by: list[str], value="value", arm="arm", parts=512) -> DataFrame:
+def mann_whitney(rows: DataFrame, control: str, by: list[str], value="value", arm="arm", parts: int | None = None) -> DataFrame:
     """U of each arm against control, with tie correction and normal p.
 
     Equal values are collapsed first.  Distinct values are cut into ``parts``
-    ranges; ranks run inside a range, and each range adds the control count of
+    ranges (from the row count when not given); ranks run inside a range, and each range adds the control count of
     the ranges below it, so no task ever orders the whole sample.
     """
     clean = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
@@ -86,9 +86,10 @@ def mann_whitney(rows: DataFrame, control: str, by: list[str], value="value", ar
     own = F.when(is_control, F.col("n")).otherwise(0)
     cells = clean.groupBy(*by, arm, value).agg(F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("c", F.max(own).over(W.partitionBy(*by, value)))
-    cells = cells.join(split_points(clean, by, value, parts), by).withColumn(
-        "piece", F.size(F.filter("_points", lambda p: p < F.col(value)))
-    )
+    if parts is None:
+        # about 200,000 rows to a range; small samples stay in one
+        parts = max(1, min(512, clean.count() // 200_000))
+    cells = cells.join(small_side(split_points(clean, by, value, parts)), by).withColumn("piece", piece_of("_points", value))
     upto = W.partitionBy(*by, "piece").orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow)
     cells = cells.withColumn("below", F.sum(own).over(upto) - F.col("c"))
 

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from epochwise.session import cut_lineage
 
-def block_row_number(df: DataFrame, group: list[str], order: list[str], block: Column, name="rn") -> DataFrame:
+
+def block_row_number(df: DataFrame, group: list[str], order: list[str], block: Column, name="rn", total: str | None = None) -> DataFrame:
     """``row_number() over (partition by group order by order)``, split by ``block``.
 
-    ``block`` is a deterministic expression that never decreases along
+    ``total`` also adds the group's row count under that name.  ``block`` is a deterministic expression that never decreases along
     ``order`` (a key range such as ``floor(id / 4096)``, or a text prefix).
     The unit of work is one block; the window over block counts sees one row
     per block.
@@ -25,7 +27,10 @@ def block_row_number(df: DataFrame, group: list[str], order: list[str], block: C
     sizes = df.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn(
         "_offset", F.coalesce(F.sum("_n").over(before.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_n")
+    )
+    if total:
+        offsets = offsets.withColumn(total, F.sum("_n").over(before))
+    offsets = offsets.drop("_n")
     inside = F.row_number().over(W.partitionBy(*group, "_block").orderBy(*order))
     return (
         df.join(offsets, [*group, "_block"]).withColumn(name, (inside + F.col("_offset")).cast("bigint")).drop("_block", "_offset")
@@ -35,53 +40,89 @@ def block_row_number(df: DataFrame, group: list[str], order: list[str], block: C
 def split_points(df: DataFrame, group: list[str], value: str, parts: int) -> DataFrame:
     """Approximate quantiles per group: one mergeable summary row, any group size."""
     probs = [i / parts for i in range(1, parts)]
-    return df.groupBy(*group).agg(F.percentile_approx(value, probs, 4 * parts).alias("_points"))
+    points = F.percentile_approx(value, probs, 4 * parts) if probs else F.array().cast("array<double>")
+    return df.groupBy(*group).agg(points.alias("_points"))
+
+
+def piece_of(points: str, value: str) -> Column:
+    """Index of the piece a value falls into: the number of cut points below it."""
+    return F.size(F.filter(points, lambda p: p < F.col(value)))
+
+
+SMALL_SIDE_ROWS = 10_000
+DIRECT_ROWS = 2_000_000
+
 
+def small_side(df: DataFrame) -> DataFrame:
+    """Materialise an aggregate, and broadcast it only if its row count allows.
 
-def order_statistic(df: DataFrame, value: str, rank: Column, group: list[str], name="value", rounds=2, parts=256) -> DataFrame:
+    Larger results keep the ordinary shuffled join.
+    """
+    kept = cut_lineage(df)
+    few = kept.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS
+    return F.broadcast(kept) if few else kept
+
+
+def order_statistic(df: DataFrame, value: str, rank: Column, group: list[str], name="value", parts=256, direct=DIRECT_ROWS) -> DataFrame:
     """Exact k-th smallest value per group (``rank`` is 1-based, from column ``n``).
 
-    Each round cuts the surviving range at approximate quantiles, counts the
-    pieces, and keeps the piece that holds the rank.  The last step ranks the
-    distinct values of one piece.  Cut points travel with the chosen piece as
-    data, so both passes see the same cuts.
+    While the largest group holds more than ``direct`` candidate rows, a round
+    cuts the range still in play at approximate quantiles, counts the pieces
+    and keeps the piece that holds the rank.  The last step ranks the distinct
+    values left.  The chosen range is checkpointed, so every pass uses one set
+    of cut points.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
-    if not group:
-        rows, group, constant = rows.withColumn("_g", F.lit(0)), ["_g"], True
-    else:
-        constant = False
-    target = (
-        rows.groupBy(*group)
+    rows = df.where(F.col(value).isNotNull()).select(*(group or [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_v"))
+    keys = group or ["_g"]
+    nothing = F.lit(None).cast("double")
+    target = small_side(
+        rows.groupBy(*keys)
         .agg(F.count("_v").alias("n"))
-        .select(*group, rank.cast("bigint").alias("_k"), F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"))
+        .select(*keys, "n", rank.cast("bigint").alias("_k"), nothing.alias("_lo"), nothing.alias("_hi"))
     )
-    live = rows
-    for _ in range(rounds):
-        live = _inside(rows, target, group)
-        points = split_points(live, group, "_v", parts)
-        piece = live.join(points, group).select(
-            *group,
-            # index of the piece: number of cut points below the value
-            F.size(F.filter("_points", lambda p: p < F.col("_v"))).alias("_i"),
-            "_points",
-            "_v",
+    last = None
+    while True:
+        largest = target.agg(F.max("n").alias("m")).first()["m"] or 0
+        # a piece of equal values cannot shrink further; it collapses to one row below
+        if largest <= direct or largest == last:
+            break
+        last = largest
+        live = _inside(rows, target, keys)
+        points = small_side(split_points(live, keys, "_v", parts))
+        pieces = live.join(points, keys).withColumn("_i", piece_of("_points", "_v"))
+        sizes = pieces.groupBy(*keys, "_i").agg(F.count("_v").alias("n"))
+        run = W.partitionBy(*keys).orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+        sizes = sizes.withColumn("_to", F.sum("n").over(run)).withColumn("_from", F.col("_to") - F.col("n"))
+        hit = (
+            sizes.join(target.drop("n"), keys)
+            .where((F.col("_k") > F.col("_from")) & (F.col("_k") <= F.col("_to")))
+            .join(points, keys)
         )
-        sizes = piece.groupBy(*group, "_i").agg(F.count("_v").alias("_n"), F.any_value("_points").alias("_points"))
-        run = W.partitionBy(*group).orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
-        sizes = sizes.withColumn("_to", F.sum("_n").over(run)).withColumn("_from", F.col("_to") - F.col("_n"))
-        chosen = sizes.join(target, group).where((F.col("_k") > F.col("_from")) & (F.col("_k") <= F.col("_to")))
-        target = chosen.select(
-            *group,
-            (F.col("_k") - F.col("_from")).alias("_k"),
-            F.when(F.col("_i") > 0, F.try_element_at("_points", F.greatest(F.col("_i"), F.lit(1)))).otherwise(F.col("_lo")).alias("_lo"),
-            F.coalesce(F.try_element_at("_points", F.col("_i") + 1), F.col("_hi")).alias("_hi"),
+        below = F.when(F.col("_i") > 0, F.try_element_at("_points", F.greatest(F.col("_i"), F.lit(1))))
+        above = F.try_element_at("_points", F.col("_i") + 1)
+        target = small_side(
+            hit.select(
+                *keys, "n", (F.col("_k") - F.col("_from")).alias("_k"),
+                F.coalesce(below, F.col("_lo")).alias("_lo"), F.coalesce(above, F.col("_hi")).alias("_hi"),
+            )
         )
-    counts = _inside(rows, target, group).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    run = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.withColumn("_to", F.sum("_n").over(run)).join(target, group)
-    hit = ranked.where((F.col("_k") <= F.col("_to")) & (F.col("_k") > F.col("_to") - F.col("_n")))
-    return hit.select(*([] if constant else group), F.col("_v").alias(name))
+    counts = _inside(rows, target, keys).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    run = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.withColumn("_to", F.sum("_n").over(run)).join(target, keys)
+    found = ranked.where((F.col("_k") <= F.col("_to")) & (F.col("_k") > F.col("_to") - F.col("_n")))
+    return found.select(*group, F.col("_v").alias(name))
+
+
+def nearest_rank(q: float) -> Column:
+    """1-based rank of quantile ``q``: half-even rounding of q * (n - 1)."""
+    return F.rint(F.lit(float(q)) * (F.col("n") - 1)) + 1
+
+
+def median(df: DataFrame, value: str, group: list[str], name="median", **kw) -> DataFrame:
+    """Exact median per group, from the two middle order statistics."""
+    low = order_statistic(df, value, F.floor((F.col("n") + 1) / 2), group, "_low", **kw)
+    high = order_statistic(df, value, F.floor((F.col("n") + 2) / 2), group, "_high", **kw)
+    return low.join(high, group).select(*group, ((F.col("_low") + F.col("_high")) / 2.0).alias(name))
 
 
 def _inside(rows: DataFrame, target: DataFrame, group: list[str]) -> DataFrame:

@@ -87,9 +87,8 @@ def safety_table(events: DataFrame, eot: DataFrame, control: str | None) -> Data
     rows = rows.withColumn("grade_distribution", grade_histogram([f"g{g}" for g in range(1, 6)])).drop(*[f"g{g}" for g in range(1, 6)])
     if control is None:
         return rows
-    # the control group's size reaches every row through a one-row side
-    size = arm_sizes(eot).where(F.col("arm") == control).select(F.col("n_subjects").alias("control_size"), F.lit(True).alias("_one"))
-    rows = rows.withColumn("_one", F.lit(True)).join(size, "_one", "left").drop("_one")
+    size = eot.where(F.col("arm") == control).agg(F.count_distinct("subject"))
+    rows = rows.withColumn("control_size", size.scalar())
     hits = F.max(F.when(F.col("arm") == control, F.col("n_subjects_with_event"))).over(W.partitionBy("term"))
     rows = rows.withColumn("control_hits", F.coalesce(F.when(F.col("term").isNotNull(), hits), F.lit(0)))
     has = F.coalesce(F.col("control_size") > 0, F.lit(False))

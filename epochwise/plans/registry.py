@@ -3,5 +3,6 @@
 from epochwise.plans import (  # noqa: F401
     projections,
     sequences,
+    readouts,
 )
 from epochwise.plans.base import ORACLES, QUERIES  # noqa: F401
