@@ -4,5 +4,7 @@ from epochwise.plans import (  # noqa: F401
     projections,
     sequences,
     readouts,
+    statistics,
+    allocations,
 )
 from epochwise.plans.base import ORACLES, QUERIES  # noqa: F401
