@@ -95,7 +95,7 @@ def coerce_grade(text: Column) -> Column:
     words = F.create_map(*[F.lit(v) for kv in GRADE_WORDS.items() for v in kv])
     digit = F.regexp_extract(t, "[1-5]", 0)
     return F.coalesce(
-        F.when(F.isnan(number), F.lit(None)).otherwise(F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.rint(number)))).cast("int"),
+        F.when(number.isNotNull() & ~F.isnan(number), F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.rint(number)))).cast("int"),
         F.try_element_at(words, t),
         digit.try_cast("int"),
         F.lit(1),

@@ -82,6 +82,9 @@ def mann_whitney(rows: DataFrame, control: str, by: list[str], value="value", ar
     the ranges below it, so no task ever orders the whole sample.
     """
     clean = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+    whole, by = by, by or ["_g"]
+    if not whole:
+        clean = clean.withColumn("_g", F.lit(0))
     is_control = F.col(arm) == control
     own = F.when(is_control, F.col("n")).otherwise(0)
     cells = clean.groupBy(*by, arm, value).agg(F.count(F.lit(1)).alias("n"))
@@ -113,7 +116,7 @@ def mann_whitney(rows: DataFrame, control: str, by: list[str], value="value", ar
     total = na + nb
     variance = na * nb / 12.0 * (total + 1 - F.try_divide(F.col("ties") + F.col("control_ties"), total * (total - 1)))
     both = both.withColumn("z", F.when(variance > 0, (F.col("u") - na * nb / 2.0) / F.sqrt(variance)).otherwise(0.0))
-    return both.withColumn("p_value", tails.normal_two_sided("z")).select(*by, arm, "n", "control_n", "u", "z", "p_value")
+    return both.withColumn("p_value", tails.normal_two_sided("z")).select(*whole, arm, "n", "control_n", "u", "z", "p_value")
 
 
 def poisson_steps(limit: int = 12) -> list[float]:

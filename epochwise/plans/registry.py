@@ -6,5 +6,7 @@ from epochwise.plans import (  # noqa: F401
     readouts,
     statistics,
     allocations,
+    traces,
+    reshapes,
 )
 from epochwise.plans.base import ORACLES, QUERIES  # noqa: F401
