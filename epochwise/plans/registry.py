@@ -8,5 +8,7 @@ from epochwise.plans import (  # noqa: F401
     allocations,
     traces,
     reshapes,
+    storage,
+    modelling,
 )
 from epochwise.plans.base import ORACLES, QUERIES  # noqa: F401
