@@ -10,5 +10,6 @@ from epochwise.plans import (  # noqa: F401
     reshapes,
     storage,
     modelling,
+    live,
 )
 from epochwise.plans.base import ORACLES, QUERIES  # noqa: F401
