@@ -113,8 +113,13 @@ def repair(value: Column) -> Column:
     return fixed
 
 
-def _readable(value: Column) -> Column:
-    return F.when(F.try_parse_json(value).isNotNull(), value)
+# Texts that could be JSON at all; prose is never handed to the parser.
+MAYBE_JSON = r"^\s*([\{\[\"]|(-?[0-9][0-9.eE+-]*|true|false|null)\s*$)"
+
+
+def _readable(value: Column, wanted: Column | None = None) -> Column:
+    sensible = value.rlike(MAYBE_JSON) if wanted is None else wanted & value.rlike(MAYBE_JSON)
+    return F.when(F.when(sensible, F.try_parse_json(value)).isNotNull(), value)
 
 
 def read_answers(answers: DataFrame, column="text") -> DataFrame:
@@ -129,7 +134,8 @@ def read_answers(answers: DataFrame, column="text") -> DataFrame:
     a = answers.withColumn("_c0", F.trim(F.when(t.rlike(FENCE), fenced).otherwise(t), F.lit(" \n\t\r")))
     a = a.withColumn("_c1", F.regexp_extract("_c0", FIRST_OBJECT, 1)).withColumn("_c2", F.regexp_extract("_c0", FIRST_ARRAY, 1))
     for i in range(3):
-        a = a.withColumn(f"_s{i}", _readable(F.col(f"_c{i}"))).withColumn(f"_r{i}", _readable(repair(F.col(f"_c{i}"))))
+        a = a.withColumn(f"_s{i}", _readable(F.col(f"_c{i}")))
+        a = a.withColumn(f"_r{i}", _readable(repair(F.col(f"_c{i}")), F.col(f"_s{i}").isNull()))
     for i in range(3):
         left = F.col(f"_s{i}").isNull() & F.col(f"_r{i}").isNull() & F.col(f"_c{i}").rlike(r"^[\{\[]")
         a = a.withColumn(f"_l{i}", literal_to_json(F.when(left, F.col(f"_c{i}"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from epochwise.functions.hashing import stable_hash
+from epochwise.session import cut_lineage
 
 
 def lookup_arm(rows: DataFrame, arms: list[dict], arm="arm") -> DataFrame:
@@ -105,8 +106,27 @@ def cache_misses(requests: DataFrame, cache: DataFrame, key="key") -> DataFrame:
     return requests.select(key).distinct().join(cache.select(key), key, "left_anti")
 
 
+HOT_SHARE = 1000
+
+
+def hot_split_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join a table with hot keys to one that is unique by ``key``.
+
+    A key is hot when it holds more than 1/1000 of the left rows, so there are
+    fewer than 1000 hot keys, and their right-side rows may be broadcast.  Hot
+    left rows then stay where they are; the others take the ordinary join.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = left.agg(F.count(F.lit(1))).scalar()
+    hot = cut_lineage(counts.where(F.col("_n") * HOT_SHARE > total).select(key))
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    of_hot = left.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
+    return of_hot.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
+
+
 def serve_from_cache(requests: DataFrame, cache: DataFrame, key="key") -> DataFrame:
     """Cached response and ``cache_hit`` beside each request; ``cache`` is unique by key."""
-    return requests.join(cache.withColumn("cache_hit", F.lit(True)), key, "left").withColumn(
-        "cache_hit", F.coalesce("cache_hit", F.lit(False))
-    )
+    served = hot_split_join(requests, cache.withColumn("cache_hit", F.lit(True)), key)
+    return served.withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False)))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from epochwise.functions import kinetics as kin
 from epochwise.functions.hashing import uniform
@@ -103,15 +107,25 @@ def feature_vector(epochs_total: int) -> list[Column]:
 
 
 def gram_sums(rows: DataFrame, features: list[str], target: str) -> DataFrame:
-    """One row with every sum of x_i x_j and x_i y: the whole fit needs no more.
+    """Sums of products of all feature and target pairs: (i, j, s) with i <= j.
 
-    A single declarative aggregate with map-side combine; its size depends on
-    the number of features only.
+    The target has the last index.  Each task multiplies its Arrow batches and
+    emits one small matrix, so the shuffle carries tasks x features^2 numbers.
     """
-    k = len(features)
-    aggs = [F.sum(F.col(features[i]) * F.col(features[j])).alias(f"g_{i}_{j}") for i in range(k) for j in range(i, k)]
-    aggs += [F.sum(F.col(f) * F.col(target)).alias(f"b_{i}") for i, f in enumerate(features)]
-    return rows.agg(F.count(F.lit(1)).alias("n"), *aggs)
+    names = [*features, target]
+    k = len(names)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            total += x.T @ x
+        i, j = np.triu_indices(k)
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "s": total[i, j]})
+
+    schema = StructType().add("i", IntegerType()).add("j", IntegerType()).add("s", DoubleType())
+    columns = [F.col(c).cast("double").alias(c) for c in names]
+    return rows.select(*columns).dropna().mapInPandas(partial, schema).groupBy("i", "j").agg(F.sum("s").alias("s"))
 
 
 def ridge_fit(rows: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> list[float]:
@@ -119,10 +133,11 @@ def ridge_fit(rows: DataFrame, features: list[str], target: str, alpha: float =
 
     Only the aggregated k x k system reaches the driver.
     """
-    s = gram_sums(rows, features, target).first()
     k = len(features)
-    g = np.array([[s[f"g_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-    rhs = np.array([s[f"b_{i}"] for i in range(k)], dtype=float)
+    m = np.zeros((k + 1, k + 1))
+    for row in gram_sums(rows, features, target).collect():
+        m[row["i"], row["j"]] = m[row["j"], row["i"]] = row["s"]
+    g, rhs = m[:k, :k].copy(), m[:k, k]
     g[np.arange(1, k), np.arange(1, k)] += alpha
     try:
         return [float(x) for x in np.linalg.solve(g, rhs)]

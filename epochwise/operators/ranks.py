@@ -49,7 +49,22 @@ def piece_of(points: str, value: str) -> Column:
     return F.size(F.filter(points, lambda p: p < F.col(value)))
 
 
-SMALL_SIDE_ROWS = 10_000
+def cut_into_pieces(df: DataFrame, group: list[str], value: str, name: str, rows: int, per_piece: int = 200_000, fan: int = 256) -> DataFrame:
+    """Add an integer column that numbers value ranges in order, per group.
+
+    A range holds about ``per_piece`` of the ``rows`` rows.  Large inputs take
+    two levels of ``fan`` cuts, so cut lists stay short and a range stays within
+    one task's reach at any table size.
+    """
+    parts = max(1, min(fan, -(-rows // per_piece)))
+    out = df.join(small_side(split_points(df, group, value, parts)), group).withColumn(name, piece_of("_points", value)).drop("_points")
+    if rows > per_piece * fan:
+        fine = small_side(split_points(out, [*group, name], value, fan))
+        out = out.join(fine, [*group, name]).withColumn(name, F.col(name) * (fan + 1) + piece_of("_points", value)).drop("_points")
+    return out
+
+
+SMALL_SIDE_ROWS = 100_000
 DIRECT_ROWS = 2_000_000
 
 
@@ -63,38 +78,56 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if few else kept
 
 
-def order_statistic(df: DataFrame, value: str, rank: Column, group: list[str], name="value", parts=256, direct=DIRECT_ROWS) -> DataFrame:
-    """Exact k-th smallest value per group (``rank`` is 1-based, from column ``n``).
+def order_statistics(df: DataFrame, value: str, ranks: dict[str, Column], group: list[str], parts=256, direct=DIRECT_ROWS) -> DataFrame:
+    """Exact order statistics per group, one column per entry of ``ranks``.
 
-    While the largest group holds more than ``direct`` candidate rows, a round
-    cuts the range still in play at approximate quantiles, counts the pieces
-    and keeps the piece that holds the rank.  The last step ranks the distinct
-    values left.  The chosen range is checkpointed, so every pass uses one set
-    of cut points.
+    A rank is a 1-based expression in ``n``, the group's count of non-null
+    values.  Equal values are collapsed, then ranked by a running count.  While
+    the largest group holds more than ``direct`` rows, the range in play is
+    narrowed first (see :func:`_narrow`).
     """
     rows = df.where(F.col(value).isNotNull()).select(*(group or [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_v"))
     keys = group or ["_g"]
+    sizes = rows.groupBy(*keys).agg(F.count("_v").alias("n"))
+    largest = sizes.agg(F.max("n").alias("m")).first()["m"] or 0
+    if largest <= direct:
+        counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+        run = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+        ranked = counts.withColumn("_to", F.sum("_n").over(run)).withColumn("n", F.sum("_n").over(W.partitionBy(*keys)))
+        hits = []
+        for name, rank in ranks.items():
+            k = rank.cast("bigint")
+            hits.append(F.max(F.when((k <= F.col("_to")) & (k > F.col("_to") - F.col("_n")), F.col("_v"))).alias(name))
+        return ranked.groupBy(*keys).agg(*hits).select(*group, *ranks)
+    out = None
+    for name, rank in ranks.items():
+        one = _narrow(rows, small_side(sizes), rank, keys, largest, parts, direct).select(*keys, F.col("_v").alias(name))
+        out = one if out is None else out.join(one, keys)
+    return out.select(*group, *ranks)
+
+
+def _narrow(rows: DataFrame, sizes: DataFrame, rank: Column, keys: list[str], largest: int, parts: int, direct: int) -> DataFrame:
+    """Order statistic of large groups.
+
+    Each round cuts the range in play at approximate quantiles, counts the
+    pieces and keeps the piece that holds the rank; the last step ranks the
+    distinct values left.  The chosen range is checkpointed, so every pass uses
+    one set of cut points.
+    """
     nothing = F.lit(None).cast("double")
-    target = small_side(
-        rows.groupBy(*keys)
-        .agg(F.count("_v").alias("n"))
-        .select(*keys, "n", rank.cast("bigint").alias("_k"), nothing.alias("_lo"), nothing.alias("_hi"))
-    )
+    target = sizes.select(*keys, "n", rank.cast("bigint").alias("_k"), nothing.alias("_lo"), nothing.alias("_hi"))
     last = None
-    while True:
-        largest = target.agg(F.max("n").alias("m")).first()["m"] or 0
-        # a piece of equal values cannot shrink further; it collapses to one row below
-        if largest <= direct or largest == last:
-            break
+    # a piece of equal values cannot shrink further; it collapses to one row below
+    while largest > direct and largest != last:
         last = largest
         live = _inside(rows, target, keys)
         points = small_side(split_points(live, keys, "_v", parts))
         pieces = live.join(points, keys).withColumn("_i", piece_of("_points", "_v"))
-        sizes = pieces.groupBy(*keys, "_i").agg(F.count("_v").alias("n"))
+        counted = pieces.groupBy(*keys, "_i").agg(F.count("_v").alias("n"))
         run = W.partitionBy(*keys).orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
-        sizes = sizes.withColumn("_to", F.sum("n").over(run)).withColumn("_from", F.col("_to") - F.col("n"))
+        counted = counted.withColumn("_to", F.sum("n").over(run)).withColumn("_from", F.col("_to") - F.col("n"))
         hit = (
-            sizes.join(target.drop("n"), keys)
+            counted.join(target.drop("n"), keys)
             .where((F.col("_k") > F.col("_from")) & (F.col("_k") <= F.col("_to")))
             .join(points, keys)
         )
@@ -106,11 +139,11 @@ def order_statistic(df: DataFrame, value: str, rank: Column, group: list[str], n
                 F.coalesce(below, F.col("_lo")).alias("_lo"), F.coalesce(above, F.col("_hi")).alias("_hi"),
             )
         )
+        largest = target.agg(F.max("n").alias("m")).first()["m"] or 0
     counts = _inside(rows, target, keys).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     run = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = counts.withColumn("_to", F.sum("_n").over(run)).join(target, keys)
-    found = ranked.where((F.col("_k") <= F.col("_to")) & (F.col("_k") > F.col("_to") - F.col("_n")))
-    return found.select(*group, F.col("_v").alias(name))
+    return ranked.where((F.col("_k") <= F.col("_to")) & (F.col("_k") > F.col("_to") - F.col("_n")))
 
 
 def nearest_rank(q: float) -> Column:
@@ -120,9 +153,9 @@ def nearest_rank(q: float) -> Column:
 
 def median(df: DataFrame, value: str, group: list[str], name="median", **kw) -> DataFrame:
     """Exact median per group, from the two middle order statistics."""
-    low = order_statistic(df, value, F.floor((F.col("n") + 1) / 2), group, "_low", **kw)
-    high = order_statistic(df, value, F.floor((F.col("n") + 2) / 2), group, "_high", **kw)
-    return low.join(high, group).select(*group, ((F.col("_low") + F.col("_high")) / 2.0).alias(name))
+    middle = {"_low": F.floor((F.col("n") + 1) / 2), "_high": F.floor((F.col("n") + 2) / 2)}
+    both = order_statistics(df, value, middle, group, **kw)
+    return both.select(*group, ((F.col("_low") + F.col("_high")) / 2.0).alias(name))
 
 
 def _inside(rows: DataFrame, target: DataFrame, group: list[str]) -> DataFrame:

@@ -50,16 +50,8 @@ def trace_summary(spans: DataFrame, run_id: str | None = None) -> DataFrame:
 def percentiles(rows: DataFrame, value: str, qs: dict[str, float], group: list[str] | None = None) -> DataFrame:
     """Nearest-rank percentiles, rounded to three decimals, one column per entry."""
     group = group or []
-    out = None
-    for name, q in qs.items():
-        one = ranks.order_statistic(rows, value, ranks.nearest_rank(q), group, name).withColumn(name, rnd(F.col(name), 3))
-        if out is None:
-            out = one
-        elif group:
-            out = out.join(one, group)
-        else:
-            out = out.withColumn(name, one.scalar())
-    return out
+    found = ranks.order_statistics(rows, value, {name: ranks.nearest_rank(q) for name, q in qs.items()}, group)
+    return found.select(*group, *[rnd(F.col(name), 3).alias(name) for name in qs])
 
 
 def narrated_summary(log: DataFrame) -> DataFrame:

@@ -132,17 +132,20 @@ def _(spark, d):
     return rounded(featured(spark, d).select("subject", "epoch", *_F), _F)
 
 
+_PAIRS = [(i, j) for i in range(15) for j in range(i, 15)]
+_NAMES = [*_F, "y"]
+
+
 @query(
     "mod06_gram_sums",
     sql(
         "cohort_cust obs_orders",
-        f", {_EXPO}{_FV} SELECT count(*) AS n, " + ", ".join(f"{r(f'sum(f{i} * f{j})', 3)} AS g_{i}_{j}" for i in range(14) for j in range(i, 14))
-        + ", " + ", ".join(f"{r(f'sum(f{i} * y)', 3)} AS b_{i}" for i in range(14)) + " FROM fv",
+        f", {_EXPO}{_FV}, g AS (SELECT " + ", ".join(f"sum({_NAMES[i]} * {_NAMES[j]}) AS g_{i}_{j}" for i, j in _PAIRS) + " FROM fv) "
+        + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {r(f'g_{i}_{j}', 3)} AS s FROM g" for i, j in _PAIRS),
     ),
 )
 def _(spark, d):
-    g = models.gram_sums(featured(spark, d), _F, "y")
-    return rounded(g, [c for c in g.columns if c != "n"], 3)
+    return rounded(models.gram_sums(featured(spark, d), _F, "y"), ["s"], 3)
 
 
 @query("mod06_ridge_fit")
@@ -216,7 +219,7 @@ def _(spark, d):
 def _(spark, d):
     rows = exposed(spark, d)
     shift = models.covariate_shift(subjects(spark, d).join(rows.select("subject").distinct(), "subject"), {t["term"]: t["coefficients"] for t in TERMS[:2]}, covariates())
-    mid = ranks.order_statistic(rows.where("epoch > 0"), "exposure_ratio", F.floor(F.col("n") / 2) + 1, ["dose"], "ratio")
+    mid = ranks.order_statistics(rows.where("epoch > 0"), "exposure_ratio", {"ratio": F.floor(F.col("n") / 2) + 1}, ["dose"])
     targets = {"cough": (0.05, 0.12, 0.3), "headache": (0.0, 0.1, 0.2)}
     entries = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), *[F.lit(x).alias(f"i{i}") for i, x in enumerate(xs)]) for t, xs in targets.items()]))
     points = mid.select("ratio", "dose", entries.alias("t")).select(
