@@ -101,7 +101,7 @@ def safety_table(events: DataFrame, eot: DataFrame, control: str | None) -> Data
         .withColumn("risk_difference", F.col("rate") - F.col("control_rate"))
         .withColumn("rd_ci_low", F.when(has, low))
         .withColumn("rd_ci_high", F.when(has, high))
-        .withColumn("p_value", p)
+        .withColumn("p_value", F.when(has, p))
     )
     return benjamini_hochberg(rows, "p_value", [], same).drop("control_hits", "control_size")
 

@@ -150,7 +150,7 @@ def _boot_sql(values, seed, cells, reps, control, by=()):
     return f"""
 cells_ AS (SELECT {key}arm, {seed_sql(f"'{seed}|' || subject || '|cell'")} % {cells} AS cell, sum(v) AS s, count(v) AS c FROM {values} WHERE v IS NOT NULL GROUP BY ALL),
 draws_ AS (SELECT *, {draw} AS u FROM cells_, range(1, {reps} + 1) g(rep)),
-means_ AS (SELECT {key}arm, rep, sum(({_weight_sql('u')}) * s) / sum(({_weight_sql('u')}) * c) AS m FROM draws_ GROUP BY {key}arm, rep),
+means_ AS (SELECT {key}arm, rep, sum(({_weight_sql('u')}) * s) / nullif(sum(({_weight_sql('u')}) * c), 0) AS m FROM draws_ GROUP BY {key}arm, rep),
 boot_ AS (SELECT {''.join(f'm.{b}, ' for b in by)}m.arm, quantile_cont(m.m - k.m, 0.025) AS ci_low, quantile_cont(m.m - k.m, 0.975) AS ci_high
           FROM means_ m JOIN means_ k ON {on} WHERE m.arm <> '{control}' GROUP BY ALL)"""
 
