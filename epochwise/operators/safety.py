@@ -190,14 +190,17 @@ def stopping_rules(
     hits = first_hits(events, log, elevated_measure, fold, floor)
     per_epoch = hits.groupBy("metric", "arm", F.greatest(F.col("first_epoch"), F.lit(0)).alias("epoch")).agg(F.count("subject").alias("new_hits"))
     at_risk = log.select("arm", "epoch", "subject").distinct().groupBy("arm", "epoch").agg(F.count("subject").alias("n_at_risk"))
-    return evaluate(log, per_epoch, at_risk, rules, upto)
+    return evaluate(per_epoch, at_risk, rules, upto)
 
 
-def evaluate(log: DataFrame, per_epoch: DataFrame, at_risk: DataFrame, rules: list[Rule], upto: int | None = None) -> DataFrame:
-    """Turn per-epoch first-hit counts into rule evaluations."""
+def evaluate(per_epoch: DataFrame, at_risk: DataFrame, rules: list[Rule], upto: int | None = None) -> DataFrame:
+    """Turn per-epoch first-hit counts into rule evaluations.
+
+    The grid of arms and epochs comes from the at-risk counts, not from the log.
+    """
     # the running sum starts at epoch 0, below a rule's own first epoch
     start = {x.rule_id: x.min_epoch for x in rules}
-    full = rule_grid(log, [Rule(x.rule_id, x.metric, x.threshold, x.comparator, x.action, 0, x.arms) for x in rules], upto)
+    full = rule_grid(at_risk, [Rule(x.rule_id, x.metric, x.threshold, x.comparator, x.action, 0, x.arms) for x in rules], upto)
     run = W.partitionBy("rule_id", "arm").orderBy("epoch").rowsBetween(W.unboundedPreceding, 0)
     counted = full.join(per_epoch, ["metric", "arm", "epoch"], "left").withColumn("hits", F.sum(F.coalesce("new_hits", F.lit(0))).over(run))
     first = F.create_map(*[F.lit(v) for kv in start.items() for v in kv])[F.col("rule_id")]

@@ -92,7 +92,7 @@ class SafetyMonitor:
         hits = self._hits(-1 if last is None else last)
         per_epoch = hits.groupBy("metric", "arm", F.greatest("first_epoch", F.lit(0)).alias("epoch")).agg(F.count("subject").alias("new_hits"))
         risk = _read_or_empty(self.spark, f"{self.root}/risk", RISK).groupBy("arm", "epoch").agg(F.sum("n").alias("n_at_risk"))
-        return safety.evaluate(risk, per_epoch, risk, rules)
+        return safety.evaluate(per_epoch, risk, rules)
 
 
 # --- telemetry by time window ----------------------------------------------------
