@@ -63,11 +63,12 @@ def node_kinds(edges: DataFrame, kind: Column) -> DataFrame:
     return nodes.groupBy(kind.alias("kind")).agg(F.count("node").alias("n"))
 
 
-def span_tree(spans: DataFrame, max_rounds: int = 20) -> DataFrame:
+def span_tree(spans: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Root, depth and path of every span; a span without a known parent is a root.
 
     Ancestor pointers double their reach each round, so a tree of depth d takes
-    about log2(d) joins.  Spans caught in a parent cycle have no root and drop out.
+    about log2(d) joins.  Spans caught in a parent cycle have no root: they drop
+    out once their distance covers the whole trace.
     """
     s = spans.select("trace_id", "span_id", F.nullif("parent_id", F.lit("")).alias("parent_id"))
     known = s.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("_known"))
@@ -80,9 +81,11 @@ def span_tree(spans: DataFrame, max_rounds: int = 20) -> DataFrame:
         F.when(F.col("_known"), F.concat_ws("/", "parent_id", "span_id")).otherwise(F.col("span_id")).alias("path"),
     )
     state = cut_lineage(state)
-    done = state.where("up is null")
-    for _ in range(max_rounds):
+    sizes = s.groupBy("trace_id").agg(F.count("span_id").alias("n"))
+    for i in range(max_rounds):
         open_rows = state.where("up is not null")
+        if i >= 3:
+            open_rows = open_rows.join(sizes, "trace_id").where(F.col("depth") < F.col("n")).drop("n")
         if open_rows.isEmpty():
             break
         ends = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("path").alias("p2"))

@@ -101,45 +101,35 @@ def order_statistics(df: DataFrame, value: str, ranks: dict[str, Column], group:
         return ranked.groupBy(*keys).agg(*hits).select(*group, *ranks)
     out = None
     for name, rank in ranks.items():
-        one = _narrow(rows, small_side(sizes), rank, keys, largest, parts, direct).select(*keys, F.col("_v").alias(name))
+        one = _narrow(rows, small_side(sizes), rank, keys, parts, direct).select(*keys, F.col("_v").alias(name))
         out = one if out is None else out.join(one, keys)
     return out.select(*group, *ranks)
 
 
-def _narrow(rows: DataFrame, sizes: DataFrame, rank: Column, keys: list[str], largest: int, parts: int, direct: int) -> DataFrame:
+def _narrow(rows: DataFrame, sizes: DataFrame, rank: Column, keys: list[str], parts: int, direct: int) -> DataFrame:
     """Order statistic of large groups.
 
     Each round cuts the range in play at approximate quantiles, counts the
-    pieces and keeps the piece that holds the rank; the last step ranks the
-    distinct values left.  The chosen range is checkpointed, so every pass uses
-    one set of cut points.
+    pieces and keeps the piece that holds the rank, as its smallest and largest
+    value.  Values equal to a cut point form a piece of their own, so a heavily
+    repeated value never holds up the others.  The chosen range is
+    checkpointed; the last step ranks the distinct values left in it.
     """
-    nothing = F.lit(None).cast("double")
-    target = sizes.select(*keys, "n", rank.cast("bigint").alias("_k"), nothing.alias("_lo"), nothing.alias("_hi"))
-    last = None
-    # a piece of equal values cannot shrink further; it collapses to one row below
-    while largest > direct and largest != last:
-        last = largest
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    target = sizes.select(*keys, "n", rank.cast("bigint").alias("_k"), low.alias("_lo"), high.alias("_hi"))
+    while not target.where((F.col("n") > direct) & (F.col("_lo") < F.col("_hi"))).isEmpty():
         live = _inside(rows, target, keys)
         points = small_side(split_points(live, keys, "_v", parts))
-        pieces = live.join(points, keys).withColumn("_i", piece_of("_points", "_v"))
-        counted = pieces.groupBy(*keys, "_i").agg(F.count("_v").alias("n"))
+        index = piece_of("_points", "_v") + F.size(F.filter("_points", lambda p: p <= F.col("_v")))
+        counted = (
+            live.join(points, keys)
+            .groupBy(*keys, index.alias("_i"))
+            .agg(F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        )
         run = W.partitionBy(*keys).orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
         counted = counted.withColumn("_to", F.sum("n").over(run)).withColumn("_from", F.col("_to") - F.col("n"))
-        hit = (
-            counted.join(target.drop("n"), keys)
-            .where((F.col("_k") > F.col("_from")) & (F.col("_k") <= F.col("_to")))
-            .join(points, keys)
-        )
-        below = F.when(F.col("_i") > 0, F.try_element_at("_points", F.greatest(F.col("_i"), F.lit(1))))
-        above = F.try_element_at("_points", F.col("_i") + 1)
-        target = small_side(
-            hit.select(
-                *keys, "n", (F.col("_k") - F.col("_from")).alias("_k"),
-                F.coalesce(below, F.col("_lo")).alias("_lo"), F.coalesce(above, F.col("_hi")).alias("_hi"),
-            )
-        )
-        largest = target.agg(F.max("n").alias("m")).first()["m"] or 0
+        held = counted.join(target.select(*keys, "_k"), keys).where((F.col("_k") > F.col("_from")) & (F.col("_k") <= F.col("_to")))
+        target = small_side(held.select(*keys, "n", (F.col("_k") - F.col("_from")).alias("_k"), "_lo", "_hi"))
     counts = _inside(rows, target, keys).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     run = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = counts.withColumn("_to", F.sum("_n").over(run)).join(target, keys)
@@ -158,11 +148,9 @@ def median(df: DataFrame, value: str, group: list[str], name="median", **kw) ->
     return both.select(*group, ((F.col("_low") + F.col("_high")) / 2.0).alias(name))
 
 
-def _inside(rows: DataFrame, target: DataFrame, group: list[str]) -> DataFrame:
-    """Rows within the (lo, hi] range still in play for their group."""
-    low = F.col("_lo").isNull() | (F.col("_v") > F.col("_lo"))
-    high = F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))
-    return rows.join(target.select(*group, "_lo", "_hi"), group).where(low & high).select(*group, "_v")
+def _inside(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows within the closed range still in play for their group."""
+    return rows.join(target.select(*keys, "_lo", "_hi"), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).select(*keys, "_v")
 
 
 def subject_index(log: DataFrame, measure: str, subject="subject", arm="arm", epoch="epoch") -> DataFrame:

@@ -55,7 +55,7 @@ def hot_dir(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["win02_change_from_baseline", "win05_cumulative_exposure", "joi05_report_merge", "sta09_endpoint_comparison"])
+@pytest.mark.parametrize("name", ["win02_change_from_baseline", "win05_cumulative_exposure", "joi05_report_merge", "agg01_arm_summary"])
 def test_hot_keys_keep_results_right(spark, hot_dir, name):
     import duckdb
 

@@ -117,7 +117,7 @@ def test_benjamini_hochberg(spark):
 @pytest.mark.parametrize("direct", [1_000_000, 20])
 def test_order_statistics_match_sorting(spark, direct):
     rng = random.Random(5)
-    data = [("a", float(rng.randrange(30))) for _ in range(500)] + [("b", rng.random()) for _ in range(301)] + [("c", 4.0)] * 60 + [("a", None)]
+    data = [("a", float(rng.randrange(30))) for _ in range(500)] + [("b", rng.random()) for _ in range(301)] + [("c", 4.0)] * 60 + [("c", 1.0), ("c", 9.0)] * 15 + [("a", None)]
     df = spark.createDataFrame(data, "g string, v double").repartition(5)
     want = {"n1": lambda n: 1, "mid": lambda n: round(0.5 * (n - 1)) + 1, "p95": lambda n: round(0.95 * (n - 1)) + 1}
     cols = {"n1": F.lit(1), "mid": ranks.nearest_rank(0.5), "p95": ranks.nearest_rank(0.95)}
