@@ -20,9 +20,10 @@ def stable_hash(*parts, length: int = 16) -> Column:
 
 def stable_seed(*parts) -> Column:
     """63-bit seed: the leading 8 digest bytes modulo 2**63, as bigint."""
-    hex16 = F.substring(F.sha2(_joined(parts), 256), 1, 16)
-    head = F.conv(F.substring(hex16, 1, 1), 16, 10).cast("int") % 8
-    return F.conv(F.concat(F.conv(head.cast("string"), 10, 16), F.substring(hex16, 2, 15)), 16, 10).cast("bigint")
+    digest = F.sha2(_joined(parts), 256)
+    high = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % (1 << 31)
+    low = F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint")
+    return high * (1 << 32) + low
 
 
 def uniform(*parts) -> Column:

@@ -132,13 +132,15 @@ def read_answers(answers: DataFrame, column="text") -> DataFrame:
     t = F.col(column)
     fenced = F.regexp_extract(t, FENCE, 1)
     a = answers.withColumn("_c0", F.trim(F.when(t.rlike(FENCE), fenced).otherwise(t), F.lit(" \n\t\r")))
-    a = a.withColumn("_c1", F.regexp_extract("_c0", FIRST_OBJECT, 1)).withColumn("_c2", F.regexp_extract("_c0", FIRST_ARRAY, 1))
-    for i in range(3):
-        a = a.withColumn(f"_s{i}", _readable(F.col(f"_c{i}")))
-        a = a.withColumn(f"_r{i}", _readable(repair(F.col(f"_c{i}")), F.col(f"_s{i}").isNull()))
-    for i in range(3):
-        left = F.col(f"_s{i}").isNull() & F.col(f"_r{i}").isNull() & F.col(f"_c{i}").rlike(r"^[\{\[]")
-        a = a.withColumn(f"_l{i}", literal_to_json(F.when(left, F.col(f"_c{i}"))))
+    a = a.withColumns({"_c1": F.regexp_extract("_c0", FIRST_OBJECT, 1), "_c2": F.regexp_extract("_c0", FIRST_ARRAY, 1)})
+    a = a.withColumns({f"_s{i}": _readable(F.col(f"_c{i}")) for i in range(3)})
+    a = a.withColumns({f"_r{i}": _readable(repair(F.col(f"_c{i}")), F.col(f"_s{i}").isNull()) for i in range(3)})
+
+    def leftover(i):
+        unread = F.col(f"_s{i}").isNull() & F.col(f"_r{i}").isNull() & F.col(f"_c{i}").rlike(r"^[\{\[]")
+        return F.when(unread, F.col(f"_c{i}"))
+
+    a = a.withColumns({f"_l{i}": literal_to_json(leftover(i)) for i in range(3)})
     empty = F.coalesce(F.trim(t, F.lit(" \n\t\r")) == "", F.lit(True))
     advice = F.coalesce(tx.gives_advice(t), F.lit(False))
     found = F.coalesce(*[F.col(f"_{k}{i}") for i in range(3) for k in "srl"])

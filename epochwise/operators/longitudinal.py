@@ -38,8 +38,7 @@ def change_from_baseline(log: DataFrame, measures: list[str], subject="subject",
     Null where the subject has no epoch 0; the ratio is null on a zero baseline.
     """
     w = W.partitionBy(subject)
-    for m in measures:
-        log = log.withColumn(f"{m}_base", F.max(F.when(F.col(epoch) == 0, F.col(m))).over(w))
+    log = log.withColumns({f"{m}_base": F.max(F.when(F.col(epoch) == 0, F.col(m))).over(w) for m in measures})
     extra = []
     for m in measures:
         extra.append((F.col(m) - F.col(f"{m}_base")).alias(f"{m}_change"))
@@ -93,13 +92,13 @@ def propagate_discontinuation(
     reason = F.when(by_grade, F.format_string(REASON_GRADE, F.col(grade))).otherwise(REASON_CONSENT)
     first = F.min(F.when(trigger, F.struct(F.col(epoch).alias("at"), reason.alias("why")))).over(w)
     flagged = F.coalesce(F.col(epoch) >= F.col("_first.at"), F.lit(False))
-    return (
-        log.withColumn("_first", first)
-        .withColumn("discontinued", flagged)
-        .withColumn("discontinuation_reason", F.when(flagged, F.col("_first.why")).otherwise(""))
-        .withColumn(dose, F.when(F.coalesce(F.col(epoch) > F.col("_first.at"), F.lit(False)), 0.0).otherwise(F.col(dose)))
-        .drop("_first")
-    )
+    after = F.coalesce(F.col(epoch) > F.col("_first.at"), F.lit(False))
+    made = {
+        "discontinued": flagged,
+        "discontinuation_reason": F.when(flagged, F.col("_first.why")).otherwise(""),
+        dose: F.when(after, 0.0).otherwise(F.col(dose)),
+    }
+    return log.withColumn("_first", first).withColumns(made).drop("_first")
 
 
 def cumulative(log: DataFrame, measure: str, name: str, subject="subject", epoch="epoch") -> DataFrame:

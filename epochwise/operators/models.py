@@ -41,9 +41,10 @@ def z_score(value: Column, name: str) -> Column:
 
 def kinetic_features(cohort: DataFrame, drug: kin.Drug) -> DataFrame:
     """Add clearance, volume, elimination rate and half-life per subject."""
-    out = cohort.withColumn("cl", kin.clearance(drug, F.col("weight"), F.col("age"), F.col("sex"), F.col("egfr"), F.col("metabolism")))
-    out = out.withColumn("vol", kin.volume(drug, F.col("weight"), F.col("bmi"))).withColumn("ke", F.col("cl") / F.col("vol"))
-    return out.withColumn("half_life", kin.half_life(F.col("ke")))
+    cl = kin.clearance(drug, F.col("weight"), F.col("age"), F.col("sex"), F.col("egfr"), F.col("metabolism"))
+    out = cohort.withColumns({"cl": cl, "vol": kin.volume(drug, F.col("weight"), F.col("bmi"))})
+    ke = F.col("cl") / F.col("vol")
+    return out.withColumns({"ke": ke, "half_life": kin.half_life(ke)})
 
 
 def exposure_features(rows: DataFrame, drug: kin.Drug, tau: float) -> DataFrame:
@@ -53,10 +54,15 @@ def exposure_features(rows: DataFrame, drug: kin.Drug, tau: float) -> DataFrame:
     peak = kin.time_to_peak(drug, F.col("ke"))
     level = lambda t: kin.concentration(drug, F.col("dose"), F.col("vol"), F.col("ke"), t, F.col("epoch"), tau)
     auc = on(drug.bioavailability * F.col("dose") / F.col("cl"))
-    out = rows.withColumn("t_max", on(peak)).withColumn("auc", auc)
-    out = out.withColumn("c_trough", on(level(F.lit(0.0)))).withColumn("c_peak", on(level(F.col("t_max"))))
-    out = out.withColumn("c_avg", F.col("auc") / tau).withColumn("exposure_ratio", F.col("c_avg") / drug.ec50_mg_l)
-    return cumulative(out, "auc", "cumulative_auc")
+    out = rows.withColumns({"t_max": on(peak), "auc": auc})
+    average = F.col("auc") / tau
+    made = {
+        "c_trough": on(level(F.lit(0.0))),
+        "c_peak": on(level(F.col("t_max"))),
+        "c_avg": average,
+        "exposure_ratio": average / drug.ec50_mg_l,
+    }
+    return cumulative(out.withColumns(made), "auc", "cumulative_auc")
 
 
 def sigmoid(x: Column) -> Column:
