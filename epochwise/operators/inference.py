@@ -147,6 +147,8 @@ def bootstrap_difference(
         .groupBy(*by, arm, cell)
         .agg(F.sum(value).alias("s"), F.count(value).alias("c"))
     )
+    # few rows, much work each: spread them over all cores before the expansion
+    sums = sums.repartition(rows.sparkSession.sparkContext.defaultParallelism, *by, arm, "cell")
     drawn = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     u = uniform(seed, F.col(arm), F.col("cell"), F.col("rep"))
     drawn = drawn.withColumn("u", u)
