@@ -244,17 +244,15 @@ def cohort_lists(spark, d):
     return v.cohort_cust(spark, d).withColumn("conditions", coerce.to_list(F.col("conditions_text")))
 
 
-def build(spark, d) -> dict:
-    log = trial_log(spark, d)
-    return {
-        "DM": datasets.dm(cohort_lists(spark, d), STUDY),
-        "EX": datasets.ex(log, STUDY, "investigational product"),
-        "VS": datasets.vs(log, STUDY, {"SYSBP": ("y", "mmHg"), "LAT": ("latency", "ms"), "NONE": ("absent", "x")}),
-        "AE": datasets.ae(v.ae_events(spark, d), STUDY),
-        "ADSL": datasets.adsl(log, STUDY),
-        "ADVS": datasets.advs(log, STUDY, {"SYSBP": ("y", "y_change"), "COMPOSITE": ("latency", None)}),
-        "ADAE": datasets.adae(v.ae_events(spark, d), log, STUDY),
-    }
+BUILDERS = {
+    "DM": lambda spark, d: datasets.dm(cohort_lists(spark, d), STUDY),
+    "EX": lambda spark, d: datasets.ex(trial_log(spark, d), STUDY, "investigational product"),
+    "VS": lambda spark, d: datasets.vs(v.obs_events(spark, d), STUDY, {"SYSBP": ("y", "mmHg"), "LAT": ("latency", "ms"), "NONE": ("absent", "x")}),
+    "AE": lambda spark, d: datasets.ae(v.ae_events(spark, d), STUDY),
+    "ADSL": lambda spark, d: datasets.adsl(trial_log(spark, d), STUDY),
+    "ADVS": lambda spark, d: datasets.advs(trial_log(spark, d), STUDY, {"SYSBP": ("y", "y_change"), "COMPOSITE": ("latency", None)}),
+    "ADAE": lambda spark, d: datasets.adae(v.ae_events(spark, d), v.obs_events(spark, d), STUDY),
+}
 
 
 @query(
@@ -266,7 +264,7 @@ def build(spark, d) -> dict:
     ),
 )
 def _(spark, d):
-    return datasets.vs(v.obs_events(spark, d), STUDY, {"SYSBP": ("y", "mmHg"), "LAT": ("latency", "ms"), "NONE": ("absent", "x")})
+    return BUILDERS["VS"](spark, d)
 
 
 @query(
@@ -278,7 +276,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return rounded(build(spark, d)["ADVS"], ["CHG"], 4)
+    return rounded(BUILDERS["ADVS"](spark, d), ["CHG"], 4)
 
 
 @query(
@@ -290,7 +288,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return rounded(datasets.dm(cohort_lists(spark, d), STUDY), ["BMIBL"])
+    return rounded(BUILDERS["DM"](spark, d), ["BMIBL"])
 
 
 @query(
@@ -298,7 +296,7 @@ def _(spark, d):
     sql("trial", f"""SELECT {_ID}, 'investigational product' AS "EXTRT", dose AS "EXDOSE", 'mg' AS "EXDOSU", epoch AS "EPOCH", time_hours AS "EXSTDTC" FROM trial WHERE dose > 0"""),
 )
 def _(spark, d):
-    return build(spark, d)["EX"]
+    return BUILDERS["EX"](spark, d)
 
 
 @query(
@@ -310,7 +308,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return datasets.ae(v.ae_events(spark, d), STUDY)
+    return BUILDERS["AE"](spark, d)
 
 
 @query(
@@ -322,7 +320,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return build(spark, d)["ADSL"]
+    return BUILDERS["ADSL"](spark, d)
 
 
 @query(
@@ -334,7 +332,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return datasets.adae(v.ae_events(spark, d), v.obs_events(spark, d), STUDY)
+    return BUILDERS["ADAE"](spark, d)
 
 
 # --- text ------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from epochwise.operators import contract
 from epochwise.plans import views as v
 from epochwise.plans.base import query, seed_sql
-from epochwise.plans.reshapes import build
+from epochwise.plans.reshapes import BUILDERS
 from epochwise.plans.views import sql
 from epochwise.session import scratch_path
 from epochwise.sources import export, tables, versions
@@ -104,7 +104,8 @@ def _(spark, d):
 def _(spark, d):
     from epochwise.operators.datasets import VARIABLES
 
-    return export.export(build(spark, d), VARIABLES, scratch_path(spark, "export"))
+    made = {name: make(spark, d) for name, make in BUILDERS.items()}
+    return export.export(made, VARIABLES, scratch_path(spark, "export"))
 
 
 @query(
