@@ -1,4 +1,4 @@
 """Importing this module registers every query of the package."""
 
-from epochwise.llm import decontaminate, simhash, toxicity  # noqa: F401
+from epochwise.llm import decontaminate, pii, simhash, toxicity  # noqa: F401
 from epochwise.llm.base import ORACLES, QUERIES  # noqa: F401
