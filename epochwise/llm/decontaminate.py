@@ -111,10 +111,9 @@ def _product(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["term", "v"])
 
     rows = matrix.mapInArrow(run, "term long, v array<double>")
-    added = rows.select("term", F.posexplode("v")).groupBy("term", "pos").agg(F.sum("col").alias("x")).collect()
+    added = rows.select("term", F.posexplode("v")).groupBy("term", "pos").agg(F.sum("col").alias("x")).toArrow()
     out = np.zeros_like(q)
-    for r in added:
-        out[r["term"], r["pos"]] = r["x"]
+    out[added.column("term").to_numpy(), added.column("pos").to_numpy()] = added.column("x").to_numpy()
     return out
 
 

@@ -21,7 +21,7 @@ from epochwise.llm.base import arrow_map, query, slim, table
 BUCKET_BITS = 17
 SIZES = (3, 4, 5)
 #: Rows of each class that the fit uses at most, and the longest text among them in bytes (a bound of the fit only).
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 2000
 SAMPLE_TEXT_BYTES = 1 << 16
 #: A gram gets a vector if it is in so many sample texts and its share differs between the classes by so many deviations.
 MIN_TEXTS, MIN_Z = 4, 3.5
@@ -78,32 +78,36 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return (h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
 
 
+def _bags(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, texts, text, bucket, share of the text's grams) of distinct buckets, piece by piece."""
+    for first, n, doc, bucket in grams(texts):
+        key, count = np.unique(doc.astype(np.int64) << BUCKET_BITS | bucket, return_counts=True)
+        at = key >> BUCKET_BITS
+        yield first, n, at, key & ((1 << BUCKET_BITS) - 1), count / np.bincount(doc, minlength=n)[at]
+
+
 def fit(texts: list[str | None], labels: list[int], prior: float, dim: int = 8, epochs: int = 40, seed: int = 7) -> Model:
     """Vectors and softmax weights by Adam on mini-batches; the bias is moved from the sample's class share to ``prior``."""
     size = 1 << BUCKET_BITS
     if not texts:
         return Model(np.zeros(size, np.float32), -4.0)
     y = np.asarray(labels, np.float32)
-    cols, vals, ptr = [], [], [0]
-    for _, n, doc, bucket in grams(texts):
-        key, count = np.unique(doc.astype(np.int64) << BUCKET_BITS | bucket, return_counts=True)
-        per = np.bincount(key >> BUCKET_BITS, minlength=n)
-        total = np.bincount(doc, minlength=n)
-        cols.append((key & (size - 1)).astype(np.int32))
-        vals.append((count / np.repeat(total, per)).astype(np.float32))
-        ptr.extend((ptr[-1] + np.cumsum(per)).tolist())
-    cols, vals, ptr = np.concatenate(cols), np.concatenate(vals), np.asarray(ptr)
     # only grams whose share of texts differs between the classes get a vector; all count in the average
-    row = np.repeat(np.arange(len(y)), np.diff(ptr))
-    bad, clean = y.sum(), len(y) - y.sum()
-    in_bad = np.bincount(cols, y[row], minlength=size)
-    in_any = np.bincount(cols, minlength=size)
-    p, q = in_bad / max(bad, 1), (in_any - in_bad) / max(clean, 1)
+    in_bad, in_any = np.zeros(size), np.zeros(size)
+    for first, n, at, bucket, _ in _bags(texts):
+        in_bad += np.bincount(bucket, y[first + at], minlength=size)
+        in_any += np.bincount(bucket, minlength=size)
+    bad, clean = max(y.sum(), 1), max(len(y) - y.sum(), 1)
     pooled = in_any / len(y)
-    spread = np.sqrt(pooled * (1 - pooled) * (1 / max(bad, 1) + 1 / max(clean, 1))) + 1e-9
-    kept = ((in_any >= MIN_TEXTS) & (np.abs(p - q) / spread >= MIN_Z))[cols]
-    ptr = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(y)))])
-    cols, vals = cols[kept], vals[kept]
+    spread = np.sqrt(pooled * (1 - pooled) * (1 / bad + 1 / clean)) + 1e-9
+    chosen = (in_any >= MIN_TEXTS) & (np.abs(in_bad / bad - (in_any - in_bad) / clean) / spread >= MIN_Z)
+    cols, vals, per = [], [], []
+    for _, n, at, bucket, share in _bags(texts):
+        kept = chosen[bucket]
+        cols.append(bucket[kept].astype(np.int32))
+        vals.append(share[kept].astype(np.float32))
+        per.append(np.bincount(at[kept], minlength=n))
+    cols, vals, ptr = np.concatenate(cols), np.concatenate(vals), np.concatenate([[0], np.cumsum(np.concatenate(per))])
     rng = np.random.default_rng(seed)
     scale = np.float32(100)  # the average is small where a few words matter; a constant factor speeds the fit
     emb = (rng.standard_normal((size, dim)) * 0.01).astype(np.float32)
@@ -175,11 +179,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .join(F.broadcast(sample), F.col("doc_id") == F.col("key"))
         .select("doc_id", "label", "text")
         .dropDuplicates(["doc_id"])
-        .collect()
+        .toArrow()
+        .sort_by("doc_id")
     )
-    rows.sort(key=lambda r: r["doc_id"])
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit([r["text"] for r in rows], [int(r["label"] == 1) for r in rows], prior)
+    return fit(rows.column("text").to_pylist(), [int(v == 1) for v in rows.column("label").to_pylist()], prior)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
