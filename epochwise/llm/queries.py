@@ -1,4 +1,4 @@
 """Importing this module registers every query of the package."""
 
-from epochwise.llm import decontaminate, pii, sentencepiece, simhash, tokenfiles, toxicity  # noqa: F401
+from epochwise.llm import bytededup, decontaminate, pii, sentencepiece, simhash, tokenfiles, toxicity, worddedup  # noqa: F401
 from epochwise.llm.base import ORACLES, QUERIES  # noqa: F401
