@@ -128,12 +128,13 @@ def _smallest(keys: list[np.ndarray], ids: np.ndarray, *more: np.ndarray) -> tup
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(a.astype("<u8").tobytes() for a in arrays), 1)
+    """Arrays of 64-bit numbers byte by byte of significance, so that equal high bytes cost nothing."""
+    return zstandard.compress(b"".join(a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays), 1)
 
 
 def _spread(blob: bytes, n: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.decompress(blob), "<u8")
-    return np.split(raw, n)
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in raw]
 
 
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
@@ -146,11 +147,11 @@ WHOLE, OPEN, WINDOW = 0, 1, 2
 
 
 def _by_bucket(key: np.ndarray, buckets: int, chunk: int, *arrays: np.ndarray) -> pa.Table:
-    """One row for each bucket; arrays are ordered by bucket and key."""
+    """One row for each bucket: the keys in order as differences, and the arrays in the same order."""
     at = (mix(key) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((key, at))
     cut = np.searchsorted(at[order], np.arange(buckets + 1))
-    rows = [(b, chunk, _squeeze(*(a[order[i:j]] for a in arrays))) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
+    rows = [(b, chunk, _squeeze(np.diff(key[order[i:j]], prepend=np.uint64(0)), *(a[order[i:j]] for a in arrays))) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
     return _table(SENT, rows)
 
 
@@ -167,26 +168,36 @@ class Repeats:
         return {k: v for k, v in self.__dict__.items() if k != "rows"}  # tasks get the rest
 
     def chunks(self) -> DataFrame:
-        """(chunk, doc_id, text) with compressed texts, kept as a reliable checkpoint dealt by chunk."""
+        """(chunk, ids, sizes, text): the documents of a batch that belong to a chunk, their texts compressed together."""
 
         def shrink(batches):
             for b in batches:
-                texts = [zstandard.compress((t or "").encode(), 1) for t in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["chunk", "doc_id", "text"])
+                chunk, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+                texts = [(t or "").encode() for t in b.column(2).to_pylist()]
+                rows = []
+                for c in np.unique(chunk):
+                    at = np.flatnonzero(chunk == c)
+                    own = [texts[i] for i in at]
+                    rows.append((int(c), ids[at].tolist(), [len(t) for t in own], zstandard.compress(b"".join(own), 3)))
+                kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["chunk", "ids", "sizes", "text"])
 
         key = F.coalesce("doc_id", F.lit(NULL_ID))
-        small = self.rows.select(hash_group(key, self.groups).alias("chunk"), key.alias("doc_id"), "text").mapInArrow(shrink, "chunk int, doc_id long, text binary")
-        return cut_lineage(small.repartition(self.groups, "chunk"))
+        rows = self.rows.select(hash_group(key, self.groups).alias("chunk"), key.alias("doc_id"), "text")
+        return rows.mapInArrow(shrink, "chunk int, ids array<long>, sizes array<long>, text binary")
 
     def _open(self, part: pa.Table):
         """Ids, texts and, piece by piece, the phrases of a chunk."""
-        ids = part.column("doc_id").to_numpy()
-        texts = [zstandard.decompress(t) for t in part.column("text").to_pylist()]
+        ids, texts = [], []
+        for own, sizes, text in zip(part.column("ids").to_pylist(), part.column("sizes").to_pylist(), part.column("text").to_pylist(), strict=True):
+            joined = zstandard.decompress(text)
+            cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            ids += own
+            texts += [joined[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
         found = []
         for first, tokens, lengths, raw in _pieces(texts, self.view):
-            p = phrases(tokens, lengths, self.n, self.w)
-            found.append((first, lengths, raw, p))
-        return ids, texts, found
+            found.append((first, lengths, raw, phrases(tokens, lengths, self.n, self.w)))
+        return np.array(ids, np.int64), texts, found
 
     def _local(self, ids, found):
         """Phrases of the chunk in one array: (piece, place in piece, id, trigger, phrase, smallest id of the phrase here)."""
@@ -224,10 +235,11 @@ class Repeats:
             ids, _, found = self._open(part)
             _, _, own, trigger, phrase, _, change = self._local(ids, found)
             chunk = part.column("chunk")[0].as_py()
-            return _by_bucket(trigger[change], n_buckets, chunk, trigger[change], phrase[change], own[change].view(np.uint64))
+            # 40 bits of a trigger are enough: two that coincide only have their phrases compared in vain
+            return _by_bucket(trigger[change] >> np.uint64(24), n_buckets, chunk, phrase[change], own[change].view(np.uint64))
 
         def judge_phrases(sent: pa.Table) -> pa.Table:
-            trigger, phrase, own, chunk = _gather(sent, 3)
+            trigger, phrase, own, chunk = _gather(sent, 2)
             change, own, trigger, phrase, chunk = _smallest([trigger, phrase], own.view(np.int64), chunk)
             low = own[change][np.cumsum(change) - 1]
             first_t, first_low, first_p, first_c = trigger[change], low[change], phrase[change], chunk[change]
@@ -250,10 +262,10 @@ class Repeats:
             ids, _, found = self._open(part)
             _, _, who, h, _, change = self._opened(ids, found, self._local(ids, found), open_)
             chunk = part.column("chunk")[0].as_py()
-            return _by_bucket(h[change], n_buckets, chunk, h[change], who[change].view(np.uint64))
+            return _by_bucket(h[change], n_buckets, chunk, who[change].view(np.uint64))
 
         def judge_windows(sent: pa.Table) -> pa.Table:
-            h, own, chunk = _gather(sent, 2)
+            h, own, chunk = _gather(sent, 1)
             change, own, h, chunk = _smallest([h], own.view(np.int64), chunk)
             again = own > own[change][np.cumsum(change) - 1]
             return _tell([(WINDOW, chunk[again], h[again])])
@@ -296,8 +308,9 @@ class Repeats:
 
 
 def _gather(sent: pa.Table, n: int) -> list[np.ndarray]:
-    """The n arrays of all rows and the chunk of each entry."""
-    parts = [_spread(b, n) for b in sent.column("blob").to_pylist()]
+    """The keys and the n arrays of all rows, and the chunk of each entry."""
+    parts = [_spread(b, n + 1) for b in sent.column("blob").to_pylist()]
+    parts = [[np.cumsum(p[0], dtype=np.uint64), *p[1:]] for p in parts]
     chunk = np.repeat(sent.column("chunk").to_numpy(), [len(p[0]) for p in parts])
     return [*(np.concatenate(x) for x in zip(*parts, strict=True)), chunk]
 
