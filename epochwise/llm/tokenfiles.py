@@ -31,7 +31,7 @@ BLOCK_IDS = 1 << 20
 PART_BYTES = 16 << 20
 NULL_ID = -(1 << 63)
 #: Words whose ids are kept per worker; the table is emptied when it is full.
-KEPT = 400_000
+KEPT = 600_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +167,7 @@ class Words:
         names = list(cores)
         for at in range(0, len(names), 2000):
             part = names[at : at + 2000]
-            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(part):  # an end-of-word piece per word, or the words one by one
                 each = [self._ids(p) for p in part]
