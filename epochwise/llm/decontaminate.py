@@ -67,7 +67,8 @@ def passages(items: DataFrame, id_col: str = "item_id", text_col: str = "text")
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = words_of(t)
-                rows += [(i, k, w[at : at + PASSAGE]) for k, at in enumerate(range(0, len(w), PASSAGE))]
+                n = -(-len(w) // PASSAGE)  # parts of nearly equal length, so none is a mere rest
+                rows += [(i, k, w[k * len(w) // n : (k + 1) * len(w) // n]) for k in range(n)]
             types = [("item_id", pa.int64()), ("part", pa.int32()), ("words", pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], names=[n for n, _ in types])
 
