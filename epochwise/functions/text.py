@@ -88,9 +88,13 @@ def error_class(text: Column, is_network_error: Column | None = None) -> Column:
     )
 
 
+#: ASCII white space, all of which is trimmed.
+WHITE = " \t\r\n\f\v"
+
+
 def coerce_grade(text: Column) -> Column:
     """Grade 1 to 5 from a number, a severity word or the first digit found."""
-    t = F.lower(F.trim(text))
+    t = F.lower(F.trim(text, F.lit(WHITE)))
     number = t.try_cast("double")
     words = F.create_map(*[F.lit(v) for kv in GRADE_WORDS.items() for v in kv])
     digit = F.regexp_extract(t, "[1-5]", 0)
@@ -103,7 +107,7 @@ def coerce_grade(text: Column) -> Column:
 
 
 def normalise_enum(text: Column, allowed: tuple[str, ...], default: str) -> Column:
-    t = F.lower(F.trim(text))
+    t = F.lower(F.trim(text, F.lit(WHITE)))
     return F.when(t.isin(*allowed), t).otherwise(F.lit(default))
 
 

@@ -53,7 +53,7 @@ def explode_events(log: DataFrame, column="adverse_events_json") -> DataFrame:
         F.col("epoch").try_cast("int").alias("epoch"),
         "term",
         "soc",
-        F.coalesce(F.col("ctcae_grade").try_cast("double").cast("int"), F.lit(1)).alias("ctcae_grade"),
+        F.coalesce(F.nanvl(F.col("ctcae_grade").try_cast("double"), F.lit(None).cast("double")).try_cast("int"), F.lit(1)).alias("ctcae_grade"),
         F.coalesce(F.col("serious").try_cast("boolean"), F.lit(False)).alias("serious"),
         "relatedness",
         F.coalesce(F.col("predicted_probability").try_cast("double"), F.lit(0.0)).alias("predicted_probability"),

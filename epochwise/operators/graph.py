@@ -63,7 +63,7 @@ def node_kinds(edges: DataFrame, kind: Column) -> DataFrame:
     return nodes.groupBy(kind.alias("kind")).agg(F.count("node").alias("n"))
 
 
-def span_tree(spans: DataFrame, max_rounds: int = 40) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """Root, depth and path of every span; a span without a known parent is a root.
 
     Ancestor pointers double their reach each round, so a tree of depth d takes
@@ -82,7 +82,8 @@ def span_tree(spans: DataFrame, max_rounds: int = 40) -> DataFrame:
     )
     state = cut_lineage(state)
     sizes = s.groupBy("trace_id").agg(F.count("span_id").alias("n"))
-    for i in range(max_rounds):
+    i = 0
+    while True:
         open_rows = state.where("up is not null")
         if i >= 3:
             open_rows = open_rows.join(sizes, "trace_id").where(F.col("depth") < F.col("n")).drop("n")
@@ -98,5 +99,6 @@ def span_tree(spans: DataFrame, max_rounds: int = 40) -> DataFrame:
             F.concat_ws("/", "p2", own).alias("path"),
         )
         state = cut_lineage(state.where("up is null").unionByName(moved))
+        i += 1
     done = state.where("up is null")
     return done.select("trace_id", "span_id", F.split("path", "/")[0].alias("root"), "depth", "path")

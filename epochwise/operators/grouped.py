@@ -62,12 +62,24 @@ def grouped_map(
 
 
 def batch_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType, key: str | None = None, partitions: int | None = None, fail_fast: bool = False) -> DataFrame:
-    """``fn`` on Arrow batches; repartitioned by key only when asked to."""
+    """``fn`` on Arrow batches; repartitioned by key only when asked to.
+
+    A batch that fails is run again in halves, so only the rows that fail by themselves become failure rows.
+    """
     run = _guarded(fn, schema.names, key, fail_fast)
 
+    def pieces(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        out = run(pdf)
+        if len(pdf) > 1 and len(out) == 1 and out[FAILURE].iloc[0]:
+            half = len(pdf) // 2
+            yield from pieces(pdf.iloc[:half].reset_index(drop=True))
+            yield from pieces(pdf.iloc[half:].reset_index(drop=True))
+        else:
+            yield out
+
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield run(pdf)
+            yield from pieces(pdf)
 
     if key is not None:
         df = df.repartition(partitions, key) if partitions else df.repartition(key)

@@ -48,9 +48,11 @@ def trace_summary(spans: DataFrame, run_id: str | None = None) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, qs: dict[str, float], group: list[str] | None = None) -> DataFrame:
-    """Nearest-rank percentiles, rounded to three decimals, one column per entry."""
+    """Nearest-rank percentiles, rounded to three decimals, one column per entry; without groups, 0 for no rows."""
     group = group or []
     found = ranks.order_statistics(rows, value, {name: ranks.nearest_rank(q) for name, q in qs.items()}, group)
+    if not group:  # an aggregate of the one row, or of none
+        found = found.agg(*[F.coalesce(F.max(name), F.lit(0.0)).alias(name) for name in qs])
     return found.select(*group, *[rnd(F.col(name), 3).alias(name) for name in qs])
 
 

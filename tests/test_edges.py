@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from epochwise import session
 from epochwise.functions import coerce, hashing, text
 from epochwise.operators import allocation, compare, contract, events, graph, grouped, joins, longitudinal, readout, safety, screening, telemetry
 from epochwise.sources import tables, versions
@@ -142,11 +143,14 @@ def test_first_failing_reason_wins(spark):
     assert json.loads(summary.failure_reasons)["renal_impairment"] == 1
 
 
-def test_effective_block_and_quotas():
+def test_effective_block_and_quotas(spark):
+    def slots(weights, size):
+        return spark.range(1).select(allocation.quota_slots(weights, F.lit(size)).alias("a")).first()["a"]
+
     assert [allocation.effective_block(3, b) for b in (1, 4, 5, 6, 7, 8)] == [3, 3, 6, 6, 6, 9]
     w = {"a": 0.25, "b": 0.375, "c": 0.375}
-    assert allocation.quota_labels(w, 6) == ["a", "a", "b", "b", "c", "c"]
-    assert [allocation.quota_labels({"x": 1.0, "y": 1.0}, s) for s in (1, 2, 3)] == [["x"], ["x", "y"], ["x", "x", "y"]]
+    assert slots(w, 6) == ["a", "a", "b", "b", "c", "c"]
+    assert [slots({"x": 1.0, "y": 1.0}, s) for s in (1, 2, 3)] == [["x"], ["x", "y"], ["x", "x", "y"]]
 
 
 @pytest.mark.parametrize("ids_per_block", [7, 4096])
@@ -377,3 +381,46 @@ def test_grouped_map_failures(spark):
     with pytest.raises(Exception):
         grouped.grouped_map(df, "k", f, schema, fail_fast=True).collect()
     assert grouped.grouped_map(df.where("k > 5"), "k", f, schema).count() == 0
+
+
+def test_batch_map_keeps_the_rest_of_a_failing_batch(spark):
+    def fn(pdf):
+        if (pdf.v == 500).any():
+            raise ValueError("bad row")
+        return pdf
+
+    df = spark.range(1000).select(F.when(F.col("id") >= 0, F.col("id")).alias("v"))
+    out = grouped.batch_map(df, fn, df.schema)
+    assert grouped.results(out).count() == 999 and grouped.failures(out).count() == 1
+
+
+def test_event_grades_out_of_range_do_not_stop_the_job(spark):
+    rows = [('[{"term": "a", "ctcae_grade": 1e12}, {"term": "b", "ctcae_grade": "NaN"}, {"term": "c", "ctcae_grade": "3"}]',)]
+    got = events.explode_events(spark.createDataFrame(rows, "adverse_events_json string")).collect()
+    assert {r.term: r.ctcae_grade for r in got} == {"a": 1, "b": 1, "c": 3}
+
+
+def test_white_space_around_grades_and_words(spark):
+    df = spark.createDataFrame([("\tsevere", "poor\n")], "a string, b string")
+    row = df.select(text.coerce_grade(F.col("a")).alias("a"), text.normalise_enum(F.col("b"), ("poor",), "good").alias("b")).first()
+    assert (row.a, row.b) == (3, "poor")
+
+
+def test_percentiles_of_no_rows_are_zero(spark):
+    df = spark.createDataFrame([], "v double")
+    assert telemetry.percentiles(df, "v", {"p50": 0.5}).collect()[0].p50 == 0.0
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
