@@ -20,11 +20,13 @@ from pyspark.sql import types as T
 from epochwise.llm.base import arrow_map, query, slim, table
 
 PASSAGE, WINDOW, STRIDE = 48, 64, 16
-#: Passages of one block; bounds what is broadcast (a block's vocabulary is at most PASSAGE times as large).
-BLOCK = 1024
-RANK = 160
-MIN_COSINE = 0.35
-#: Share of an item's squared weight that a window must carry to be projected.
+#: Passages of one block, not more than the rank, so that none lies outside the latent space; bounds what is broadcast (a block's vocabulary is at most PASSAGE times as large).
+BLOCK = 512
+RANK = 512
+MIN_COSINE = 0.3
+#: Words that are projected at a time.
+SLAB = 1 << 14
+#: Share of an item's squared weight that a window must carry to be a candidate.
 MIN_MASS = 0.25
 #: Share of an item's words in order: alone, and together with its answer.
 LCS_ALONE, LCS_WITH_ANSWER = 0.75, 0.6
@@ -131,14 +133,16 @@ def randomised_svd(matrix: DataFrame, terms: int, rows: int, rank: int = RANK, r
 
 def _weights(words: list[bytes], terms: dict[bytes, int], idf: np.ndarray) -> tuple[list[int], np.ndarray]:
     at, n = np.unique([terms[w] for w in words], return_counts=True)
-    return at.tolist(), (1 + np.log(n)) * idf[at]
+    return at.tolist(), n * idf[at]
 
 
 class _Block:
     """What tasks need of one block: vocabulary, weights, latent passages, item words and answers."""
 
     def __init__(self, terms, idf, basis, latent, norms, owner, items):
-        self.terms, self.idf, self.basis = terms, idf.astype(np.float32), basis.astype(np.float32)
+        # the last row stands for words outside the vocabulary
+        self.terms, self.idf = terms, np.append(idf, 0).astype(np.float32)
+        self.basis = np.vstack([basis * idf[:, None], np.zeros(basis.shape[1])]).astype(np.float32)
         self.latent = (latent / norms[:, None]).astype(np.float32)
         self.owner, self.items = owner, items
         self.floor = MIN_MASS * float((norms**2).min())
@@ -150,27 +154,26 @@ class _Block:
             return []
         get = self.terms.get
         at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        weight = np.where(at >= 0, self.idf[at], 0)
-        mass = np.concatenate([[0], np.cumsum(weight.astype(np.float64) ** 2)])
-        starts = np.arange(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)
-        ends = np.minimum(starts + WINDOW, len(words))
-        starts = starts[mass[ends] - mass[starts] >= self.floor]
-        if not len(starts):
-            return []
-        vectors = np.zeros((len(starts), self.basis.shape[1]), np.float32)
-        norms = np.ones(len(starts), np.float32)
-        for k, s in enumerate(starts):
-            t, n = np.unique(at[s : s + WINDOW], return_counts=True)
-            n, t = n[t >= 0], t[t >= 0]
-            w = (1 + np.log(n)).astype(np.float32) * self.idf[t]
-            vectors[k] = w @ self.basis[t]
-            norms[k] = math.sqrt(float(w @ w)) or 1
+        at[at < 0] = len(self.idf) - 1
         best: dict[int, tuple] = {}
-        for lo in range(0, len(starts), 4096):
-            cosine = vectors[lo : lo + 4096] @ self.latent.T / norms[lo : lo + 4096, None]
-            for k, p in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
+        # blocks of STRIDE words are summed once; a window is a few blocks in a row
+        per = WINDOW // STRIDE
+        for lo in range(0, len(words), SLAB):
+            part = at[lo : lo + SLAB + WINDOW]
+            edges = np.arange(0, len(part), STRIDE)
+            sums = np.add.reduceat(self.basis[part], edges, axis=0)
+            mass = np.add.reduceat(self.idf[part] ** 2, edges)
+            n = max(1, min(len(edges) - per + 1, SLAB // STRIDE))
+            pad = max(0, n + per - 1 - len(edges))
+            sums, mass = np.pad(sums, ((0, pad), (0, 0))), np.pad(mass, (0, pad))
+            vectors, norms = sums[:n].copy(), mass[:n].copy()
+            for k in range(1, per):
+                vectors += sums[k : k + n]
+                norms += mass[k : k + n]
+            cosine = vectors @ self.latent.T / np.sqrt(np.maximum(norms, 1e-9))[:, None]
+            for k, p in zip(*np.nonzero((cosine >= MIN_COSINE) & (norms >= self.floor)[:, None]), strict=True):
                 item = int(self.owner[p])
-                found = self._check(item, words, int(starts[lo + k]), float(cosine[k, p]))
+                found = self._check(item, words, lo + int(k) * STRIDE, float(cosine[k, p]))
                 if found and (item not in best or found[1:3] > best[item][1:3]):
                     best[item] = found
         return list(best.values())
@@ -182,6 +185,10 @@ class _Block:
         if len(own) < SHORT_ITEM:
             ok = contains(own, region)
             return (item, cosine, 1.0, True, start, len(own)) if ok else None
+        # words of the item that the region lacks cannot be in the subsequence
+        here = set(region)
+        if sum(w in here for w in own) < LCS_WITH_ANSWER * len(own):
+            return None
         share = lcs(own, region) / len(own)
         if share < LCS_WITH_ANSWER:
             return None
@@ -235,7 +242,8 @@ def _search_block(rows: DataFrame, block: DataFrame) -> DataFrame | None:
     matrix = spark.createDataFrame([(t, w.tolist()) for t, w in parts], sparse)
     basis = randomised_svd(matrix, len(terms), len(cut))
     latent = np.stack([w @ basis[t] for t, w in parts])
-    norms = np.array([math.sqrt(float(w @ w)) for _, w in parts])
+    # a word's weight is squared at each of its occurrences, in passages as in windows
+    norms = np.array([math.sqrt(float(w @ idf[t])) for t, w in parts])
     shared = spark.sparkContext.broadcast(_Block(terms, idf, basis, latent, norms, [r["item_id"] for r in cut], items))
     names = ["item_id", "cosine", "lcs", "answer", "start_word", "item_words"]
     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
