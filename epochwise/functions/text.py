@@ -92,10 +92,15 @@ def error_class(text: Column, is_network_error: Column | None = None) -> Column:
 WHITE = " \t\r\n\f\v"
 
 
-def coerce_grade(text: Column) -> Column:
-    """Grade 1 to 5 from a number, a severity word or the first digit found."""
+def coerce_grade(text: Column, quoted: Column | None = None) -> Column:
+    """Grade 1 to 5 from a number, a severity word or the first digit found.
+
+    Where ``quoted`` holds, the value was text in its JSON, so it is not rounded as a number: "10" has the first digit 1.
+    """
     t = F.lower(F.trim(text, F.lit(WHITE)))
     number = t.try_cast("double")
+    if quoted is not None:
+        number = F.when(~F.coalesce(quoted, F.lit(False)), number)
     words = F.create_map(*[F.lit(v) for kv in GRADE_WORDS.items() for v in kv])
     digit = F.regexp_extract(t, "[1-5]", 0)
     return F.coalesce(

@@ -217,25 +217,27 @@ def answer_status(answers: DataFrame, key: str, column="text") -> DataFrame:
 def symptom_rows(answers: DataFrame, key: str, column="text", limit: int = 5) -> DataFrame:
     """One row per symptom, from the first ``limit`` array elements of an answer.
 
-    Text elements are terms of grade 1; objects may use the alternative field
+    Text elements are terms of grade 1, empty ones too; objects may use the alternative field
     names; other elements and objects without a term are skipped.
     """
     a = answer_payloads(answers, column).where("listing is not null")
     items = F.slice(F.try_variant_get(F.try_parse_json("listing"), "$", "array<variant>"), 1, limit)
     rows = a.select(key, F.posexplode(items).alias("i", "x"))
-    rows = rows.select(key, (F.col("i") + 1).alias("position"), F.schema_of_variant("x").alias("kind"), F.to_json("x").alias("j"), F.try_variant_get("x", "$", "string").alias("s"))
+    rows = rows.select(key, "x", (F.col("i") + 1).alias("position"), F.schema_of_variant("x").alias("kind"), F.to_json("x").alias("j"), F.try_variant_get("x", "$", "string").alias("s"))
     is_obj = F.col("kind").startswith("OBJECT")
     rows = rows.withColumn("m", F.when(is_obj, F.from_json("j", "map<string,string>")))
-    rows = rows.withColumn(
-        "g", F.coalesce(F.try_element_at("m", F.lit("ctcae_grade")), F.try_element_at("m", F.lit("grade")), F.lit("1"))
-    )
-    plain = F.when(F.col("kind") == "STRING", F.trim("s"))
+    # a field that is there counts even if null; the JSON type of its value decides how it is read
+    field = F.when(F.map_contains_key("m", "ctcae_grade"), "ctcae_grade").otherwise("grade")
+    kinds = [F.schema_of_variant(F.try_variant_get("x", f"$.{name}", "variant")) for name in ("ctcae_grade", "grade")]
+    rows = rows.select("*", F.when(field == "ctcae_grade", kinds[0]).otherwise(kinds[1]).alias("gk"), F.try_element_at("m", field).alias("g"))
+    plain = F.when(F.col("kind") == "STRING", F.trim("s", F.lit(tx.WHITE)))
     term = F.coalesce(plain, F.when(is_obj, _first_text(F.col("m"), "term", "symptom", "name")))
     said = F.coalesce(plain, F.when(is_obj, _first_text(F.col("m"), "verbatim", "quote", "description")))
     return rows.select(
         key,
         "position",
         F.substring(term, 1, 120).alias("term"),
-        F.when(is_obj, tx.coerce_grade(F.col("g"))).otherwise(1).alias("grade"),
+        F.when(is_obj, tx.coerce_grade(F.col("g"), F.col("gk") == "STRING")).otherwise(1).alias("grade"),
         F.substring(said, 1, 400).alias("verbatim"),
-    ).where("term <> ''")
+        is_obj.alias("_o"),
+    ).where("term <> '' OR (NOT _o AND term IS NOT NULL)").drop("_o")

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from epochwise.functions import intervals, tails
-from epochwise.functions.hashing import stable_seed, uniform
+from epochwise.functions.hashing import stable_seed
 from epochwise.functions.numbers import ratio
 from epochwise.operators.joins import beside_control
 from epochwise.operators.longitudinal import meets_threshold
@@ -122,42 +126,92 @@ def mann_whitney(rows: DataFrame, control: str, by: list[str], value="value", ar
     return both.withColumn("p_value", tails.normal_two_sided("z")).select(*whole, arm, "n", "control_n", "u", "z", "p_value")
 
 
-def poisson_steps(limit: int = 12) -> list[float]:
-    """Cumulative Poisson(1) probabilities, the cut points of the weight draw."""
-    total, out = 0.0, []
-    for k in range(limit):
-        total += math.exp(-1.0) / math.factorial(k)
-        out.append(total)
-    return out
+#: Multipliers of the 32-bit mix, constant of the second word.
+MIX = (0x7FEB352D, 0x846CA68B)
+SECOND = 0x9E3779B9
+#: Rows whose weights are drawn at a time, groups that a task keeps before it sends its sums on.
+DRAWN, HELD = 256, 256
+
+
+def poisson_steps() -> list[int]:
+    """Cumulative Poisson(1) probabilities in units of 2**-53, the resolution of the draw; the last step is the last one below 1."""
+    one, term, total, out, k = Fraction(1 << 53), Fraction(1), Fraction(0), [], 0
+    e = sum(Fraction(1, math.factorial(i)) for i in range(40))
+    while True:
+        total += term / e
+        if round(total * one) >= 1 << 53:
+            return out
+        out.append(round(total * one))
+        k += 1
+        term /= k
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(MIX[0])
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(MIX[1])
+    return x ^ (x >> np.uint32(16))
+
+
+def poisson_weights(seeds: np.ndarray, resamples: int) -> np.ndarray:
+    """Weights of (seed, replicate): 53 bits from two words of an integer mix, looked up among the Poisson steps."""
+    rep = _mix(np.arange(1, resamples + 1, dtype=np.uint32))[None, :]
+    high, low = (seeds >> 32).astype(np.uint32)[:, None], (seeds & 0xFFFFFFFF).astype(np.uint32)[:, None]
+    first = _mix(_mix(rep ^ high) ^ low)
+    draw = (first.astype(np.uint64) << np.uint64(21)) | (_mix(first ^ np.uint32(SECOND)) >> np.uint32(11))
+    return np.searchsorted(np.array(poisson_steps(), np.uint64), draw, side="right").astype(np.float64)
+
+
+def _weighted_sums(keys: list[str], resamples: int):
+    """A mapInArrow function: per group of the task, the weighted sum and count of each replicate."""
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def send():
+            if not held:
+                return
+            columns = [pa.array([k[i] for k in held], t) for i, t in enumerate(kinds)]
+            columns += [pa.array([x[i] for x in held.values()], pa.list_(pa.float64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "s", "c"])
+            held.clear()
+
+        for b in batches:
+            kinds = [b.schema.field(k).type for k in keys]
+            places = pa.table([*(b.column(k) for k in keys), pa.array(range(b.num_rows))], names=[*keys, "_i"])
+            seeds, values = b.column("_seed").to_numpy(zero_copy_only=False), b.column("_v").to_numpy(zero_copy_only=False)
+            for row in places.group_by(keys).aggregate([("_i", "list")]).to_pylist():
+                at, key = np.array(row.pop("_i_list")), tuple(row[k] for k in keys)
+                if key not in held and len(held) >= HELD:
+                    yield from send()
+                sums = held.setdefault(key, np.zeros((2, resamples)))
+                for j in range(0, len(at), DRAWN):
+                    some = at[j : j + DRAWN]
+                    sums += np.stack([values[some], np.ones(len(some))]) @ poisson_weights(seeds[some], resamples)
+        yield from send()
+
+    return run
 
 
 def bootstrap_difference(
-    rows: DataFrame, control: str, by: list[str], seed: str, resamples=2000, cells=1024, confidence=0.95, subject="subject", arm="arm", value="value"
+    rows: DataFrame, control: str, by: list[str], seed: str, resamples=2000, confidence=0.95, subject="subject", arm="arm", value="value"
 ) -> DataFrame:
     """Bootstrap interval of each arm's mean difference from control.
 
-    Subjects fall into ``cells`` hash cells per arm; the cells' sums and counts
-    are resampled with Poisson weights drawn from the key (arm, cell,
-    replicate).  Work after the first shuffle is arms x cells x resamples, for
-    any number of subjects, and the draw does not depend on partitioning.
+    Every subject gets a Poisson weight per replicate, a function of (seed, subject, replicate) alone, so the draw does
+    not depend on partitioning and a subject's rows are resampled together.  A task adds the weighted values up in two
+    arrays per group and sends only those; no row is expanded.
     """
-    cell = (stable_seed(seed, F.col(subject), "cell") % cells).alias("cell")
-    sums = (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*by, arm, cell)
-        .agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    )
-    # few rows, much work each: spread them over all cores before the expansion
-    sums = sums.repartition(rows.sparkSession.sparkContext.defaultParallelism, *by, arm, "cell")
-    drawn = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = uniform(seed, F.col(arm), F.col("cell"), F.col("rep"))
-    drawn = drawn.withColumn("u", u)
-    weight = sum((F.when(F.col("u") >= step, 1).otherwise(0) for step in poisson_steps()), F.lit(0))
-    means = (
-        drawn.withColumn("w", weight)
-        .groupBy(*by, arm, "rep")
-        .agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("m"))
+    keys = [*by, arm]
+    drawn = rows.where(F.col(value).isNotNull()).select(
+        *keys, stable_seed(seed, F.coalesce(F.col(subject).cast("string"), F.lit(""))).alias("_seed"), F.col(value).cast("double").alias("_v")
     )
+    # much work a row: spread by subject, over as many tasks as the session shuffles into
+    drawn = drawn.repartition("_seed")
+    kinds = StructType([*(drawn.schema[k] for k in keys), StructField("s", ArrayType(DoubleType())), StructField("c", ArrayType(DoubleType()))])
+    sums = drawn.mapInArrow(_weighted_sums(keys, resamples), kinds)
+    sums = sums.select(*keys, F.posexplode(F.arrays_zip("s", "c")).alias("rep", "_w"))
+    means = sums.groupBy(*keys, "rep").agg(F.try_divide(F.sum("_w.s"), F.sum("_w.c")).alias("m"))
     diffs = beside_control(means, ["m"], [*by, "rep"], control, arm, missing=None).where(F.col(arm) != control)
     tail = (1.0 - confidence) / 2.0
     q = F.percentile(F.col("m") - F.col("control_m"), F.array(F.lit(tail), F.lit(1.0 - tail)))
@@ -192,7 +246,7 @@ def endpoint_values(eot: DataFrame, endpoints: list[Endpoint], subject="subject"
     return eot.select(subject, arm, F.explode(F.array(*entries)).alias("_e")).select(subject, arm, "_e.endpoint", "_e.value", "_e.hit")
 
 
-def compare_endpoints(eot: DataFrame, endpoints: list[Endpoint], control: str, seed: str, resamples=2000, cells=1024) -> DataFrame:
+def compare_endpoints(eot: DataFrame, endpoints: list[Endpoint], control: str, seed: str, resamples=2000) -> DataFrame:
     """Every treatment arm and endpoint against control, with adjusted p values.
 
     Continuous: Welch test with a bootstrap interval.  Binary: pooled z, or the
@@ -216,7 +270,7 @@ def compare_endpoints(eot: DataFrame, endpoints: list[Endpoint], control: str, s
     pairs = welch(pairs).withColumnRenamed("p_value", "p_welch")
     pairs = z_test(pairs).withColumnRenamed("p_value", "p_z").withColumn("p_fisher", fisher_p())
     kinds = [e.name for e in endpoints if e.kind != "binary"]
-    boot = bootstrap_difference(long.where(F.col("endpoint").isin(kinds)), control, ["endpoint"], seed, resamples, cells)
+    boot = bootstrap_difference(long.where(F.col("endpoint").isin(kinds)), control, ["endpoint"], seed, resamples)
     low, high = intervals.newcombe(F.col("hits"), F.col("n"), F.col("control_hits"), F.col("control_n"))
     few = F.least("hits", "control_hits", F.col("n") - F.col("hits"), F.col("control_n") - F.col("control_hits")) < 5
     binary = constants("kind") == "binary"

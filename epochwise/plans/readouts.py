@@ -76,6 +76,8 @@ safety AS (SELECT arm, term, soc, n AS n_subjects, n_events, k AS n_subjects_wit
       least(1.0, min(p_value * m / rk) OVER (ORDER BY rk DESC)) AS q_value, grade3_plus, grade5, serious, reported_subjects,
       mp AS mean_probability, grade_distribution FROM q)"""
 _SAFETY_DOUBLES = ["rate", "control_rate", "risk_difference", "rd_ci_low", "rd_ci_high", "p_value", "q_value", "mean_probability"]
+#: Means of hundredths often end in a 5 at the seventh digit, which sums in another order may round either way.
+_DIGITS = {"mean_probability": 12}
 
 
 def safety_rows(spark, d):
@@ -84,10 +86,11 @@ def safety_rows(spark, d):
 
 @query(
     "agg03_safety_table",
-    sql("trial", SAFETY_CTE + " SELECT * REPLACE (" + ", ".join(f"{r(c)} AS {c}" for c in _SAFETY_DOUBLES) + ") FROM safety"),
+    sql("trial", SAFETY_CTE + " SELECT * REPLACE (" + ", ".join(f"{r(c, _DIGITS.get(c, 6))} AS {c}" for c in _SAFETY_DOUBLES) + ") FROM safety"),
 )
 def _(spark, d):
-    return safety.by_rate(rounded(safety_rows(spark, d), _SAFETY_DOUBLES))
+    table = rounded(safety_rows(spark, d), [c for c in _SAFETY_DOUBLES if c not in _DIGITS])
+    return safety.by_rate(rounded(table, ["mean_probability"], 12))
 
 
 @query(
@@ -95,12 +98,12 @@ def _(spark, d):
     sql(
         "trial",
         SAFETY_CTE + f""" SELECT arm, term, soc, n_subjects, n_events, n_subjects_with_event, {r('rate')} AS rate, grade3_plus, grade5, serious,
-        reported_subjects, {r('mean_probability')} AS mean_probability, grade_distribution FROM safety""",
+        reported_subjects, {r('mean_probability', 12)} AS mean_probability, grade_distribution FROM safety""",
     ),
 )
 def _(spark, d):
     t = safety.safety_table(v.ae_events(spark, d), end_rows(trial_log(spark, d)), None)
-    return rounded(t, ["rate", "mean_probability"])
+    return rounded(rounded(t, ["rate"]), ["mean_probability"], 12)
 
 
 @query(

@@ -68,12 +68,13 @@ def _(spark, d):
 
 # --- report merge --------------------------------------------------------------
 def reports(spark, d):
-    """Symptom reports: half of the modelled terms restated, plus new complaints."""
-    known = v.ae_events(spark, d).where("p > 0.4").select(
-        "subject", "arm", "epoch", F.concat(F.lit(" "), F.upper("term"), F.lit(" ")).alias("term"),
+    """Symptom reports: the likely terms restated, the others in words of their own, plus new complaints."""
+    restated = F.when(F.col("p") > 0.4, F.concat(F.lit(" "), F.upper("term"), F.lit(" "))).otherwise(F.concat(F.lit("like "), F.col("term")))
+    known = v.ae_events(spark, d).select(
+        "subject", "arm", "epoch", restated.alias("term"),
         (1 + (F.col("grade") + 1) % 5).cast("int").alias("grade"), F.when(F.col("grade") % 2 == 0, "as told").otherwise("").alias("verbatim"),
     )
-    fresh = v.obs_events(spark, d).where("epoch % 3 = 0").select(
+    fresh = v.obs_events(spark, d).select(
         "subject", "arm", "epoch", F.explode(F.array(F.lit("New ache"), F.lit("new ACHE "), F.lit("zz late one"))).alias("term"),
         (1 + F.col("subject") % 5).cast("int").alias("grade"), F.lit("it hurts").alias("verbatim"),
     )
@@ -85,9 +86,9 @@ def reports(spark, d):
 
 
 _REPORTS = """
-, said AS (SELECT subject, arm, epoch, ' ' || upper(term) || ' ' AS term, CAST(1 + (grade + 1) % 5 AS INTEGER) AS grade, CASE WHEN grade % 2 = 0 THEN 'as told' ELSE '' END AS verbatim
-           FROM ae_events WHERE p > 0.4
-  UNION ALL SELECT subject, arm, epoch, t, CAST(1 + subject % 5 AS INTEGER), 'it hurts' FROM obs_events, unnest(['New ache', 'new ACHE ', 'zz late one']) u(t) WHERE epoch % 3 = 0),
+, said AS (SELECT subject, arm, epoch, CASE WHEN p > 0.4 THEN ' ' || upper(term) || ' ' ELSE 'like ' || term END AS term, CAST(1 + (grade + 1) % 5 AS INTEGER) AS grade, CASE WHEN grade % 2 = 0 THEN 'as told' ELSE '' END AS verbatim
+           FROM ae_events
+  UNION ALL SELECT subject, arm, epoch, t, CAST(1 + subject % 5 AS INTEGER), 'it hurts' FROM obs_events, unnest(['New ache', 'new ACHE ', 'zz late one']) u(t)),
 reps AS (SELECT *, lower(trim(term)) AS key FROM said QUALIFY row_number() OVER (PARTITION BY subject, epoch ORDER BY lower(trim(term)), term) <= 5),
 best AS (SELECT subject, epoch, key, max(grade) AS g, max(verbatim) AS vb FROM reps GROUP BY ALL),
 merged AS (
@@ -337,7 +338,7 @@ def _(spark, d):
 
 # --- text ------------------------------------------------------------------------------------
 _SHAPES = """
-, s AS (SELECT 'e' || event_id AS answer_id, (event_id // 3) % 10 AS shape, CAST(1 + k % 5 AS INTEGER) AS g, event_type || '_' || (k // 20) AS term FROM ev WHERE k % 4 = 0)"""
+, s AS (SELECT 'e' || event_id AS answer_id, (event_id // 3) % 10 AS shape, CAST(1 + k % 5 AS INTEGER) AS g, event_type || '_' || (k // 20) AS term FROM ev)"""
 _ADVICE = " OR ".join(f"contains(lower(text), '{p}')" for p in text.ADVICE_PHRASES)
 
 
@@ -348,7 +349,8 @@ _ADVICE = " OR ".join(f"contains(lower(text), '{p}')" for p in text.ADVICE_PHRAS
         _SHAPES + """ SELECT answer_id, 1 AS position, term, CASE WHEN shape = 8 THEN 5 ELSE g END AS grade, CASE WHEN shape IN (0, 1, 5) THEN 'felt it' ELSE '' END AS verbatim
           FROM s WHERE shape IN (0, 1, 2, 3, 4, 5, 8)
         UNION ALL SELECT answer_id, 2, 'ache', 3, '' FROM s WHERE shape IN (0, 1, 5)
-        UNION ALL SELECT answer_id, 2, 'plain ache', 1, 'plain ache' FROM s WHERE shape = 4""",
+        UNION ALL SELECT answer_id, p, t, u.g, CASE WHEN p = 2 THEN t ELSE '' END FROM s,
+          (VALUES (2, 'plain ache', 1), (4, 'quoted', 1), (5, '', 1)) u(p, t, g) WHERE shape = 4""",
     ),
 )
 def _(spark, d):
@@ -378,8 +380,8 @@ _GRADE_TEXT = """CASE k % 9 WHEN 0 THEN ' Severe ' WHEN 1 THEN 'life threatening
     "txt02_grade_coercion",
     sql(
         "ev",
-        f""", t AS (SELECT event_id, lower(trim({_GRADE_TEXT})) AS t FROM ev)
-        SELECT event_id, CAST(CASE WHEN try_cast(t AS DOUBLE) IS NOT NULL THEN least(5, greatest(1, round_even(try_cast(t AS DOUBLE), 0)))
+        f""", t AS (SELECT event_id, lower(trim({_GRADE_TEXT})) AS t, k % 2 = 1 AS quoted FROM ev)
+        SELECT event_id, CAST(CASE WHEN NOT quoted AND try_cast(t AS DOUBLE) IS NOT NULL THEN least(5, greatest(1, round_even(try_cast(t AS DOUBLE), 0)))
           WHEN t = 'severe' THEN 3 WHEN t = 'life threatening' THEN 4 WHEN t = 'moderate' THEN 2
           WHEN regexp_matches(t, '[1-5]') THEN CAST(regexp_extract(t, '[1-5]') AS INTEGER) ELSE 1 END AS INTEGER) AS grade FROM t""",
     ),
@@ -390,7 +392,7 @@ def _(spark, d):
         F.when(m == 0, " Severe ").when(m == 1, "life threatening").when(m == 2, F.concat(F.lit("grade "), (F.col("k") % 7).cast("string")))
         .when(m == 3, (F.col("k") / 10.0).cast("string")).when(m == 4, "true").when(m == 6, "Moderate").when(m == 7, F.col("k").cast("string")).when(m == 8, "unknown")
     )
-    return v._events(spark, d).select("event_id", text.coerce_grade(raw).alias("grade"))
+    return v._events(spark, d).select("event_id", text.coerce_grade(raw, F.col("k") % 2 == 1).alias("grade"))
 
 
 @query("txt03_safety_phrases", sql("answers", f"SELECT answer_id, {_ADVICE} AS rejected FROM answers"))

@@ -10,7 +10,7 @@ from epochwise.operators import inference, multiplicity, readout, safety
 from epochwise.operators import longitudinal as lon
 from epochwise.operators.joins import beside_control
 from epochwise.plans import views as v
-from epochwise.plans.base import fisher_p_sql, newcombe_sql, normal_p_sql, query, r, seed_sql, t_p_sql, uniform_sql
+from epochwise.plans.base import fisher_p_sql, newcombe_sql, normal_p_sql, query, r, seed_sql, t_p_sql
 from epochwise.plans.readouts import ARM_SUMMARY_CTE, SAFETY_CTE, arm_summary, rounded, safety_rows
 from epochwise.plans.trial import end_rows, trial_log
 from epochwise.plans.views import sql
@@ -138,19 +138,39 @@ def _(spark, d):
 
 
 # --- bootstrap --------------------------------------------------------------------
-def _weight_sql(u):
-    return " + ".join(f"CASE WHEN {u} >= {step!r}::DOUBLE THEN 1 ELSE 0 END" for step in inference.poisson_steps())
-
-
-def _boot_sql(values, seed, cells, reps, control, by=()):
-    """CTEs cells_, draws_, means_, boot_ from a relation (by.., arm, subject, v)."""
+def _mix_sql(source, name, x, columns):
+    """CTEs that add the column ``name``: the 32-bit integer mix of ``x`` over a relation."""
+    out, last = [], source
+    steps = [(f"({x})", 16, inference.MIX[0]), (f"{name}_0", 15, inference.MIX[1]), (f"{name}_1", 16, None)]
+    for i, (word, shift, factor) in enumerate(steps):
+        word = f"xor({word}, {word} >> {shift}::UBIGINT)"
+        value = f"({word} * {factor}::UBIGINT) & 4294967295::UBIGINT" if factor else word
+        here = name if factor is None else f"{name}_{i}"
+        out.append(f"{source}_{here} AS MATERIALIZED (SELECT {columns}, {value} AS {here} FROM {last})")
+        last = f"{source}_{here}"
+    return ",\n".join(out), last
+
+
+def _boot_sql(values, seed, reps, control, by=()):
+    """CTEs subjects_, draws_, weights_, means_, boot_ from a relation (by.., arm, subject, v)."""
     key = "".join(f"{b}, " for b in by)
     on = " AND ".join(["k.rep = m.rep", f"k.arm = '{control}'", *[f"k.{b} = m.{b}" for b in by]])
-    draw = uniform_sql(f"'{seed}|' || arm || '|' || cell || '|' || rep")
+    m1, t1 = _mix_sql("reps_", "r", "rep::UBIGINT", "rep")
+    m2, t2 = _mix_sql("pairs_", "a", "xor(r, s >> 32)", "subject, s, rep, r")
+    m3, t3 = _mix_sql(t2, "b", "xor(a, s & 4294967295::UBIGINT)", "subject, s, rep, a")
+    m4, t4 = _mix_sql(t3, "z", f"xor(b, {inference.SECOND}::UBIGINT)", "subject, rep, b")
+    weight = " + ".join(f"(u >= {step}::UBIGINT)::INTEGER" for step in inference.poisson_steps())
     return f"""
-cells_ AS (SELECT {key}arm, {seed_sql(f"'{seed}|' || subject || '|cell'")} % {cells} AS cell, sum(v) AS s, count(v) AS c FROM {values} WHERE v IS NOT NULL GROUP BY ALL),
-draws_ AS (SELECT *, {draw} AS u FROM cells_, range(1, {reps} + 1) g(rep)),
-means_ AS (SELECT {key}arm, rep, sum(({_weight_sql('u')}) * s) / nullif(sum(({_weight_sql('u')}) * c), 0) AS m FROM draws_ GROUP BY {key}arm, rep),
+reps_ AS (SELECT range AS rep FROM range(1, {reps} + 1)),
+{m1},
+subjects_ AS (SELECT DISTINCT subject, {seed_sql(f"'{seed}|' || coalesce(CAST(subject AS VARCHAR), '')")}::UBIGINT AS s FROM {values} WHERE v IS NOT NULL),
+pairs_ AS (SELECT subject, s, rep, r FROM subjects_, {t1}),
+{m2},
+{m3},
+{m4},
+draws_ AS (SELECT subject, rep, b * 2097152::UBIGINT + (z >> 11::UBIGINT) AS u FROM {t4}),
+weights_ AS (SELECT subject, rep, {weight} AS w FROM draws_),
+means_ AS (SELECT {key}arm, rep, sum(w * v) / nullif(sum(w), 0) AS m FROM {values} JOIN weights_ USING (subject) WHERE v IS NOT NULL GROUP BY {key}arm, rep),
 boot_ AS (SELECT {''.join(f'm.{b}, ' for b in by)}m.arm, quantile_cont(m.m - k.m, 0.025) AS ci_low, quantile_cont(m.m - k.m, 0.975) AS ci_high
           FROM means_ m JOIN means_ k ON {on} WHERE m.arm <> '{control}' GROUP BY ALL)"""
 
@@ -160,12 +180,12 @@ boot_ AS (SELECT {''.join(f'm.{b}, ' for b in by)}m.arm, quantile_cont(m.m - k.m
     sql(
         "obs_orders",
         """, e AS (SELECT arm, subject, x AS v FROM obs_orders QUALIFY epoch = max(epoch) OVER (PARTITION BY subject)), """
-        + _boot_sql("e", "2024", 1024, 200, "BUILDING") + f" SELECT arm, {r('ci_low', 5)} AS ci_low, {r('ci_high', 5)} AS ci_high FROM boot_",
+        + _boot_sql("e", "2024", 2000, "BUILDING") + f" SELECT arm, {r('ci_low', 5)} AS ci_low, {r('ci_high', 5)} AS ci_high FROM boot_",
     ),
 )
 def _(spark, d):
     rows = lon.end_of_treatment(v.obs_orders(spark, d)).select("arm", "subject", "x")
-    b = inference.bootstrap_difference(rows, "BUILDING", [], "2024", resamples=200, value="x")
+    b = inference.bootstrap_difference(rows, "BUILDING", [], "2024", value="x")
     return rounded(b, ["ci_low", "ci_high"], 5)
 
 
@@ -176,7 +196,6 @@ ENDPOINTS = [
     inference.Endpoint("change_y", "y_change", "continuous", "increase", mcid=20.0),
     inference.Endpoint("flagged", "x", "binary", "two_sided", mcid=0.05),
 ]
-_REPS, _CELLS = 100, 256
 _NB = newcombe_sql("h", "n", "ch", "cn")
 COMPARE_CTE = f"""
 , long AS (SELECT subject, arm, 'change_x' AS endpoint, x_change AS v, false AS hit FROM eot
@@ -184,7 +203,7 @@ COMPARE_CTE = f"""
   UNION ALL SELECT subject, arm, 'change_y', y_change, false FROM eot UNION ALL SELECT subject, arm, 'flagged', x, responder FROM eot),
 st AS (SELECT endpoint, arm, count(v) AS n, avg(v) AS mean, var_samp(v) AS var, count(*) FILTER (hit) AS h FROM long GROUP BY ALL),
 pr AS (SELECT st.*, k.n AS cn, k.mean AS cmean, k.var AS cvar, k.h AS ch FROM st JOIN st k ON k.endpoint = st.endpoint AND k.arm = 'ctl' WHERE st.arm <> 'ctl'),
-cont AS (SELECT * FROM long WHERE endpoint IN ('change_x', 'change_y')),""" + _boot_sql("cont", "9", _CELLS, _REPS, "ctl", ("endpoint",)) + f"""
+cont AS (SELECT * FROM long WHERE endpoint IN ('change_x', 'change_y')),""" + _boot_sql("cont", "9", 2000, "ctl", ("endpoint",)) + f"""
 , tt AS (SELECT *, (mean - cmean) / sqrt(var / n + cvar / cn) AS t,
          pow(var / n + cvar / cn, 2) / (pow(var / n, 2) / (n - 1) + pow(cvar / cn, 2) / (cn - 1)) AS df, {_Z} AS z FROM pr),
 co AS (SELECT endpoint, arm, 'ctl' AS control_arm, endpoint = 'change_x' AS is_primary, mean - cmean AS effect, b.ci_low, b.ci_high,
@@ -203,7 +222,7 @@ comparisons AS (SELECT co.*, fq.q_value FROM co LEFT JOIN fq USING (endpoint, ar
 
 
 def comparisons(spark, d):
-    return inference.compare_endpoints(end_rows(trial_log(spark, d)), ENDPOINTS, "ctl", "9", resamples=_REPS, cells=_CELLS)
+    return inference.compare_endpoints(end_rows(trial_log(spark, d)), ENDPOINTS, "ctl", "9")
 
 
 @query(
@@ -214,11 +233,15 @@ def _(spark, d):
     return rounded(comparisons(spark, d), ["effect", "ci_low", "ci_high", "p_value", "q_value"], 5)
 
 
+#: Base risk of every term of the event view: event type and band of its counter.
+BASES = {f"{kind}_{band}": 0.0005 * (band + 1 + place) for place, kind in enumerate(("click", "error", "purchase", "signup", "view")) for band in range(25)}
+
+
 @query(
     "sta10_calibration",
     sql(
         "trial",
-        f""", terms AS (SELECT * FROM (VALUES ('click_0', 0.01), ('view_2', 0.02), ('purchase_4', 0.005)) t(term, base)),
+        f""", terms AS (SELECT * FROM (VALUES {', '.join(f"('{t}', {b!r}::DOUBLE)" for t, b in BASES.items())}) t(term, base)),
         s AS (SELECT arm, term, subject, 1 - product(1 - (base + n_rows / 500.0::DOUBLE)) AS predicted FROM obs_events, terms GROUP BY ALL),
         seen AS (SELECT DISTINCT arm, term, subject FROM ae_events),
         g AS (SELECT s.arm, s.term, count(*) AS n, avg(predicted) AS predicted, count(seen.subject)::DOUBLE / count(*) AS observed
@@ -228,8 +251,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    bases = {"click_0": 0.01, "view_2": 0.02, "purchase_4": 0.005}
-    terms = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(b).alias("base")) for t, b in bases.items()]))
+    terms = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(b).alias("base")) for t, b in BASES.items()]))
     risks = v.obs_events(spark, d).select("arm", "subject", "n_rows", terms.alias("t"))
     risks = risks.select("arm", "subject", "t.term", (F.col("t.base") + F.col("n_rows") / 500.0).alias("p"))
     return rounded(inference.calibration(risks, v.ae_events(spark, d)), ["predicted", "observed", "ratio"])

@@ -80,8 +80,8 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ae_events(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d).where("k % 4 = 0")
-    term = F.concat_ws("_", F.col("event_type"), F.floor(F.col("k") / 20).cast("string"))
+    e = _events(spark, d)
+    term = F.concat_ws("_", F.col("event_type"), F.floor(F.col("k") / 4).cast("string"))
     g = (
         e.groupBy("subject", "arm", "epoch", term.alias("term"))
         .agg(F.max("k").alias("k"))
@@ -93,7 +93,7 @@ def ae_events(spark: SparkSession, d: str) -> DataFrame:
         "arm",
         "epoch",
         "term",
-        F.concat(F.lit("soc_"), (F.floor(F.col("k") / 4) % 3).cast("string")).alias("soc"),
+        F.concat(F.lit("soc_"), (F.col("k") % 3).cast("string")).alias("soc"),
         "grade",
         (F.col("grade") >= 4).alias("serious"),
         F.when(F.col("k") > 66, "probable").when(F.col("k") > 33, "possible").otherwise("unlikely").alias("relatedness"),
@@ -114,10 +114,10 @@ ev AS (
 
 AE_EVENTS = """
 ae_events AS (
-  WITH g AS (SELECT subject, arm, epoch, event_type || '_' || (k // 20) AS term, max(k) AS k
-             FROM ev WHERE k % 4 = 0 GROUP BY ALL)
+  WITH g AS (SELECT subject, arm, epoch, event_type || '_' || (k // 4) AS term, max(k) AS k
+             FROM ev GROUP BY ALL)
   SELECT sha256(subject || '|' || epoch || '|' || term)[1:20] AS ae_id, subject, arm, epoch, term,
-         'soc_' || ((k // 4) % 3) AS soc, CAST(1 + k % 5 AS INTEGER) AS grade, k % 5 >= 3 AS serious,
+         'soc_' || (k % 3) AS soc, CAST(1 + k % 5 AS INTEGER) AS grade, k % 5 >= 3 AS serious,
          CASE WHEN k > 66 THEN 'probable' WHEN k > 33 THEN 'possible' ELSE 'unlikely' END AS relatedness,
          k / 100.0::DOUBLE AS p,
          CASE WHEN k % 16 = 0 THEN 'hybrid' WHEN k % 8 = 0 THEN 'llm' ELSE 'model' END AS source,
@@ -426,8 +426,8 @@ batch_log AS (
 # V9: free-text answers, eight shapes, plus the conversations as plain prose
 # --------------------------------------------------------------------------
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    """One answer per event with k % 4 = 0; the shape cycles with event_id."""
-    e = _events(spark, d).where("k % 4 = 0")
+    """One answer per event; the shape cycles with event_id."""
+    e = _events(spark, d)
     g = (1 + F.col("k") % 5).cast("string")
     term = F.concat_ws("_", F.col("event_type"), F.floor(F.col("k") / 20).cast("string"))
     obj = F.concat(
@@ -440,7 +440,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
         .when(shape == 1, F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
         .when(shape == 2, F.concat(F.lit('{"symptoms": [{"term": "'), term, F.lit('", "ctcae_grade": '), g, F.lit(",},],}")))
         .when(shape == 3, F.concat(F.lit("{'symptoms': [{'term': '"), term, F.lit("', 'ctcae_grade': "), g, F.lit("}], 'note': None}")))
-        .when(shape == 4, F.concat(F.lit('[{"name": "'), term, F.lit('", "grade": "'), g, F.lit(' of 5"}, "plain ache", 7]')))
+        .when(shape == 4, F.concat(F.lit('[{"name": "'), term, F.lit('", "grade": "'), g, F.lit(' of 5"}, "plain ache", 7, {"name": "quoted", "grade": "10"}, ""]')))
         .when(shape == 5, F.concat(F.lit("Well, "), obj, F.lit(" that is all.")))
         .when(shape == 6, F.concat(F.lit("You should take rest. "), obj))
         .when(shape == 7, F.lit("  "))
@@ -462,14 +462,14 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 ANSWERS = """
 answers AS (
   WITH b AS (SELECT *, CAST(1 + k % 5 AS VARCHAR) AS g, event_type || '_' || (k // 20) AS term, (event_id // 3) % 10 AS shape
-             FROM ev WHERE k % 4 = 0),
+             FROM ev),
        o AS (SELECT *, '{"symptoms": [{"term": "' || term || '", "ctcae_grade": ' || g ||
              ', "verbatim": "felt it"}, {"symptom": "ache", "grade": "severe"}], "overall_tolerability": " Poor ", "adherence_intent": "unsure"}' AS obj FROM b)
   SELECT 'e' || event_id AS answer_id, subject, epoch,
          CASE shape WHEN 0 THEN obj WHEN 1 THEN '```json' || chr(10) || obj || chr(10) || '```'
            WHEN 2 THEN '{"symptoms": [{"term": "' || term || '", "ctcae_grade": ' || g || ',},],}'
            WHEN 3 THEN '{''symptoms'': [{''term'': ''' || term || ''', ''ctcae_grade'': ' || g || '}], ''note'': None}'
-           WHEN 4 THEN '[{"name": "' || term || '", "grade": "' || g || ' of 5"}, "plain ache", 7]'
+           WHEN 4 THEN '[{"name": "' || term || '", "grade": "' || g || ' of 5"}, "plain ache", 7, {"name": "quoted", "grade": "10"}, ""]'
            WHEN 5 THEN 'Well, ' || obj || ' that is all.' WHEN 6 THEN 'You should take rest. ' || obj
            WHEN 7 THEN '  ' WHEN 8 THEN '{"term": "' || term || '", "grade": 9.6}'
            ELSE 'no complaints from user ' || subject END AS text

@@ -278,6 +278,12 @@ def test_grades(spark, given, want):
     assert spark.createDataFrame([(given,)], "t string").select(text.coerce_grade(F.col("t")).alias("g")).first().g == want
 
 
+def test_grades_by_json_type(spark):
+    listing = '[{"term": "a", "grade": "10"}, {"term": "b", "grade": "0.5"}, {"term": "c", "grade": 10}, {"term": "d", "ctcae_grade": null, "grade": 4}, "\\n"]'
+    df = spark.createDataFrame([("k", listing)], "k string, text string")
+    assert [(r.term, r.grade) for r in events.symptom_rows(df, "k").orderBy("position").collect()] == [("a", 1), ("b", 5), ("c", 5), ("d", 1), ("", 1)]
+
+
 def test_report_merge(spark):
     model = spark.createDataFrame([("id1", 1, "a", 0, "Rash", "skin", 2, False, "possible", 0.3, "model", "")], "ae_id string, subject int, arm string, epoch int, term string, soc string, grade int, serious boolean, relatedness string, p double, source string, verbatim string")
     said = spark.createDataFrame(

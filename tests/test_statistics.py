@@ -154,6 +154,22 @@ def test_bootstrap_covers_the_difference(spark):
     assert (b.ci_low, b.ci_high) == pytest.approx((again.ci_low, again.ci_high))
 
 
+def test_poisson_weights():
+    steps = inference.poisson_steps()
+    assert len(steps) > 15 and all(a < b for a, b in zip(steps, steps[1:]))
+    w = inference.poisson_weights(np.arange(500, dtype=np.int64) * 0x1234567890123, 400)
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+    assert abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.2
+
+
+def test_bootstrap_keeps_groups_apart(spark):
+    rows = [(g, a, i, float(i % 7) + (a == "t")) for g in ("x", None) for a in ("t", "c") for i in range(50)]
+    df = spark.createDataFrame([*rows, ("x", "t", None, None)], "g string, arm string, subject int, value double")
+    got = {r.g: (r.ci_low, r.ci_high) for r in inference.bootstrap_difference(df, "c", ["g"], "1", resamples=200).collect()}
+    assert got["x"] == pytest.approx((1.0, 1.0))  # the same subjects and weights on both sides
+    assert inference.bootstrap_difference(df.limit(0), "c", ["g"], "1", resamples=5).count() == 0
+
+
 def test_ridge_matches_numpy(spark):
     rng = np.random.default_rng(4)
     x = np.column_stack([np.ones(200), rng.normal(size=(200, 3))])
