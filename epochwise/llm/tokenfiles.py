@@ -148,34 +148,40 @@ class Words:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.kept: dict[bytes, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _each(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, many texts a call; offsets are not asked for."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.kept) + len(words) > KEPT:
             self.kept.clear()
         cores: dict[str, list[tuple[bytes, bytes]]] = {}
-        marks = {b"": b"", b".": self._ids("."), b",": self._ids(",")}
+        marks = dict(zip((b".", b","), self._each([".", ","]), strict=True)) | {b"": b""}
+        plain, others = self.PLAIN.issuperset, []
         for w in words:
-            tail = w[-1:] if w[-1:] in (b".", b",") else b""
-            core = w[: len(w) - len(tail)].decode("utf-8", "replace")
+            tail = w[-1:] if w.endswith((b".", b",")) else b""
+            core = (w[:-1] if tail else w).decode("utf-8", "replace")
             low = core.lower() if core.isascii() else core
-            if low and self.PLAIN.issuperset(low):
-                cores.setdefault(low, []).append((w, tail))
+            if low and plain(low):
+                cores.setdefault(low, []).append((w, marks[tail]))
             else:
-                self.kept[w] = self._ids(w.decode("utf-8", "replace"))
+                others.append(w)
+        for at in range(0, len(others), 2000):
+            part = others[at : at + 2000]
+            self.kept.update(zip(part, self._each([w.decode("utf-8", "replace") for w in part]), strict=True))
         names = list(cores)
         for at in range(0, len(names), 2000):
             part = names[at : at + 2000]
             ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cut) != len(part):  # an end-of-word piece per word, or the words one by one
-                each = [self._ids(p) for p in part]
+                each = self._each(part)
             else:
-                each = [x.tobytes() for x in np.split(ids, cut[:-1])]
+                raw, cuts = ids.tobytes(), cut.tolist()
+                each = [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
             for name, value in zip(part, each, strict=True):
-                for w, tail in cores[name]:
-                    self.kept[w] = value + marks[tail]
+                for w, mark in cores[name]:
+                    self.kept[w] = value + mark
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -218,13 +224,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = words(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        block, first, docs_, sizes, held = 0, 0, [], [], []
+        block, first, docs_, sizes, held, n = 0, 0, [], [], [], 0
 
         def flush():
-            nonlocal block, first, docs_, sizes, held
+            nonlocal block, first, docs_, sizes, held, n
             ids = np.frombuffer(b"".join(held), "<u4")
             row = [[part], [block], [first], [len(ids)], [to_block(docs_, sizes, ids)]]
-            block, first, docs_, sizes, held = block + 1, first + len(ids), [], [], []
+            block, first, docs_, sizes, held, n = block + 1, first + len(ids), [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "block", "first", "n_ids", "payload"])
 
         for b in batches:
@@ -234,7 +240,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
                     docs_.append(i)
                     held.append(ids + end)
                     sizes.append(len(ids) // 4 + 1)
-                    if sum(sizes) >= BLOCK_IDS:
+                    n += sizes[-1]
+                    if n >= BLOCK_IDS:
                         yield flush()
         if docs_:
             yield flush()
