@@ -30,7 +30,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that removes an execution's shuffle files when it ends; it is read when a DataFrame is made.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor never loses the only copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint, so a lost executor never loses the only copy.
+
+    What was shuffled for it is not needed once it is written, and is removed at once instead of with the driver's garbage.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
