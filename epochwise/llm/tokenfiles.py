@@ -10,6 +10,7 @@ Files are Parquet tables written by Spark, one row a block, so that tasks can be
 from __future__ import annotations
 
 import os
+import string
 import struct
 from collections.abc import Iterator
 
@@ -133,10 +134,12 @@ class Words:
     """Ids of texts by the tokenizers library, one white-space separated word at a time.
 
     The tokenizer drops white space before its merges, so a text's ids are those of its words in a row.  Words are cut at
-    ASCII white space only.  Plain words are encoded many at a time and told apart by their end-of-word pieces.
+    ASCII white space only.  Letters and a tail of ASCII marks never merge, so they are encoded apart; plain letters are
+    encoded many at a time and told apart by their end-of-word pieces.
     """
 
     PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzß" + "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7))
+    MARKS = string.punctuation.encode()
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,41 +150,49 @@ class Words:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.kept: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
+        self.tails: dict[bytes, bytes] = {b"": b""}
 
     def _each(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, many texts a call; offsets are not asked for."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.kept) + len(words) > KEPT:
-            self.kept.clear()
-        cores: dict[str, list[tuple[bytes, bytes]]] = {}
-        marks = dict(zip((b".", b","), self._each([".", ","]), strict=True)) | {b"": b""}
-        plain, others = self.PLAIN.issuperset, []
-        for w in words:
-            tail = w[-1:] if w.endswith((b".", b",")) else b""
-            core = (w[:-1] if tail else w).decode("utf-8", "replace")
-            low = core.lower() if core.isascii() else core
-            if low and plain(low):
-                cores.setdefault(low, []).append((w, marks[tail]))
-            else:
-                others.append(w)
-        for at in range(0, len(others), 2000):
-            part = others[at : at + 2000]
-            self.kept.update(zip(part, self._each([w.decode("utf-8", "replace") for w in part]), strict=True))
-        names = list(cores)
+    def _add(self, into: dict, keys: list, texts: list[str]) -> None:
+        for at in range(0, len(keys), 2000):
+            into.update(zip(keys[at : at + 2000], self._each(texts[at : at + 2000]), strict=True))
+
+    def _add_plain(self, names: list[str]) -> None:
         for at in range(0, len(names), 2000):
             part = names[at : at + 2000]
             ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cut) != len(part):  # an end-of-word piece per word, or the words one by one
-                each = self._each(part)
+                self._add(self.cores, part, part)
+                continue
+            raw, cuts = ids.tobytes(), cut.tolist()
+            self.cores.update(zip(part, [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.kept) + len(words) > KEPT:
+            self.kept.clear()
+            self.cores, self.tails = {"": b""}, {b"": b""}
+        order, marks = list(words), self.MARKS
+        heads = [w.rstrip(marks) for w in order]
+        names = b"\n".join(heads).decode().lower().split("\n")
+        tails = [w[len(h) :] for w, h in zip(order, heads, strict=True)]
+        fresh, plain = [x for x in dict.fromkeys(names) if x not in self.cores], self.PLAIN.issuperset
+        self._add_plain([x for x in fresh if plain(x)])
+        new = list(set(tails).difference(self.tails))
+        self._add(self.tails, new, [t.decode() for t in new])
+        core, tail = self.cores.get, self.tails
+        others = []
+        for w, name, t in zip(order, names, tails, strict=True):
+            ids = core(name)
+            if ids is None:
+                others.append(w)
             else:
-                raw, cuts = ids.tobytes(), cut.tolist()
-                each = [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
-            for name, value in zip(part, each, strict=True):
-                for w, mark in cores[name]:
-                    self.kept[w] = value + mark
+                self.kept[w] = ids + tail[t] if t else ids
+        self._add(self.kept, others, [w.decode() for w in others])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -189,16 +200,16 @@ class Words:
         out = []
         for lo in range(0, len(split), 64):
             part = split[lo : lo + 64]
-            missing = {w for words in part for w in words if w not in self.kept}
+            missing = set().union(*part).difference(self.kept)
             if missing:
                 self.learn(missing)
-            kept = self.kept
+            look = self.kept.__getitem__
             for words in part:
                 try:
-                    out.append(b"".join([kept[w] for w in words]))
+                    out.append(b"".join(map(look, words)))
                 except KeyError:  # the table was emptied
                     self.learn(set(words))
-                    out.append(b"".join([self.kept[w] for w in words]))
+                    out.append(b"".join(map(look, words)))
         return out
 
 
