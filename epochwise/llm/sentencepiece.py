@@ -3,7 +3,8 @@
 Over the lattice of a text's pieces the forward pass keeps the best score up to each position.  A backward A* search from
 the end uses these scores as exact heuristics, so hypotheses leave the agenda from best to worst.
 
-No piece runs over the start of a white-space run or over a line break, so the lattice falls apart there.  Segments are
+No piece runs over the start of a white-space run or over a line break, so the lattice falls apart there; also between Latin
+letters and ASCII marks, if the vocabulary has no piece with both.  Segments are
 solved once and kept in a bounded table.  The N best of a text differ from the best in at most N - 1 segments, and only in
 those with the smallest distance between best and second; the search over whole texts is confined to them.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 import struct
 
 import numpy as np
@@ -26,7 +28,11 @@ SPACE = "▁"
 #: Segments kept per worker; the table is emptied when it is full.
 KEPT = 300_000
 N_BEST = 3
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+#: Characters of a start of a text that decide which pieces start there, if none of the beginnings is longer.
+AHEAD = 5
+_COARSE = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape(string.punctuation)
+_FINE = f"{SPACE}*[{_LETTER}]++(?![^{_MARK}{SPACE}\n])|{SPACE}*[{_MARK}]++(?![^{_LETTER}{SPACE}\n])|{_COARSE}"
 NONE = float("-inf")
 PREFIX = object()
 
@@ -39,7 +45,10 @@ class Pieces:
         every = range(model.get_piece_size())
         self.text = [model.id_to_piece(i) for i in every]
         self.byte = {int(self.text[i][3:5], 16): i for i in every if model.is_byte(i)}
-        self.raw = {i: b for b, i in self.byte.items()}
+        # texts of ids; bytes above 127 stand as lone surrogates until a whole text is put together
+        self.said = [self.text[i].replace(SPACE, " ") for i in every]
+        for b, i in self.byte.items():
+            self.said[i] = chr(b) if b < 128 else chr(0xDC00 + b)
         plain = [i for i in every if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.score = {self.text[i]: model.get_score(i) for i in plain}
         self.id = {self.text[i]: i for i in plain}
@@ -48,7 +57,10 @@ class Pieces:
         self.reach: dict[str, object] = {t[:k]: PREFIX for t in self.score for k in range(1, len(t))} | self.score
         # a character without a piece is spelled in bytes, each a little worse than the worst real piece
         self.spelled = min((s for s in self.score.values() if s > -1e8), default=0.0) - 10.0
+        both = re.compile(f"[{_LETTER}][{_MARK}]|[{_MARK}][{_LETTER}]")
+        self.segment = re.compile(_COARSE if any(map(both.search, self.score)) else _FINE)
         self.kept: dict[str, tuple] = {}
+        self.starts: dict[str, list[tuple[int, float]]] = {}
 
     def edges(self, s: str, end: int):
         """(start, score) of the pieces that end at a position."""
@@ -62,34 +74,34 @@ class Pieces:
         if not found:
             yield end - 1, self.spelled * len(s[end - 1].encode())
 
+    def starting(self, s: str, start: int) -> list[tuple[int, float]]:
+        """(length, score) of the pieces that start at a position, in order of length."""
+        v = self.reach.get(s[start])
+        # a character without a piece is spelled
+        out = [(1, self.spelled * len(s[start].encode()) if v is None or v is PREFIX else v)]
+        end = start + 1
+        while v is not None and end < len(s):
+            end += 1
+            v = self.reach.get(s[start:end])
+            if v is not None and v is not PREFIX:
+                out.append((end - start, v))
+        if end <= start + AHEAD:
+            self.starts[s[start : start + AHEAD]] = out
+        return out
+
     def forward(self, s: str) -> tuple[list[float], list[float], list[int]]:
         """Best and second-best score of every prefix, and where the last piece of its best path starts."""
-        look, n = self.reach.get, len(s)
+        known, n = self.starts.get, len(s)
         best, second, back = [0.0] + [NONE] * n, [NONE] * (n + 1), [0] * (n + 1)
         for start in range(n):
             p, q = best[start], second[start]
-            end = start + 1
-            v = look(s[start:end])
-            if v is None or v is PREFIX:  # a character without a piece
-                x = p + self.spelled * len(s[start].encode())
-                y = x - p + q
+            for size, v in known(s[start : start + AHEAD]) or self.starting(s, start):
+                end, x = start + size, p + v
                 if x > best[end]:
-                    second[end] = max(best[end], y)
+                    second[end] = max(best[end], q + v)
                     best[end], back[end] = x, start
                 elif x > second[end]:
                     second[end] = x
-            while v is not None:
-                if v is not PREFIX:
-                    x = p + v
-                    if x > best[end]:
-                        second[end] = max(best[end], q + v)
-                        best[end], back[end] = x, start
-                    elif x > second[end]:
-                        second[end] = x
-                end += 1
-                if end > n:
-                    break
-                v = look(s[start:end])
         return best, second, back
 
     def n_best(self, s: str, n: int) -> list[tuple[float, list[int]]]:
@@ -121,14 +133,16 @@ class Pieces:
         if hit is None:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
+                self.starts.clear()
             best, second, back = self.forward(segment)
-            cuts = [len(segment)]
-            while cuts[-1]:
-                cuts.append(back[cuts[-1]])
-            cuts.reverse()
-            ids: list[int] = []
-            for i, j in zip(cuts, cuts[1:]):
-                ids += self.ids(segment[i:j])
+            parts, at = [], len(segment)
+            while at:
+                parts.append(segment[back[at] : at])
+                at = back[at]
+            parts.reverse()
+            ids = list(map(self.id.get, parts))
+            if None in ids:
+                ids = [i for x in parts for i in self.ids(x)]
             hit = self.kept[segment] = (struct.pack(f"<{len(ids)}I", *ids), best[-1], best[-1] - second[-1])
         return hit
 
@@ -136,12 +150,15 @@ class Pieces:
         """(best ids as little-endian 32-bit numbers, scores of the n best, ids of the others)."""
         if not text:
             return b"", [0.0], []
-        segments = _SEGMENT.findall(SPACE + text.replace(" ", SPACE))
-        solved = [self.solve(s) for s in segments]
-        total = float(np.sum([x[1] for x in solved]))
+        segments = self.segment.findall(SPACE + text.replace(" ", SPACE))
+        solved = list(map(self.kept.get, segments))
+        if None in solved:
+            solved = [x or self.solve(s) for x, s in zip(solved, segments, strict=True)]
+        best, scores, gaps = zip(*solved, strict=True)
+        best, total = list(best), float(np.sum(scores))
         if n == 1:
-            return b"".join([x[0] for x in solved]), [total], []
-        gaps = np.array([x[2] for x in solved])
+            return b"".join(best), [total], []
+        gaps = np.array(gaps)
         near = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) > n - 1 else np.arange(len(gaps))
         near = np.sort(near[np.isfinite(gaps[near])])
         ways: list[tuple[float, tuple]] = [(0.0, ())]  # (loss, other segmentations chosen so far)
@@ -152,21 +169,14 @@ class Pieces:
         others = []
         for _, chosen in ways[1:]:
             changed = {k: struct.pack(f"<{len(found[k][j][1])}I", *found[k][j][1]) for k, j in chosen if j}
-            others.append(b"".join([changed.get(k, x[0]) for k, x in enumerate(solved)]))
-        return b"".join([x[0] for x in solved]), [total - loss for loss, _ in ways], others
+            others.append(b"".join([changed.get(k, x) for k, x in enumerate(best)] if changed else best))
+        return b"".join(best), [total - loss for loss, _ in ways], others
 
     def decode(self, ids: bytes) -> str:
-        out, pending = [], bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if i in self.raw:
-                pending.append(self.raw[i])
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
-                pending = bytearray()
-            out.append(self.text[i])
-        out.append(pending.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")[1:]
+        text = "".join(map(self.said.__getitem__, memoryview(ids).cast("I")))
+        if not text.isascii():
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return text[1:]
 
 
 _LOADED: dict[str, Pieces] = {}
