@@ -15,6 +15,7 @@ import heapq
 import re
 import string
 import struct
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,8 @@ class Pieces:
         both = re.compile(f"[{_LETTER}][{_MARK}]|[{_MARK}][{_LETTER}]")
         self.segment = re.compile(_COARSE if any(map(both.search, self.score)) else _FINE)
         self.kept: dict[str, tuple] = {}
-        self.starts: dict[str, list[tuple[int, float]]] = {}
+        self.ranked: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
+        self.starts: dict[str, tuple[tuple[int, float], ...]] = {}
 
     def edges(self, s: str, end: int):
         """(start, score) of the pieces that end at a position."""
@@ -74,7 +76,7 @@ class Pieces:
         if not found:
             yield end - 1, self.spelled * len(s[end - 1].encode())
 
-    def starting(self, s: str, start: int) -> list[tuple[int, float]]:
+    def starting(self, s: str, start: int) -> Sequence[tuple[int, float]]:
         """(length, score) of the pieces that start at a position, in order of length."""
         v = self.reach.get(s[start])
         # a character without a piece is spelled
@@ -86,7 +88,7 @@ class Pieces:
             if v is not None and v is not PREFIX:
                 out.append((end - start, v))
         if end <= start + AHEAD:
-            self.starts[s[start : start + AHEAD]] = out
+            self.starts[s[start : start + AHEAD]] = tuple(out)
         return out
 
     def forward(self, s: str) -> tuple[list[float], list[float], list[int]]:
@@ -106,6 +108,8 @@ class Pieces:
 
     def n_best(self, s: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations as (score, ids), best first; ties by the order of the search."""
+        if (s, n) in self.ranked:
+            return self.ranked[s, n]
         ahead, _, _ = self.forward(s)
         agenda: list[tuple] = [(-ahead[-1], 0, len(s), 0.0, ())]
         count, out = 0, []
@@ -121,6 +125,7 @@ class Pieces:
             for start, v in self.edges(s, at):
                 count -= 1
                 heapq.heappush(agenda, (-(ahead[start] + v + behind), count, start, v + behind, (start, at, path)))
+        self.ranked[s, n] = out
         return out
 
     def ids(self, piece: str) -> list[int]:
@@ -133,6 +138,7 @@ class Pieces:
         if hit is None:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
+                self.ranked.clear()
                 self.starts.clear()
             best, second, back = self.forward(segment)
             parts, at = [], len(segment)
@@ -168,8 +174,10 @@ class Pieces:
             ways = heapq.nsmallest(n, more, key=lambda w: w[0])
         others = []
         for _, chosen in ways[1:]:
-            changed = {k: struct.pack(f"<{len(found[k][j][1])}I", *found[k][j][1]) for k, j in chosen if j}
-            others.append(b"".join([changed.get(k, x) for k, x in enumerate(best)] if changed else best))
+            way = best.copy()
+            for k, j in chosen:
+                way[k] = struct.pack(f"<{len(found[k][j][1])}I", *found[k][j][1]) if j else way[k]
+            others.append(b"".join(way))
         return b"".join(best), [total - loss for loss, _ in ways], others
 
     def decode(self, ids: bytes) -> str:
