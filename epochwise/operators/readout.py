@@ -174,20 +174,21 @@ def distribution(rows: DataFrame, key: str) -> DataFrame:
     return g.withColumn("share", ratio(F.col("n"), F.sum("n").over(W.partitionBy(F.lit(1)))))
 
 
-def cohort_digest(rows: DataFrame, text: Column, order: str, width: int = 1024, levels: int = 4) -> DataFrame:
+def cohort_digest(rows: DataFrame, text: Column, order: str, bits: int = 10) -> DataFrame:
     """Order-sensitive digest of a whole table, as a tree of block digests.
 
-    Leaves cover ``width`` consecutive integer keys; each level hashes up to
-    ``width`` digests of the level below, so no task joins more than ``width``
-    texts.  A table that fits one leaf gives the plain digest of its joined
-    texts.
+    Leaves cover 2**``bits`` consecutive integer keys; each level hashes up to
+    as many digests of the level below, so no task joins more texts.  There are
+    as many levels as 64-bit keys need, so any keys end in one digest.  A table
+    that fits one leaf gives the plain digest of its joined texts.
     """
-    block = F.floor(F.col(order) / width)
-    level = rows.select(block.alias("b"), F.col(order).cast("bigint").alias("o"), text.alias("t"))
+    levels = -(-64 // bits)
+    key = F.col(order).cast("bigint")
+    level = rows.select(F.shiftright(key, bits).alias("b"), key.alias("o"), text.alias("t"))
     for i in range(levels):
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), "|")
         level = level.groupBy("b").agg(F.when(F.count(F.lit(1)) == 1, F.max("t")).otherwise(F.sha2(joined, 256)).alias("t") if i else F.sha2(joined, 256).alias("t"))
-        level = level.select(F.floor(F.col("b") / width).alias("b") if i < levels - 1 else F.lit(0).alias("b"), F.col("b").alias("o"), "t")
+        level = level.select(F.shiftright("b", bits).alias("b") if i < levels - 2 else F.lit(0).alias("b"), F.col("b").alias("o"), "t")
     return level.select(F.substring("t", 1, 16).alias("digest"))
 
 

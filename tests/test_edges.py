@@ -1,5 +1,6 @@
 """Edge rows: missing baselines, damaged text, empty arms, cycles, versions."""
 
+import hashlib
 import json
 
 import pytest
@@ -303,6 +304,16 @@ def test_closures_with_cycle_and_orphan(spark):
     assert graph.upstream(e, "a").count() == 0
 
 
+def test_digest_of_distant_keys_is_one_row(spark):
+    def digest(keys):
+        return [r["digest"] for r in readout.cohort_digest(spark.createDataFrame([(k,) for k in keys], "k long"), F.col("k").cast("string"), "k").collect()]
+
+    keys = [1, 3 * 1024**4, -5, 2**63 - 1, -(2**63), 2**62]
+    assert len(digest(keys)) == 1 and digest(keys) == digest(keys[::-1])
+    assert digest(keys) != digest(keys[:-1])
+    assert digest([1, 2]) == [hashlib.sha256(b"1|2").hexdigest()[:16]]
+
+
 def test_span_tree(spark):
     s = spark.createDataFrame(
         [("t", "a", ""), ("t", "b", "a"), ("t", "c", "b"), ("t", "d", "gone"), ("t", "p", "q"), ("t", "q", "p"), ("u", "a", None)], "trace_id string, span_id string, parent_id string"
