@@ -87,7 +87,8 @@ class Pieces:
             v = self.reach.get(s[start:end])
             if v is not None and v is not PREFIX:
                 out.append((end - start, v))
-        if end <= start + AHEAD:
+        # a walk that the end of the text stopped says nothing about longer texts, unless the key is shorter and so holds that end
+        if end <= start + AHEAD and (v is None or len(s) < start + AHEAD):
             self.starts[s[start : start + AHEAD]] = tuple(out)
         return out
 

@@ -37,6 +37,25 @@ def test_n_best_against_enumeration():
         assert [x[0] for x in p.n_best(S.SPACE + "hello", 6)] == sorted((x[0] for x in p.n_best(S.SPACE + "hello", 6)), reverse=True)
 
 
+def test_a_text_leaves_the_pieces_of_a_longer_one():
+    """What was learned at the end of a text must not hide longer pieces, in either order."""
+    for words in (("year", "years"), ("years", "year")):
+        p = S.Pieces(S.default_model())
+        for t in words:
+            want = sorted(every(p, S.SPACE + t), key=lambda x: -x[0])[: S.N_BEST]
+            ids, scores, others = p.encode(t)
+            assert np.allclose(scores, [w[0] for w in want])
+            assert [tuple(np.frombuffer(x, "<u4").tolist()) for x in (ids, *others)] == [w[1] for w in want]
+    fresh = S.Pieces(S.default_model())
+    p = S.Pieces(S.default_model())
+    longer = [t for t in p.score if t.isalpha() and len(t) > S.AHEAD]
+    for t in longer:
+        p.forward(t[: S.AHEAD])
+    for t in longer:
+        fresh.starts.clear()
+        assert p.forward(t)[0] == fresh.forward(t)[0]
+
+
 def test_round_trip_of_all_documents(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     rows = S.op7_sentencepiece(spark, "/root/testdata/sf0.001").collect()
