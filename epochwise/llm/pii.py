@@ -1,9 +1,10 @@
 """Personal data by fixed forms and by bootstrapped contexts; DataFrame expressions only.
 
-Spans of the four fixed forms are the seeds.  A seed's context (the word before it and the shape of its characters) is a
-lexical pattern of its kind.  Pattern-instance edges are scored in rounds: a pattern is worth the mean score of its
-distinct instances, an instance the noisy-or of its trusted patterns.  Tokens that trusted patterns reach and no fixed form
-covers are added as further spans.
+Spans of the four fixed forms are the seeds.  The words around a seed (the one before it, the two before it, the one before
+and the one after it) are lexical patterns of its kind.  What no fixed form covers is open to a kind if it has that kind's
+loose class of shapes.  Pattern-instance edges are scored in rounds: a pattern is worth the mean score of its distinct
+instances of the class, an instance the noisy-or of its trusted patterns.  Instances that trusted patterns reach are added as
+further spans.
 """
 
 from __future__ import annotations
@@ -25,8 +26,16 @@ FORMS = {
 }
 #: A character that a text must hold to have a match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Tokens with a digit or an at sign, 6 characters at least.
-TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{6})[^\x20\x09-\x0D]*?[0-9@][^\x20\x09-\x0D]*+"
+#: Tokens with a digit, an at sign or a bracketed one, 6 characters at least; runs of numbers with spaces between them.
+TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{6})[^\x20\x09-\x0D]*?(?:[0-9@]|[(\[{]at[)\]}])[^\x20\x09-\x0D]*+"
+RUN = r"(?<![^\x20\x09-\x0D])(?=[0-9().-]*+\x20)[(]?[0-9]++(?:[().-]{0,2}+\x20?[(]?[0-9]++)++(?=[.,;:!?)]*+(?:[\x20\x09-\x0D]|$))"
+#: Classes of shapes, wider than the fixed forms, among which the patterns of a kind are measured; marks may follow.
+LOOSE = {
+    "email": r"^[^@]+@[^@]+$|^.+[(\[{]at[)\]}].+$",
+    "ip": r"^[0-9]+(?:[.:][0-9]+){2,}[.,;:!?)]*$",
+    "card": r"^[0-9](?:[ .-]?[0-9]){9,21}[.,;:!?)]*$",
+    "phone": r"^[(]?[0-9](?:[ ().-]{0,3}[0-9]){5,14}[.,;:!?)]*$",
+}
 MARK = "\x01"
 #: A pattern is trusted with so many distinct instances and such a mean score; an instance is added from this score on.
 MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE = 5, 0.9, 0.9
@@ -84,15 +93,21 @@ def _of_kind(no: int, kind: str, hits: Column) -> Column:
     return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("no"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["text"].alias("text")))
 
 
-def _shape(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "9"), r"\p{L}+", "a")
+def _contexts(text: Column, start: Column, end: Column) -> Column:
+    """Patterns of a place: the lower-case word before it, the two before it, the one before and the one after it; read over
+    REACH characters to either side.  None without a word before it."""
+    plain = lambda x: F.lower(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " "))
+    at = F.greatest(start - REACH, F.lit(0))
+    before = F.trim(plain(F.substring(text, (at + 1).cast("int"), (start - at).cast("int"))))
+    one, two = F.substring_index(before, " ", -1), F.substring_index(before, " ", -2)
+    after = F.substring_index(F.ltrim(plain(F.substring(text, (end + 1).cast("int"), F.lit(REACH)))), " ", 1)
+    ways = F.array(F.concat(one, F.lit(" _")), F.when(two != one, F.concat(two, F.lit(" _"))), F.when(after != "", F.concat(one, F.lit(" _ "), after)))
+    return F.when(one == "", F.expr("cast(array() AS array<string>)")).otherwise(F.array_compact(ways))
 
 
-def _left(text: Column, start: Column) -> Column:
-    """Lower-case word before a position, read back over REACH characters at most; empty at the start of a text."""
-    at = F.greatest(start - REACH, F.lit(0))
-    before = F.rtrim(F.translate(F.substring(text, (at + 1).cast("int"), (start - at).cast("int")), "\t\n\x0b\x0c\r", "     "))
-    return F.lower(F.substring_index(before, " ", -1))
+def _classes(text: Column) -> Column:
+    """Kinds whose loose class a text is in."""
+    return F.array_compact(F.array(*[F.when(text.rlike(LOOSE[k]), F.lit(k)) for k in KINDS]))
 
 
 def spotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,36 +115,33 @@ def spotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     clean = F.translate(F.coalesce("text", F.lit("")), MARK, "\x02")
     with_base = rows.select("doc_id", clean.alias("clean"), base_spans(F.col("text")).alias("base"))
-    both = with_base.select("*", _found(F.col("clean"), TOKEN, F.col("clean").rlike("[0-9@]")).alias("every"))
-    open_ = F.filter("every", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    mark = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), _left(F.col("clean"), x["start"]).alias("left"))
-    seeds = F.transform("base", lambda x: F.struct(x["start"], x["no"], x["end"], x["kind"], x["text"], _left(F.col("clean"), x["start"]).alias("left")))
-    return both.select(F.monotonically_increasing_id().alias("row"), "doc_id", seeds.alias("base"), F.transform(open_, mark).alias("tokens"))
-
-
-def _patterns(left: Column, text: Column) -> Column:
-    return F.concat_ws(" ", left, _shape(text))
+    every = F.concat(_found(F.col("clean"), TOKEN, F.col("clean").rlike(r"[0-9@]|[(\[{]at[)\]}]")), _found(F.col("clean"), RUN, F.col("clean").rlike("[0-9][().-]*[ ][(]?[0-9]")))
+    both = with_base.select("*", F.transform(every, lambda x: F.struct(x["start"], x["end"], F.lower(x["text"]).alias("text"), _classes(F.lower(x["text"])).alias("kinds"))).alias("every"))
+    open_ = F.filter("every", lambda x: (F.size(x["kinds"]) > 0) & ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    ways = lambda x: _contexts(F.col("clean"), x["start"], x["end"]).alias("ways")
+    tokens = F.transform(open_, lambda x: F.struct(x["start"], x["end"], x["text"], x["kinds"], ways(x)))
+    seeds = F.transform("base", lambda x: F.struct(x["start"], x["no"], x["end"], x["kind"], F.lower(x["text"]).alias("text"), ways(x)))
+    return both.select(F.monotonically_increasing_id().alias("row"), "doc_id", seeds.alias("base"), tokens.alias("tokens"))
 
 
 def bootstrap(found: DataFrame) -> DataFrame:
     """(instance, pattern, kind): trusted ways to further instances, from the seeds and tokens of all rows."""
-    seeds = found.select(F.explode("base").alias("s")).select(_patterns(F.col("s.left"), F.col("s.text")).alias("pattern"), F.lower("s.text").alias("instance"), F.col("s.kind").alias("seed"))
-    tokens = found.select(F.explode("tokens").alias("s")).select(_patterns(F.col("s.left"), F.col("s.text")).alias("pattern"), F.lower("s.text").alias("instance"), F.lit(None).cast("string").alias("seed"))
+    spread = lambda name, kinds: found.select(F.explode(name).alias("s")).select(F.col("s.text").alias("instance"), F.explode(kinds).alias("kind"), F.col("s.ways").alias("ways"))
+    places = spread("base", F.array("s.kind")).withColumn("seed", F.lit(True)).unionByName(spread("tokens", F.col("s.kinds")).withColumn("seed", F.lit(False)))
     # a pattern without a seed among its instances can only be reached by instances, so the whole graph is kept
-    edges = cut_lineage(seeds.unionByName(tokens).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    score = edges.where("seed IS NOT NULL").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"))
-    width = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT)
-    wide = cut_lineage(edges.join(width, "pattern"))
+    edges = cut_lineage(places.select("instance", "kind", "seed", F.explode("ways").alias("pattern")).groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed")))
+    base = edges.where("seed").groupBy("instance", "kind").agg(F.lit(1.0).alias("score"))
+    score = base
+    width = edges.groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT)
+    wide = cut_lineage(edges.join(width, ["pattern", "kind"]))
     trusted = None
     for k in range(ROUNDS):
-        held = wide.join(score, "instance").groupBy("pattern", "kind", "n").agg(F.sum("score").alias("total"))
+        held = wide.join(score, ["instance", "kind"]).groupBy("pattern", "kind", "n").agg(F.sum("score").alias("total"))
         trusted = held.where(F.col("total") / F.col("n") >= MIN_PATTERN).select("pattern", "kind", (F.col("total") / (F.col("n") + 1)).alias("worth"))
+        reached = wide.where("NOT seed").join(trusted, ["pattern", "kind"])
+        worth = reached.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.000001 - F.col("worth"))))).alias("score"))
         if k < ROUNDS - 1:
-            reached = wide.where("seed IS NULL").join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.000001 - F.col("worth"))))).alias("score"))
-            base = edges.where("seed IS NOT NULL").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"))
-            score = cut_lineage(base.unionByName(reached).groupBy("instance", "kind").agg(F.max("score").alias("score")))
-    reached = wide.where("seed IS NULL").join(trusted, "pattern")
-    worth = reached.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.000001 - F.col("worth"))))).alias("score"))
+            score = cut_lineage(base.unionByName(worth).groupBy("instance", "kind").agg(F.max("score").alias("score")))
     best = worth.groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")).where(F.col("score") >= MIN_INSTANCE)
     return reached.select("instance", "pattern", "kind").join(best.select("instance", "kind"), ["instance", "kind"]).distinct()
 
@@ -142,7 +154,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = cut_lineage(spotted(docs, id_col, text_col))
     ways = bootstrap(found)
-    tokens = found.select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.end", F.lower("t.text").alias("instance"), _patterns(F.col("t.left"), F.col("t.text")).alias("pattern"))
+    tokens = found.select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.end", F.col("t.text").alias("instance"), F.explode("t.ways").alias("pattern"))
     number = F.element_at(F.create_map(*[F.lit(x) for n, k in enumerate(KINDS) for x in (k, n)]), F.col("kind"))
     extra = tokens.join(ways, ["instance", "pattern"]).groupBy(F.col("row").alias("at")).agg(F.collect_set(F.struct("start", number.alias("no"), "end", "kind")).alias("extra"))
     base = F.transform("base", lambda x: F.struct(x["start"], x["no"], x["end"], x["kind"]))

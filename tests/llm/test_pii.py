@@ -73,6 +73,34 @@ def test_contexts_find_unseen_identifiers(spark):
     assert hit[5] == ["card"] and hit[999] == ["card"]
 
 
+def test_contexts_find_what_the_fixed_forms_miss(spark):
+    """Addresses without a top level or with a spelled sign, phones without '+', a card number of another length."""
+    contact = [(i, f"please contact user{i}@host{i}.example now") for i in range(40)]
+    call = [(100 + i, f"call +1 555 000 00{10 + i} or write") for i in range(40)]
+    card = []
+    for i in range(40):
+        head = "4%014d" % (i * 7919 + 1)
+        card.append((200 + i, f"my card {head}{next(c for c in '0123456789' if luhn(head + c))} expires"))
+    missed = {
+        20: ("please contact user77@host99 now", "email"), 24: ("please contact name(at)host now", "email"), 50: ("call 555-000-0011 or write", "phone"),
+        51: ("call 555 000 0012 or write", "phone"), 60: ("my card 41111111111 expires", "card"),
+    }
+    clean = {70: "see user78@host98 now", 71: "the year 2019-20-2021 or", 72: "please contact nobody now", 73: "call 9 or write"}
+    rows = contact + call + card + [(1000 + i, t) for i, (t, _) in missed.items()] + [(1000 + i, t) for i, t in clean.items()]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[i]) == 1 for i, _ in contact + call + card)
+    for i, (text, kind) in missed.items():
+        assert [k for k, *_ in got[1000 + i]] == [kind], text
+    assert all(got[1000 + i] == [] for i in clean)
+    # the two rows of the test above that it does not look at
+    first = [(i, f"please contact user{i}@host{i}.example now") for i in range(12)] + [(20, "please contact user77@host99 now"), (21, "see user78@host98 now")]
+    second = [(i, f"call +1 555 000 00{10 + i} or write") for i in range(30)] + [(50, "call 555-000-0011 or")]
+    for rows, at, want in ((first, 20, "email"), (second, 50, "phone")):
+        got = {r.doc_id: [s.kind for s in r.spans] for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[at] == [want]
+        assert rows is second or got[21] == []
+
+
 def test_redaction_and_edges(spark):
     docs = spark.createDataFrame([(1, "mail a@b.c or +1 988 555 2485!", "k"), (1, None, "k"), (None, "1.2.3.4", "k"), (2, "😀 none", "k")], "doc_id long, text string, kind string")
     got = [r.text for r in P.redact(docs).collect()]
