@@ -9,15 +9,18 @@ if the longest common subsequence of words covers most of the item, or a good pa
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epochwise.llm.base import arrow_map, query, slim, table
+from epochwise.session import cut_lineage
 
 PASSAGE, WINDOW, STRIDE = 48, 64, 16
 #: Passages of one block, not more than the rank, so that none lies outside the latent space; bounds what is broadcast (a block's vocabulary is at most PASSAGE times as large).
@@ -209,53 +212,90 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     rows = slim(docs, id_col, text_col)
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"), answer.alias("answer")).where("item_id IS NOT NULL")
-    items = items.groupBy("item_id").agg(F.max(F.struct("text", "answer")).alias("x")).select("item_id", "x.text", "x.answer")
-    # ids of a block's ends: as many numbers as there are blocks
-    sized = items.select("item_id", F.ceil((F.size(F.split("text", r"\s+")) + 1) / PASSAGE).cast("long").alias("n")).where("n > 0")
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    pieces = max(1, math.ceil(total / (BLOCK // 2)))
-    cuts = sorted(set(items.approxQuantile("item_id", [i / pieces for i in range(1, pieces)], 1e-4 if pieces > 1 else 0.1))) if pieces > 1 else []
-    found = None
-    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
-        block = items.where((F.col("item_id") > lo if lo is not None else F.lit(True)) & (F.col("item_id") <= hi if hi is not None else F.lit(True)))
-        part = _search_block(rows, block)
-        if part is not None:
-            found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], RESULT)
-
-
-def _search_block(rows: DataFrame, block: DataFrame) -> DataFrame | None:
-    cut = sorted(passages(block).collect(), key=lambda r: (r["item_id"], r["part"]))
-    if not cut:
-        return None
+    items = cut_lineage(_sized(items.groupBy("item_id").agg(F.max(F.struct("text", "answer")).alias("x")).select("item_id", "x.text", "x.answer")))
+    half = BLOCK // 2
+    small = items.where(F.col("n") <= half)
+    found = [_search_block(rows, small.where(within)) for within in _ranges(small, half)]
+    # an item of more passages has blocks of its own
+    for r in items.where(F.col("n") > half).select("item_id", "n").orderBy("item_id").toLocalIterator():
+        block = items.where(F.col("item_id") == r["item_id"])
+        parts = [_search_block(rows, block, range(at, min(at + BLOCK, r["n"])), r["n"] > BLOCK) for at in range(0, r["n"], BLOCK)]
+        found.append(_merged(reduce(DataFrame.unionByName, parts)) if len(parts) > 1 else parts[0])
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], RESULT)
+
+
+def _sized(items: DataFrame) -> DataFrame:
+    """Items with the number ``n`` of their passages, those without words left out."""
+
+    def count(batches):
+        for b in batches:
+            n = [-(-len(words_of(t)) // PASSAGE) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=["item_id", "text", "answer", "n"])
+
+    return items.mapInArrow(count, "item_id long, text string, answer string, n long").where("n > 0")
+
+
+def _ranges(items: DataFrame, half: int) -> list[Column]:
+    """Conditions on the id that cut items of at most ``half`` passages into blocks of less than twice as many.
+
+    The passages before an item are summed within ranges of ids and over the ranges; items belong together if these sums
+    fall into the same multiple of ``half``.
+    """
+    ordered = cut_lineage(items.select("item_id", "n").orderBy("item_id").withColumn("range", F.spark_partition_id()))
+    sums = sorted(map(tuple, ordered.groupBy("range").agg(F.sum("n")).collect()))
+    if not sums:
+        return []
+    offset = F.create_map(*[F.lit(x) for (k, _), at in zip(sums, np.cumsum([0, *(n for _, n in sums)]).tolist(), strict=False) for x in (k, at)])
+    before = F.element_at(offset, F.col("range")) + F.sum("n").over(Window.partitionBy("range").orderBy("item_id")) - F.col("n")
+    first = ordered.select("item_id", F.floor(before / half).alias("block")).groupBy("block").agg(F.min("item_id").alias("lo"))
+    cuts = sorted(r["lo"] for r in first.collect())
+    return [(F.col("item_id") >= lo) & (F.col("item_id") < hi if hi is not None else F.lit(True)) for lo, hi in zip(cuts, [*cuts[1:], None], strict=True)]
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """The best match over the blocks of one item; copies of a document row, which match alike in a block, stay as many."""
+    value = F.struct("lcs", "cosine", "answer", "start_word", "item_words")
+    each = found.groupBy("doc_id", "item_id", "mark", "block").agg(F.max(value).alias("x"), F.count("*").alias("n"))
+    best = each.groupBy("doc_id", "item_id", "mark").agg(F.max("x").alias("x"), F.max("n").alias("n"))
+    names = [f.split()[0] for f in RESULT.split(", ")]
+    return best.select("doc_id", "item_id", "x.*", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select(*names)
+
+
+def _search_block(rows: DataFrame, block: DataFrame, parts: range | None = None, split: bool = False) -> DataFrame:
+    """Matches of a block's items.  Of an item that is split only the passages of ``parts`` are projected, and each match
+    carries the first of them and a mark of the text; a candidate is checked against the whole item all the same."""
+    cut = passages(block) if parts is None else passages(block).where(F.col("part").between(parts.start, parts.stop - 1))
+    cut = sorted(cut.collect(), key=lambda r: (r["item_id"], r["part"]))
+    assert 0 < len(cut) <= RANK, f"{len(cut)} passages in a block of rank {RANK}"
     spark = rows.sparkSession
-    items: dict[int, list] = {}
-    for r in cut:
-        items[r["item_id"]] = items.get(r["item_id"], []) + [bytes(w) for w in r["words"]]
-    answers = {r["item_id"]: words_of(r["answer"]) for r in block.where("answer IS NOT NULL").select("item_id", "answer").collect()}
-    items = {i: (w, answers.get(i) or w[-max(4, len(w) // 5) :]) for i, w in items.items()}
-    terms = {w: k for k, w in enumerate(sorted({x for w, _ in items.values() for x in w}))}
+    items = {r["item_id"]: (words_of(r["text"]), words_of(r["answer"])) for r in block.select("item_id", "text", "answer").collect()}
+    items = {i: (w, told or w[-max(4, len(w) // 5) :]) for i, (w, told) in items.items()}
+    terms = {w: k for k, w in enumerate(sorted({bytes(x) for r in cut for x in r["words"]}))}
     count, n = _frequencies(rows, terms)
     idf = np.log((n + 1) / (count + 1)) + 0.1
-    parts = [_weights([bytes(w) for w in r["words"]], terms, idf) for r in cut]
+    weighed = [_weights([bytes(w) for w in r["words"]], terms, idf) for r in cut]
     sparse = T.StructType([T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
-    matrix = spark.createDataFrame([(t, w.tolist()) for t, w in parts], sparse)
+    matrix = spark.createDataFrame([(t, w.tolist()) for t, w in weighed], sparse)
     basis = randomised_svd(matrix, len(terms), len(cut))
-    latent = np.stack([w @ basis[t] for t, w in parts])
+    latent = np.stack([w @ basis[t] for t, w in weighed])
     # a word's weight is squared at each of its occurrences, in passages as in windows
-    norms = np.array([math.sqrt(float(w @ idf[t])) for t, w in parts])
+    norms = np.array([math.sqrt(float(w @ idf[t])) for t, w in weighed])
     shared = spark.sparkContext.broadcast(_Block(terms, idf, basis, latent, norms, [r["item_id"] for r in cut], items))
     names = ["item_id", "cosine", "lcs", "answer", "start_word", "item_words"]
     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
-    schema = pa.schema([("doc_id", pa.int64()), *zip(names, kinds, strict=True)])
+    extra = [("mark", pa.binary()), ("block", pa.int64())] if split else []
+    schema = pa.schema([("doc_id", pa.int64()), *zip(names, kinds, strict=True), *extra])
+
+    def more(text):
+        return (hashlib.sha256((text or "").encode()).digest(), parts.start) if split else ()
 
     def run(pieces):
         block = shared.value
         for ids, texts in pieces:
-            hits = [(i, *h) for i, t in zip(ids, texts, strict=True) for h in block.search(t)]
+            hits = [(i, *h, *more(t)) for i, t in zip(ids, texts, strict=True) for h in block.search(t)]
             yield {f.name: [h[k] for h in hits] for k, f in enumerate(schema)}
 
-    return rows.mapInArrow(arrow_map(run, schema), RESULT)
+    return rows.mapInArrow(arrow_map(run, schema), RESULT + (", mark binary, block long" if split else ""))
 
 
 @query("op2_decontaminate")

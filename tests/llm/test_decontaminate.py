@@ -63,3 +63,20 @@ def test_blocks_give_the_same_rows(spark, monkeypatch):
     whole = {(r.doc_id, r.item_id) for r in D.op2_decontaminate(spark, sf).collect()}
     monkeypatch.setattr(D, "BLOCK", 32)
     assert {(r.doc_id, r.item_id) for r in D.op2_decontaminate(spark, sf).collect()} == whole
+
+
+def test_blocks_hold_no_more_passages_than_the_rank(spark, monkeypatch):
+    """Short items, then long ones next to each other, then one longer than a block; all are found, each once a row."""
+    rng = random.Random(8)
+    monkeypatch.setattr(D, "BLOCK", 16)
+    monkeypatch.setattr(D, "RANK", 16)
+    sizes, svd = [], D.randomised_svd
+    monkeypatch.setattr(D, "randomised_svd", lambda m, terms, rows: sizes.append(rows) or svd(m, terms, rows, rank=16))
+    made = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    items = [(i, made(40)) for i in range(30)] + [(30 + i, ", ".join(made(1) for _ in range(48 * 7))) for i in range(4)] + [(40, made(48 * 12)), (41, made(48 * 40)), (42, "a,b," * 400)]
+    noise = made(60)
+    docs = [(i, f"{noise} {t} {noise}") for i, t in items] + [(41, f"{noise} {items[-2][1]} {noise}"), (99, noise)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in D.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert max(sizes) <= 16
+    assert got == sorted([(i, i) for i, _ in items] + [(41, 41)])
