@@ -53,6 +53,38 @@ def arrow_map(fn: Callable[[Iterator[tuple[list, list]]], Iterator[dict]], schem
     return run
 
 
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Arrow form of a flat "name type, ..." schema; tasks have no session to ask."""
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (field.split() for field in ddl.split(","))])
+
+
+class Batches:
+    """Rows gathered into record batches of bounded bytes."""
+
+    def __init__(self, ddl: str, batch_bytes: int = 4 << 20):
+        self.schema, self.batch_bytes = arrow_schema(ddl), batch_bytes
+        self.rows, self.bytes = [], 0
+
+    def add(self, *row) -> bool:
+        """True when the rows should be taken."""
+        self.rows.append(row)
+        self.bytes += 64 + sum(len(v) for v in row if isinstance(v, (bytes, str)))
+        return self.bytes >= self.batch_bytes
+
+    def take(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True)) or [()] * len(self.schema)
+        self.rows, self.bytes = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
+
+
+def arrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
 def total_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts; one pass that reads the text column only."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
