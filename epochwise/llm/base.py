@@ -53,7 +53,7 @@ def arrow_map(fn: Callable[[Iterator[tuple[list, list]]], Iterator[dict]], schem
     return run
 
 
-_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

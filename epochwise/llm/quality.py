@@ -147,9 +147,10 @@ def thresholds(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     limits = [c for c in fences(own, _GROUP).columns if c not in (*_GROUP, "rows")]
     whole = fences(merged(own, []), [])
     lang = fences(merged(own, ["lang_key"]), ["lang_key"])
-    # the corpus' fences are one row; a language without enough rows takes them
-    both = lang.select("lang_key", "rows", F.struct(*limits).alias("lang_fences")).crossJoin(F.broadcast(whole.select(F.struct(*limits).alias("all_fences"))))
-    up = both.select("lang_key", F.when(F.col("rows") >= least_rows, F.col("lang_fences")).otherwise(F.col("all_fences")).alias("up"))
+    # the corpus' fences are one row of a few numbers; a language without enough rows takes them
+    row = whole.select(*limits).first()
+    every = F.struct(*(F.lit(row[c]).cast("long").alias(c) for c in limits))
+    up = lang.select("lang_key", F.when(F.col("rows") >= least_rows, F.struct(*limits)).otherwise(every).alias("up"))
     each = fences(own, _GROUP).join(up, "lang_key")
     chosen = F.when(F.col("rows") >= least_rows, F.struct(*limits)).otherwise(F.col("up")).alias("f")
     return each.select("group", "rows", chosen).select("group", F.col("rows").alias("group_rows"), "f.*")

@@ -50,8 +50,11 @@ def test_rows_against_brute_force(spark, monkeypatch, chunk):
         def run(batches):
             from epochwise.llm import fim
 
-            fim.CHUNK = chunk
-            yield from fim._emit(batches)
+            usual, fim.CHUNK = fim.CHUNK, chunk
+            try:
+                yield from fim._emit(batches)
+            finally:  # workers are used again
+                fim.CHUNK = usual
 
         monkeypatch.setattr(M, "_emit", run)
         docs = docs[:-1]
