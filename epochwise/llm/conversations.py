@@ -36,6 +36,8 @@ STAYS_TRUNCATED = 5
 WHITE, ENDS = " \t\n\u000b\f\r", ".!?"
 #: Rows and bytes of text of a block, whichever comes first.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 20
+#: Rows that one task should solve, at about 50 microseconds each.
+TASK_ROWS = 1 << 19
 
 #: States: nothing yet, after a system row, after a user row, after an assistant row.
 START, AFTER_S, AFTER_U, AFTER_A = range(4)
@@ -385,8 +387,10 @@ def repaired(rows: DataFrame, texts: bool = True) -> DataFrame:
     blocks = _blocks(rows)
     light = blocks.select("conv_id", "part", "seq", "codes", "matrix").repartition("conv_id")
     ended = light.sortWithinPartitions(F.asc("conv_id"), F.desc("part"), F.desc("seq")).mapInArrow(_endings, _ENDINGS)
-    # blocks of one conversation are solved in different tasks
-    paths = ended.repartition("part", "seq").mapInArrow(_solve, _PATHS)
+    # blocks of one conversation are solved in different tasks; a fixed number of them, as few bytes take long here
+    total = blocks.agg(F.sum("rows")).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+    paths = ended.repartition(tasks, "part", "seq").mapInArrow(_solve, _PATHS)
     bodies = blocks.select("conv_id", "part", "seq", F.lit(1).alias("tag"), "body", *_STATS)
     both = paths.unionByName(bodies, allowMissingColumns=True).repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq", "tag")
     ddl = _REPAIRED + (", repaired string" if texts else "")
