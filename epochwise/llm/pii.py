@@ -110,18 +110,24 @@ def _classes(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(LOOSE[k]), F.lit(k)) for k in KINDS]))
 
 
-def spotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, base, tokens): seeds and uncovered tokens of each row, with their contexts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
+
+
+def spotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(row, doc_id, base, tokens): seeds and uncovered tokens of each row, with their contexts; on demand a digest of the text."""
+    own = [_digest(F.col(text_col)).alias("digest")] if digests else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
+    own = ["digest"] if digests else []
     clean = F.translate(F.coalesce("text", F.lit("")), MARK, "\x02")
-    with_base = rows.select("doc_id", clean.alias("clean"), base_spans(F.col("text")).alias("base"))
+    with_base = rows.select("doc_id", *own, clean.alias("clean"), base_spans(F.col("text")).alias("base"))
     every = F.concat(_found(F.col("clean"), TOKEN, F.col("clean").rlike(r"[0-9@]|[(\[{]at[)\]}]")), _found(F.col("clean"), RUN, F.col("clean").rlike("[0-9][().-]*[ ][(]?[0-9]")))
     both = with_base.select("*", F.transform(every, lambda x: F.struct(x["start"], x["end"], F.lower(x["text"]).alias("text"), _classes(F.lower(x["text"])).alias("kinds"))).alias("every"))
     open_ = F.filter("every", lambda x: (F.size(x["kinds"]) > 0) & ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
     ways = lambda x: _contexts(F.col("clean"), x["start"], x["end"]).alias("ways")
     tokens = F.transform(open_, lambda x: F.struct(x["start"], x["end"], x["text"], x["kinds"], ways(x)))
     seeds = F.transform("base", lambda x: F.struct(x["start"], x["no"], x["end"], x["kind"], F.lower(x["text"]).alias("text"), ways(x)))
-    return both.select(F.monotonically_increasing_id().alias("row"), "doc_id", seeds.alias("base"), tokens.alias("tokens"))
+    return both.select(F.monotonically_increasing_id().alias("row"), "doc_id", *own, seeds.alias("base"), tokens.alias("tokens"))
 
 
 def bootstrap(found: DataFrame) -> DataFrame:
@@ -146,21 +152,22 @@ def bootstrap(found: DataFrame) -> DataFrame:
     return reached.select("instance", "pattern", "kind").join(best.select("instance", "kind"), ["instance", "kind"]).distinct()
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(doc_id, base, spans): a row per input row; arrays of (start, no, end, kind) by start and kind.
 
     Null and empty texts have no spans.  Repeated rows and null ids keep their rows.  ``spans`` holds ``base`` and what
-    the trusted patterns add.
+    the trusted patterns add.  With ``digests`` a column names the text that a row's positions belong to.
     """
-    found = cut_lineage(spotted(docs, id_col, text_col))
+    found = cut_lineage(spotted(docs, id_col, text_col, digests))
     ways = bootstrap(found)
     tokens = found.select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.end", F.col("t.text").alias("instance"), F.explode("t.ways").alias("pattern"))
     number = F.element_at(F.create_map(*[F.lit(x) for n, k in enumerate(KINDS) for x in (k, n)]), F.col("kind"))
     extra = tokens.join(ways, ["instance", "pattern"]).groupBy(F.col("row").alias("at")).agg(F.collect_set(F.struct("start", number.alias("no"), "end", "kind")).alias("extra"))
     base = F.transform("base", lambda x: F.struct(x["start"], x["no"], x["end"], x["kind"]))
     none = F.expr("cast(array() AS array<struct<start: long, no: int, end: long, kind: string>>)")
-    joined = found.select("row", "doc_id", base.alias("base")).join(extra, F.col("row") == F.col("at"), "left")
-    return joined.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("extra", none))).alias("spans"))
+    own = ["digest"] if digests else []
+    joined = found.select("row", "doc_id", *own, base.alias("base")).join(extra, F.col("row") == F.col("at"), "left")
+    return joined.select("doc_id", *own, "base", F.array_sort(F.concat("base", F.coalesce("extra", none))).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -180,13 +187,16 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's columns with personal data in the text replaced; null texts stay null.
 
-    The fixed forms are found again beside the text; only what the patterns add is joined, by id.
+    The fixed forms are found again beside the text; only what the patterns add is joined, by id and digest of the text, so
+    positions never come from another text of that id, and rows without an id lose nothing.
     """
-    found = personal_data(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.array_except("spans", "base").alias("more"))
-    more = found.where(F.size("more") > 0).groupBy("__id").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("__more"))
+    found = personal_data(docs, id_col, text_col, digests=True)
+    more = found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.array_except("spans", "base").alias("more"))
+    more = more.where(F.size("more") > 0).groupBy("__id", "__digest").agg(F.min("more").alias("__more"))
     base = F.transform(base_spans(F.col(text_col)), lambda x: F.struct(x["start"], x["no"], x["end"], x["kind"]))
     none = F.expr("cast(array() AS array<struct<start: long, no: int, end: long, kind: string>>)")
-    joined = docs.join(more, docs[id_col] == more["__id"], "left").withColumn("__spans", F.array_sort(F.concat(base, F.coalesce("__more", none))))
+    same = docs[id_col].cast("long").eqNullSafe(more["__id"]) & (_digest(docs[text_col]) == more["__digest"])
+    joined = docs.join(more, same, "left").withColumn("__spans", F.array_sort(F.concat(base, F.coalesce("__more", none))))
     return joined.withColumn(text_col, redacted(F.col(text_col), F.col("__spans"))).select(*docs.columns)
 
 
