@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from epochwise.functions.numbers import finite
+from epochwise.functions.text import WHITE
 
 # Texts that count as true.
 TRUE_WORDS = ("1", "true", "yes", "y", "t")
@@ -34,7 +35,7 @@ def to_double(value: Column, default: float = 0.0) -> Column:
 
 def to_bool(value: Column) -> Column:
     """Boolean read from text, number or boolean; everything unknown is false."""
-    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin(*TRUE_WORDS), F.lit(False))
+    return F.coalesce(F.lower(F.trim(value.cast("string"), F.lit(WHITE))).isin(*TRUE_WORDS), F.lit(False))
 
 
 def to_text(value: Column, default: str = "") -> Column:
@@ -43,8 +44,8 @@ def to_text(value: Column, default: str = "") -> Column:
 
 def to_list(value: Column) -> Column:
     """Array of strings from a JSON array, a JSON string, or comma-separated text."""
-    text = F.trim(value)
-    pieces = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    text = F.trim(value, F.lit(WHITE))
+    pieces = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p, F.lit(WHITE))), lambda p: p != "")
     quoted = F.when(text.rlike('^"[^"]*"$'), F.array(F.get_json_object(text, "$")))
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(
         F.coalesce(F.from_json(text, "array<string>"), quoted, pieces)

@@ -31,11 +31,19 @@ EVENT_FIELDS = (
 
 def json_items(value: Column) -> Column:
     """Elements of a JSON array as text; null for anything but an array."""
-    trimmed = F.trim(value)
+    trimmed = F.trim(value, F.lit(tx.WHITE))
     strict = trimmed.startswith("[") & trimmed.endswith("]") & F.try_parse_json(trimmed).isNotNull()
     return F.when(strict, F.from_json(trimmed, "array<string>"))
 
 
+def worst_and_serious(value: Column) -> tuple[Column, Column]:
+    """Worst grade and any serious flag of a JSON array of events, without exploding it; read as :func:`explode_events` does."""
+    fields = StructType([StructField(f, StringType()) for f in ("ctcae_grade", "serious")])
+    seen = F.transform(F.filter(json_items(value), lambda x: x.startswith("{")), lambda x: F.from_json(x, fields))
+    grade = lambda e: F.coalesce(F.nanvl(e["ctcae_grade"].try_cast("double"), F.lit(None).cast("double")).try_cast("int"), F.lit(1))
+    return F.array_max(F.transform(seen, grade)), F.exists(seen, lambda e: F.coalesce(e["serious"].try_cast("boolean"), F.lit(False)))
+
+
 def explode_events(log: DataFrame, column="adverse_events_json") -> DataFrame:
     """Event rows from a JSON array column.
 
@@ -169,7 +177,7 @@ def _settled(df: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
 
 
 def _first_text(fields: Column, *names: str) -> Column:
-    return F.trim(F.coalesce(*[F.when(F.try_element_at(fields, F.lit(n)) != "", F.try_element_at(fields, F.lit(n))) for n in names], F.lit("")))
+    return F.trim(F.coalesce(*[F.when(F.try_element_at(fields, F.lit(n)) != "", F.try_element_at(fields, F.lit(n))) for n in names], F.lit("")), F.lit(tx.WHITE))
 
 
 def answer_payloads(answers: DataFrame, column="text") -> DataFrame:

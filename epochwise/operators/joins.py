@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from epochwise.functions.text import WHITE
 from epochwise.functions.hashing import stable_hash
 from epochwise.session import cut_lineage
 
@@ -51,7 +52,7 @@ def merge_reports(modelled: DataFrame, reports: DataFrame, run_id: str, cap: int
     grade wins and marks the event ``hybrid``, a verbatim replaces the old one.
     Reports without a match are appended with source ``llm``.
     """
-    key = F.lower(F.trim("term"))
+    key = F.lower(F.trim("term", F.lit(WHITE)))
     m = modelled.withColumn("key", key)
     # At most ``cap`` reports per subject-epoch, so this array is bounded by it.
     entry = F.struct("position", "grade", "term", F.coalesce("verbatim", F.lit("")).alias("verbatim"))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epochwise.operators import safety
 from epochwise.plans import reshapes
 from epochwise.plans import views as v
 from epochwise.plans.base import ORACLES, query, r
 from epochwise.plans.readouts import rounded
-from epochwise.plans.statistics import _rules_cte
+from epochwise.plans.statistics import RULES, _rules_cte
 from epochwise.plans.views import sql
 from epochwise.session import scratch_path
 from epochwise.streaming import streams
@@ -24,27 +23,20 @@ def _(spark, d):
     return table.withColumn("epoch", F.coalesce("epoch", F.lit(-1)))
 
 
-LIVE_RULES = [
-    safety.Rule("SR-01", "grade3_plus_rate", 0.20, "greater_or_equal", "review", 2),
-    safety.Rule("SR-02", "sae_rate", 0.10, "greater_than", "pause", 3, ("low", "high")),
-    safety.Rule("SR-04", "mortality_rate", 2.5, "greater_or_equal", "stop", 0),
-]
-
-
-@query("str02_safety_monitor", sql("trial", _rules_cte() + f" SELECT * REPLACE ({r('observed')} AS observed) FROM evaluated WHERE rule_id <> 'SR-03'"))
+@query("str02_safety_monitor", sql("trial", _rules_cte() + f" SELECT * REPLACE ({r('observed')} AS observed) FROM evaluated"))
 def _(spark, d):
     from epochwise.operators import events
 
     path, root = scratch_path(spark, "obs"), scratch_path(spark, "monitor")
     packed = events.collect_events(v.ae_events(spark, d), ["subject", "epoch"], reshapes._FIELDS)
-    log = v.obs_events(spark, d).select("subject", "arm", "epoch").join(packed, ["subject", "epoch"], "left")
+    log = v.obs_events(spark, d).select("subject", "arm", "epoch", "y").join(packed, ["subject", "epoch"], "left")
     ts = F.timestamp_seconds(F.lit(1704067200) + F.col("epoch") * 86400)
-    log = log.select("subject", "arm", "epoch", ts.alias("ts"), F.col("events_json").alias("adverse_events_json"))
+    log = log.select("subject", "arm", "epoch", "y", ts.alias("ts"), F.col("events_json").alias("adverse_events_json"))
     # every tenth row arrives twice
     twice = log.unionByName(log.where("(subject + epoch) % 10 = 0"))
     twice.repartitionByRange(4, "epoch").write.parquet(path)
-    m = streams.SafetyMonitor(spark, root).consume(streams.source(spark, path, log.schema, 1))
-    return rounded(m.evaluate(LIVE_RULES), ["observed"])
+    m = streams.SafetyMonitor(spark, root, "y", floor=60.0, keep_days=366).consume(streams.source(spark, path, log.schema, 1))
+    return rounded(m.evaluate(RULES), ["observed"])
 
 
 def _span_files(spark, d):
@@ -98,4 +90,13 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return _stamped(streams.session_counters(v.spans_events(spark, d), "trace_id", "10 minutes"))
+    """Two spans far behind the last one move the watermark over all sessions; theirs stays open and is not returned."""
+    path = scratch_path(spark, "spans")
+    s = v.spans_events(spark, d).select("trace_id", "kind", "start_time", "duration_ms", "tokens_in", "cache_hit", "status")
+    s.repartitionByRange("start_time").write.parquet(path)
+    end = s.agg(F.max("start_time").alias("t")).select(F.lit("end of input").cast(s.schema["trace_id"].dataType).alias("trace_id"), F.lit("").alias("kind"), (F.col("t") + F.expr("INTERVAL 62 DAYS")).alias("start_time"))
+    end = spark.createDataFrame([], s.schema).unionByName(end, allowMissingColumns=True)
+    end.write.mode("append").parquet(path)
+    end.withColumn("start_time", F.col("start_time") + F.expr("INTERVAL 1 DAY")).write.mode("append").parquet(path)
+    table = streams.session_table(streams.source(spark, path, s.schema, 8), scratch_path(spark, "sessions"), "trace_id", "10 minutes")
+    return _stamped(table)

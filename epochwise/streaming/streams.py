@@ -7,9 +7,12 @@ path given by the caller, which must be shared by all executors.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from epochwise.operators import events as ev
@@ -37,62 +40,128 @@ def events_to_table(log: DataFrame, out: str, column="adverse_events_json") -> D
 
 
 # --- interim safety monitor -----------------------------------------------------
-HITS = "metric string, arm string, subject bigint, first_epoch int"
-RISK = "arm string, epoch int, n bigint"
-
-
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return spark.createDataFrame([], schema)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DELTAS = "kind string, metric string, arm string, epoch int, n bigint"
+_METRICS = ("grade3_plus_rate", "sae_rate", "mortality_rate")
 
 
-class SafetyMonitor:
-    """First qualifying epoch per subject, kept current as observations arrive.
+class _FirstHits(StatefulProcessor):
+    """Keyed state of one subject: baseline, epochs seen, readings that wait for a baseline, first hit per metric and arm.
 
-    State: one row per (metric, arm, subject), rewritten per micro-batch under
-    the batch's own number, and additive at-risk counts per (arm, epoch).  A
-    replayed batch overwrites its own files, so results are exactly-once.
-    Repeated observations inside the watermark are dropped; later ones are
-    ignored.  Covers the event-based metrics.
+    Emits changes of counts only: +1 where a subject is newly at risk or first hit; when an earlier hit arrives late, -1
+    where it was counted before.  State is one row per subject, bounded by its epochs.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, fold: float, floor: float, keep_days: int | None):
+        self.fold, self.floor, self.keep_ms = fold, floor, None if keep_days is None else keep_days * 86_400_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("subject", StructType().add("state", "string"))
+
+    def handleInputRows(self, key, rows, timerValues):
+        state = {"base": None, "seen": [], "waiting": [], "hits": {}}
+        if self.held.exists():
+            state = json.loads(self.held.get()[0])
+        seen, hits, out, last = {tuple(x) for x in state["seen"]}, state["hits"], [], 0
+
+        def hit(metric, arm, epoch):
+            name = json.dumps([metric, arm])
+            before = hits.get(name)
+            if before is None or epoch < before:
+                hits[name] = epoch
+                out.append(("hit", metric, arm, epoch, 1))
+                if before is not None:
+                    out.append(("hit", metric, arm, before, -1))
+
+        for frame in rows:
+            for arm, epoch, y, at, *flags in zip(*(frame[c] for c in ("arm", "epoch", "y", "at", *_METRICS)), strict=True):
+                if (arm, int(epoch)) in seen:  # the same observation again
+                    continue
+                seen.add((arm, int(epoch)))
+                last = max(last, int(at))
+                out.append(("risk", "", arm, int(epoch), 1))
+                for metric, flag in zip(_METRICS, flags, strict=True):
+                    if flag:
+                        hit(metric, arm, int(epoch))
+                if y == y and epoch == 0:
+                    state["base"] = float(y)
+                if y == y and y > self.floor:
+                    state["waiting"].append([arm, int(epoch), float(y)])
+        if state["base"] is not None:
+            for arm, epoch, y in state["waiting"]:
+                if y >= self.fold * state["base"]:
+                    hit("alt_elevation_rate", arm, epoch)
+            state["waiting"] = []
+        state["seen"] = sorted(map(list, seen))
+        self.held.update((json.dumps(state),))
+        if self.keep_ms is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs() + 1) + self.keep_ms)
+        yield pd.DataFrame(out, columns=["kind", "metric", "arm", "epoch", "n"]).astype({"epoch": "int32", "n": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.held.clear()
+        yield pd.DataFrame({"kind": [], "metric": [], "arm": [], "epoch": [], "n": []}).astype({"kind": "object", "metric": "object", "arm": "object", "epoch": "int32", "n": "int64"})
+
+    def close(self) -> None:
+        pass
+
 
-    def _hits(self, batch: int) -> DataFrame:
-        return _read_or_empty(self.spark, f"{self.root}/hits/v={batch}", HITS)
+class SafetyMonitor:
+    """First qualifying epoch per subject, kept current as observations arrive; all four metrics.
+
+    The state sits in Spark's state store, keyed by subject: the baseline and first hits, so the elevation rule works
+    whether the baseline comes first or late.  A micro-batch writes only its own changes of the counts, summed, under its
+    number; a replayed batch overwrites its own files, so results are exactly-once.  Counts are sums over batches; a missing
+    batch raises.  The first observation of a subject, arm and epoch counts, repeated ones never do.  Observations older than the watermark
+    are ignored.  ``keep_days`` drops the state of subjects of whom nothing came for so long; those already counted stay
+    counted.
+    """
 
-    def _merge(self, rows: DataFrame, batch: int) -> None:
-        rows.persist()
+    def __init__(self, spark: SparkSession, root: str, measure: str = "y", fold: float = 3.0, floor: float = 100.0, keep_days: int | None = None):
+        self.spark, self.root, self.measure = spark, root, measure
+        self.processor = _FirstHits(fold, floor, keep_days)
+
+    def _file(self, rows: DataFrame, batch: int) -> None:
+        marker = self.spark.range(1).select(F.lit("batch").alias("kind"), F.lit("").alias("metric"), F.lit("").alias("arm"), F.lit(0).alias("epoch"), F.lit(1).cast("bigint").alias("n"))
+        summed = rows.groupBy("kind", "metric", "arm", "epoch").agg(F.sum("n").alias("n"))
+        summed.unionByName(marker).write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch}")
+
+    def consume(self, log: DataFrame, ts="ts", watermark="31 days", column="adverse_events_json") -> SafetyMonitor:
+        worst, serious = ev.worst_and_serious(F.col(column))
+        flags = (worst >= 3, serious, worst >= 5)
+        rows = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+        rows = rows.select(
+            "subject",
+            "arm",
+            F.col("epoch").cast("int").alias("epoch"),
+            F.coalesce(F.col(self.measure).cast("double"), F.lit(float("nan"))).alias("y"),
+            F.unix_millis(ts).alias("at"),
+            *[F.coalesce(f, F.lit(False)).alias(m) for m, f in zip(_METRICS, flags, strict=True)],
+            ts,
+        )
+        mode = "None" if self.processor.keep_ms is None else "EventTime"
+        deltas = rows.groupBy("subject").transformWithStateInPandas(self.processor, DELTAS, "Append", mode)
+        # the store for keyed state is chosen when the query starts
+        before = self.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
         try:
-            e = ev.explode_events(rows).select(
-                F.col("arm_id").alias("arm"), F.col("patient_id").cast("bigint").alias("subject"), "epoch", F.col("ctcae_grade").alias("grade"), "serious"
-            )
-            fresh = safety.first_hits(e).select("metric", "arm", "subject", F.col("first_epoch").cast("int").alias("first_epoch"))
-            merged = self._hits(batch - 1).unionByName(fresh).groupBy("metric", "arm", "subject").agg(F.min("first_epoch").alias("first_epoch"))
-            merged.write.mode("overwrite").parquet(f"{self.root}/hits/v={batch}")
-            risk = rows.groupBy("arm", "epoch").agg(F.count("subject").alias("n"))
-            risk.write.mode("overwrite").parquet(f"{self.root}/risk/batch={batch}")
-            self.spark.range(1).select(F.lit(batch).alias("batch")).write.mode("overwrite").parquet(f"{self.root}/done/batch_id={batch}")
+            _drain(deltas.writeStream.outputMode("append").foreachBatch(self._file).option("checkpointLocation", f"{self.root}/_checkpoint"))
         finally:
-            rows.unpersist()
-
-    def consume(self, log: DataFrame, ts="ts", watermark="31 days") -> SafetyMonitor:
-        clean = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["subject", "epoch"])
-        _drain(clean.writeStream.foreachBatch(self._merge).option("checkpointLocation", f"{self.root}/_checkpoint"))
+            self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
         return self
 
     def evaluate(self, rules: list[safety.Rule]) -> DataFrame:
-        """Rule evaluations from the current state."""
-        last = _read_or_empty(self.spark, f"{self.root}/done", "batch int").agg(F.max("batch").alias("b")).first()["b"]
-        hits = self._hits(-1 if last is None else last)
-        per_epoch = hits.groupBy("metric", "arm", F.greatest("first_epoch", F.lit(0)).alias("epoch")).agg(F.count("subject").alias("new_hits"))
-        risk = _read_or_empty(self.spark, f"{self.root}/risk", RISK).groupBy("arm", "epoch").agg(F.sum("n").alias("n_at_risk"))
-        return safety.evaluate(per_epoch, risk, rules)
+        """Rule evaluations from the counts of all batches so far."""
+        deltas = self.spark.read.schema(DELTAS + ", batch int").parquet(f"{self.root}/deltas")
+        batches = deltas.where("kind = 'batch'").agg(F.count_distinct("batch").alias("n"), F.max("batch").alias("last")).first()
+        if batches["n"] != (batches["last"] or 0) + 1:
+            raise RuntimeError(f"counts of {(batches['last'] or 0) + 1 - batches['n']} batches are missing below {self.root}/deltas")
+        hits = deltas.where("kind = 'hit'").groupBy("metric", "arm", F.greatest("epoch", F.lit(0)).alias("epoch")).agg(F.sum("n").alias("new_hits"))
+        risk = deltas.where("kind = 'risk'").groupBy("arm", "epoch").agg(F.sum("n").alias("n_at_risk"))
+        return safety.evaluate(hits, risk, rules)
 
 
 # --- telemetry by time window ----------------------------------------------------
@@ -120,6 +189,17 @@ def session_counters(spans: DataFrame, by: str, gap: str, ts="start_time") -> Da
     return g.select(by, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "spans", "calls", "cache_hits", "errors", "tokens_in", "latency_max")
 
 
+def session_table(spans: DataFrame, out: str, by: str, gap: str, watermark="31 days", ts="start_time") -> DataFrame:
+    """Sessions of a span stream, appended once the watermark has passed their end plus the gap.
+
+    A late span inside the watermark still widens or merges open sessions; sessions of the last ``watermark`` stay open
+    until later spans move it on.
+    """
+    counted = session_counters(spans.withWatermark(ts, watermark), by, gap, ts)
+    _drain(counted.writeStream.outputMode("append").format("parquet").option("path", f"{out}/sessions").option("checkpointLocation", f"{out}/_checkpoint"))
+    return spans.sparkSession.read.schema(counted.schema).parquet(f"{out}/sessions")
+
+
 def telemetry_table(spans: DataFrame, out: str, width: str, slide: str | None = None, watermark="31 days", ts="start_time") -> DataFrame:
     """Window counters of a span stream; each update is filed under its batch.
 
