@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from epochwise.operators.joins import hot_split_join
 from epochwise.session import cut_lineage
 
 
@@ -37,6 +38,19 @@ def block_row_number(df: DataFrame, group: list[str], order: list[str], block: C
     )
 
 
+def range_row_number(df: DataFrame, group: list[str], order: list[str], name="rn", total: str | None = None, parts: int | None = None) -> DataFrame:
+    """:func:`block_row_number` for keys of any orderable type and any spacing.
+
+    Splitters are sampled from the order itself (Spark's range partitioning by group and key), so a group that holds all
+    rows, or keys with a common prefix, spread over the ranges; each range is counted once and lower ranges are added up.
+    The dealt rows are checkpointed, so ranges stay the same for count and numbering.  Rows with equal keys share a range.
+    """
+    by = [*group, *order]
+    dealt = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    ranged = cut_lineage(dealt.withColumn("_range", F.spark_partition_id()))
+    return block_row_number(ranged, group, order, F.col("_range"), name, total).drop("_range")
+
+
 def split_points(df: DataFrame, group: list[str], value: str, parts: int) -> DataFrame:
     """Approximate quantiles per group: one mergeable summary row, any group size."""
     probs = [i / parts for i in range(1, parts)]
@@ -65,7 +79,6 @@ def cut_into_pieces(df: DataFrame, group: list[str], value: str, name: str, rows
 
 
 SMALL_SIDE_ROWS = 100_000
-DIRECT_ROWS = 2_000_000
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -78,62 +91,56 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if few else kept
 
 
-def order_statistics(df: DataFrame, value: str, ranks: dict[str, Column], group: list[str], parts=256, direct=DIRECT_ROWS) -> DataFrame:
+def ordered_bits(value: str) -> Column:
+    """64-bit pattern of a double as a signed number of the same order; both zeros are one, NaN is largest."""
+    bits = F.expr(f"cast(java_method('java.lang.Double', 'doubleToLongBits', {value} + 0.0D) AS bigint)")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+#: Bits that one round of the selection reads.
+DIGIT = 16
+
+
+def order_statistics(df: DataFrame, value: str, ranks: dict[str, Column], group: list[str]) -> DataFrame:
     """Exact order statistics per group, one column per entry of ``ranks``.
 
-    A rank is a 1-based expression in ``n``, the group's count of non-null
-    values.  Equal values are collapsed, then ranked by a running count.  While
-    the largest group holds more than ``direct`` rows, the range in play is
-    narrowed first (see :func:`_narrow`).
+    A rank is a 1-based expression in ``n``, the group's count of non-null values.  Radix selection on the order-preserving
+    bit pattern: each of four rounds counts the next 16 bits of the values that share the digits chosen so far, for all
+    ranks at once.  A task sends at most 2^16 counters for each prefix still in play, a window runs over those counters
+    only, and a value that fills the column is one counter.  The source is read twice, whatever its size: for the first
+    digits, and for the values that share those of a wanted rank, which go on as distinct values with counts.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*(group or [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_v"))
     keys = group or ["_g"]
-    sizes = rows.groupBy(*keys).agg(F.count("_v").alias("n"))
-    largest = sizes.agg(F.max("n").alias("m")).first()["m"] or 0
-    if largest <= direct:
-        counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-        run = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-        ranked = counts.withColumn("_to", F.sum("_n").over(run)).withColumn("n", F.sum("_n").over(W.partitionBy(*keys)))
-        hits = []
-        for name, rank in ranks.items():
-            k = rank.cast("bigint")
-            hits.append(F.max(F.when((k <= F.col("_to")) & (k > F.col("_to") - F.col("_n")), F.col("_v"))).alias(name))
-        return ranked.groupBy(*keys).agg(*hits).select(*group, *ranks)
-    out = None
-    for name, rank in ranks.items():
-        one = _narrow(rows, small_side(sizes), rank, keys, parts, direct).select(*keys, F.col("_v").alias(name))
-        out = one if out is None else out.join(one, keys)
-    return out.select(*group, *ranks)
-
-
-def _narrow(rows: DataFrame, sizes: DataFrame, rank: Column, keys: list[str], parts: int, direct: int) -> DataFrame:
-    """Order statistic of large groups.
-
-    Each round cuts the range in play at approximate quantiles, counts the
-    pieces and keeps the piece that holds the rank, as its smallest and largest
-    value.  Values equal to a cut point form a piece of their own, so a heavily
-    repeated value never holds up the others.  The chosen range is
-    checkpointed; the last step ranks the distinct values left in it.
-    """
-    low, high = F.lit(float("-inf")), F.lit(float("inf"))
-    target = sizes.select(*keys, "n", rank.cast("bigint").alias("_k"), low.alias("_lo"), high.alias("_hi"))
-    while not target.where((F.col("n") > direct) & (F.col("_lo") < F.col("_hi"))).isEmpty():
-        live = _inside(rows, target, keys)
-        points = small_side(split_points(live, keys, "_v", parts))
-        index = piece_of("_points", "_v") + F.size(F.filter("_points", lambda p: p <= F.col("_v")))
-        counted = (
-            live.join(points, keys)
-            .groupBy(*keys, index.alias("_i"))
-            .agg(F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        )
-        run = W.partitionBy(*keys).orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
-        counted = counted.withColumn("_to", F.sum("n").over(run)).withColumn("_from", F.col("_to") - F.col("n"))
-        held = counted.join(target.select(*keys, "_k"), keys).where((F.col("_k") > F.col("_from")) & (F.col("_k") <= F.col("_to")))
-        target = small_side(held.select(*keys, "n", (F.col("_k") - F.col("_from")).alias("_k"), "_lo", "_hi"))
-    counts = _inside(rows, target, keys).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    run = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.withColumn("_to", F.sum("_n").over(run)).join(target, keys)
-    return ranked.where((F.col("_k") <= F.col("_to")) & (F.col("_k") > F.col("_to") - F.col("_n")))
+    rows = df.where(F.col(value).isNotNull()).select(*(group or [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_v"))
+    # a group may be null, so groups are compared by one column that never is
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
+    rows = rows.select(key, *keys, "_v", ordered_bits("_v").alias("_bits"), F.lit(1).cast("bigint").alias("_c"))
+    same = [F.first(k).alias(k) for k in keys]
+    wanted = None
+    for step in range(64 // DIGIT):
+        base = ["_key", "_up"] if step else ["_key"]
+        if step:
+            rows = rows.withColumn("_up", F.expr(f"_bits >> {64 - DIGIT * step}"))
+            live = rows.join(small_side(wanted.select("_key", "_up").distinct()), base).drop("_up")
+            # what is left goes on as distinct values with their counts
+            rows = cut_lineage(live.groupBy("_key", "_bits").agg(*same, F.max("_v").alias("_v"), F.sum("_c").alias("_c")))
+            live = rows.withColumn("_up", F.expr(f"_bits >> {64 - DIGIT * step}"))
+        else:
+            live = rows
+        digit = F.expr(f"_bits >> {64 - DIGIT * (step + 1)}")
+        counts = live.groupBy(*base, digit.alias("_digit")).agg(F.sum("_c").alias("_n"), F.max("_v").alias("_top"), *same)
+        run = W.partitionBy(*base).orderBy("_digit").rowsBetween(W.unboundedPreceding, 0)
+        counts = counts.withColumn("_to", F.sum("_n").over(run))
+        if step:
+            found = counts.join(wanted.drop(*keys, "_top"), base)
+        else:
+            counts = counts.withColumn("n", F.sum("_n").over(W.partitionBy("_key")))
+            pairs = F.array(*[F.struct(F.lit(name).alias("name"), k.cast("bigint").alias("k")) for name, k in ranks.items()])
+            found = counts.withColumn("_r", F.explode(pairs)).select("*", F.col("_r.name").alias("_name"), F.col("_r.k").alias("_k"))
+        found = found.where((F.col("_k") <= F.col("_to")) & (F.col("_k") > F.col("_to") - F.col("_n")))
+        wanted = cut_lineage(found.select("_key", *keys, "_name", (F.col("_k") - F.col("_to") + F.col("_n")).alias("_k"), F.col("_digit").alias("_up"), "_top"))
+    picks = [F.max(F.when(F.col("_name") == n, F.col("_top"))).alias(n) for n in ranks]
+    return wanted.groupBy("_key").agg(*same, *picks).select(*group, *ranks)
 
 
 def nearest_rank(q: float) -> Column:
@@ -141,18 +148,13 @@ def nearest_rank(q: float) -> Column:
     return F.rint(F.lit(float(q)) * (F.col("n") - 1)) + 1
 
 
-def median(df: DataFrame, value: str, group: list[str], name="median", **kw) -> DataFrame:
+def median(df: DataFrame, value: str, group: list[str], name="median") -> DataFrame:
     """Exact median per group, from the two middle order statistics."""
     middle = {"_low": F.floor((F.col("n") + 1) / 2), "_high": F.floor((F.col("n") + 2) / 2)}
-    both = order_statistics(df, value, middle, group, **kw)
+    both = order_statistics(df, value, middle, group)
     return both.select(*group, ((F.col("_low") + F.col("_high")) / 2.0).alias(name))
 
 
-def _inside(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows within the closed range still in play for their group."""
-    return rows.join(target.select(*keys, "_lo", "_hi"), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).select(*keys, "_v")
-
-
 def subject_index(log: DataFrame, measure: str, subject="subject", arm="arm", epoch="epoch") -> DataFrame:
     """One summary row per subject, worst final grade first."""
     first = F.min_by(measure, epoch)
@@ -190,8 +192,8 @@ def subject_details(log: DataFrame, measures: list[str], top=150, subject="subje
 def bucket_key(rows: DataFrame, cohort: str, per_bucket: int, name="bucket") -> DataFrame:
     """Sorted distinct cohorts grouped ``per_bucket`` at a time: ``P00000``, ``P00001``, ..."""
     distinct = rows.select(cohort).distinct()
-    ranked = block_row_number(distinct, [], [cohort], F.substring(cohort, 1, 3), "_r")
+    ranked = range_row_number(distinct, [], [cohort], "_r")
     keys = ranked.select(
         cohort, F.concat(F.lit("P"), F.lpad(F.floor((F.col("_r") - 1) / per_bucket).cast("string"), 5, "0")).alias(name)
     )
-    return rows.join(keys, cohort)
+    return hot_split_join(rows, keys, cohort, "inner")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from epochwise.operators import compare, joins, ranks
+from epochwise.operators import allocation, compare, joins, ranks
 from epochwise.plans import registry
 
 
@@ -20,6 +20,45 @@ def test_block_row_number_equals_the_window(spark):
     assert compare.symmetric_difference(got.select("k", "v", "rn", "n"), want).count() == 0
 
 
+def fixed_ranges(spark, on):
+    """Small inputs keep their ranges apart, so their sizes can be looked at."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(not on).lower())
+
+
+def test_range_row_number_of_text_in_one_group(spark):
+    """One stratum, text keys with a common prefix: equal to the window, and no range holds most of the rows."""
+    df = spark.range(8000).select(F.lit("all").alias("g"), F.concat(F.lit("SUBJECT-P"), F.lpad((F.col("id") * 7919 % 100_003).cast("string"), 9, "0")).alias("s")).repartition(6)
+    fixed_ranges(spark, True)
+    try:
+        by = df.repartitionByRange(8, "g", "s").groupBy(F.spark_partition_id()).count()
+        assert by.count() == 8 and by.agg(F.max("count")).first()[0] < 2000
+        got = ranks.range_row_number(df, ["g"], ["s"], "rn", total="n", parts=8)
+        want = df.withColumn("rn", F.row_number().over(W.partitionBy("g").orderBy("s")).cast("bigint")).withColumn("n", F.count("s").over(W.partitionBy("g")))
+        assert compare.symmetric_difference(got.select("g", "s", "rn", "n"), want).count() == 0
+    finally:
+        fixed_ranges(spark, False)
+
+
+def test_allocation_of_text_and_sparse_ids(spark):
+    """The same rows in the same order of ids get the same blocks, whatever the ids look like."""
+    weights = {"ctl": 1.0, "act": 2.0}
+    base = spark.range(500).select(F.col("id").alias("n"))
+    kinds = {"text": F.concat(F.lit("P"), F.lpad("n", 6, "0")), "sparse": F.col("n") * F.col("n") * 10**9, "dense": F.col("n")}
+    for name, key in kinds.items():
+        rows = allocation.permuted_blocks(base.select("n", key.alias("subject"), F.lit("x").alias("sex")), weights, ["sex"], 6, "7").collect()
+        assert {(r.n, r.block_index) for r in rows} == {(n, n // 6) for n in range(500)}, name
+        audit = {}
+        for r in rows:
+            audit.setdefault(r.block_index, []).append(r.allocated_arm)
+        assert all(sorted(a) == ["act"] * 4 + ["ctl"] * 2 for b, a in audit.items() if b < 83), name
+
+
+def test_buckets_of_cohorts_with_a_common_prefix(spark):
+    rows = spark.range(300).select(F.concat(F.lit("COHORT-"), F.lpad((F.col("id") % 100).cast("string"), 5, "0")).alias("cohort"), "id")
+    got = {r.cohort: r.bucket for r in ranks.bucket_key(rows, "cohort", 7).collect()}
+    assert got == {f"COHORT-{k:05d}": f"P{k // 7:05d}" for k in range(100)}
+
+
 def test_hot_split_join_equals_the_join(spark):
     left = skewed(spark)
     right = spark.range(45).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("w"))
