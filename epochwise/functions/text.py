@@ -48,21 +48,6 @@ TRANSIENT_MARKERS = (
     "429",
 )
 
-# Canned verbatim per term.
-VERBATIM = {
-    "headache": "I have a dull headache that started a few hours after the dose.",
-    "dizziness": "I feel light-headed when I stand up quickly.",
-    "fatigue": "I am more tired than usual today.",
-    "nausea": "My stomach feels unsettled and I have little appetite.",
-    "rash": "I noticed a red itchy patch on my forearm.",
-    "diarrhoea": "I have had loose stools twice today.",
-    "peripheral_oedema": "My ankles look a bit puffy this evening.",
-    "hyperkalaemia": "I feel muscle weakness and my heart feels irregular.",
-    "acute_kidney_injury": "I am passing much less urine than usual.",
-    "hepatotoxicity": "I feel nauseated and my right upper abdomen is uncomfortable.",
-}
-
-
 def any_marker(text: Column, markers: tuple[str, ...]) -> Column:
     """True where the lower-cased text holds one of the markers."""
     low = F.lower(text)
@@ -134,23 +119,19 @@ def top_entry(m: Column) -> Column:
 
 
 def rule_based_report(probabilities: Column, grade: Column, epoch: Column, threshold: float = 0.15) -> Column:
-    """JSON answer derived from term probabilities, in the contract of a real answer."""
+    """JSON answer put together from recorded term scores and the grade, in the contract of a free-text answer; its words are the terms."""
     # Entries from the largest probability down; equal ones keep their map order.
     numbered = F.transform(
         F.map_entries(probabilities),
         lambda x, i: F.struct((-x["value"]).alias("neg"), i.alias("i"), x["key"].alias("term")),
     )
     hits = F.filter(F.array_sort(numbered), lambda x: -x["neg"] >= threshold)
-    canned = F.create_map(*[F.lit(v) for kv in VERBATIM.items() for v in kv])
     symptoms = F.transform(
         F.slice(hits, 1, 3),
         lambda x: F.struct(
             x["term"].alias("term"),
             F.greatest(F.lit(1), F.least(F.lit(5), grade)).alias("ctcae_grade"),
-            F.coalesce(
-                F.try_element_at(canned, x["term"]),
-                F.concat(F.lit("I have some "), F.replace(x["term"], F.lit("_"), F.lit(" ")), F.lit(" since the dose.")),
-            ).alias("verbatim"),
+            F.replace(x["term"], F.lit("_"), F.lit(" ")).alias("verbatim"),
         ),
     )
     return F.to_json(
@@ -159,6 +140,6 @@ def rule_based_report(probabilities: Column, grade: Column, epoch: Column, thres
             F.when(F.size(symptoms) == 0, "good").when(grade <= 2, "acceptable").otherwise("poor").alias("overall_tolerability"),
             F.when(grade >= 4, "discontinue").when(grade == 3, "unsure").otherwise("continue").alias("adherence_intent"),
             epoch.alias("epoch"),
-            F.lit("offline-heuristic").alias("source"),
+            F.lit("recorded").alias("source"),
         )
     )

@@ -8,12 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from epochwise.functions import kinetics as kin
 from epochwise.functions.hashing import uniform
 from epochwise.functions.numbers import clip
-from epochwise.operators.longitudinal import cumulative
 
 # Reference mean and standard deviation per covariate.
 REFERENCE = {
@@ -27,9 +26,6 @@ REFERENCE = {
 RATIO_CAP = 20.0
 # Extra early risk and its decay.
 EARLY_RISK, EARLY_EPOCHS = 0.25, 2.0
-# Weights of the composite score.
-COMPOSITE = {"sbp": 20.0, "dbp": 12.0, "hr": 10.0, "qtc": 30.0}
-QTC_LIMIT = 450.0
 # Relatedness bands.
 PROBABLE_ABOVE, POSSIBLE_ABOVE = 0.25, 0.08
 
@@ -39,30 +35,47 @@ def z_score(value: Column, name: str) -> Column:
     return (value - mean) / sd
 
 
-def kinetic_features(cohort: DataFrame, drug: kin.Drug) -> DataFrame:
-    """Add clearance, volume, elimination rate and half-life per subject."""
-    cl = kin.clearance(drug, F.col("weight"), F.col("age"), F.col("sex"), F.col("egfr"), F.col("metabolism"))
-    out = cohort.withColumns({"cl": cl, "vol": kin.volume(drug, F.col("weight"), F.col("bmi"))})
-    ke = F.col("cl") / F.col("vol")
-    return out.withColumns({"ke": ke, "half_life": kin.half_life(ke)})
-
-
-def exposure_features(rows: DataFrame, drug: kin.Drug, tau: float) -> DataFrame:
-    """Exposure per subject-epoch; rows carry dose, epoch, cl, vol and ke."""
-    dosed = (F.col("dose") > 0) & (F.col("epoch") > 0)
-    on = lambda c: F.when(dosed, c).otherwise(0.0)
-    peak = kin.time_to_peak(drug, F.col("ke"))
-    level = lambda t: kin.concentration(drug, F.col("dose"), F.col("vol"), F.col("ke"), t, F.col("epoch"), tau)
-    auc = on(drug.bioavailability * F.col("dose") / F.col("cl"))
-    out = rows.withColumns({"t_max": on(peak), "auc": auc})
-    average = F.col("auc") / tau
-    made = {
-        "c_trough": on(level(F.lit(0.0))),
-        "c_peak": on(level(F.col("t_max"))),
-        "c_avg": average,
-        "exposure_ratio": average / drug.ec50_mg_l,
-    }
-    return cumulative(out.withColumns(made), "auc", "cumulative_auc")
+def dosing_summary(log: DataFrame, subject="subject", epoch="epoch", dose="dose") -> DataFrame:
+    """Recorded dosing per subject from one aggregate: dosed epochs, total dose, first and last dosed epoch, mean distance."""
+    dosed = F.col(dose) > 0
+    n = F.count(F.when(dosed, 1))
+    first, last = F.min(F.when(dosed, F.col(epoch))), F.max(F.when(dosed, F.col(epoch)))
+    return log.groupBy(subject).agg(
+        n.alias("n_dosed"),
+        F.coalesce(F.sum(F.when(dosed, F.col(dose))), F.lit(0.0)).alias("total_dose"),
+        first.alias("first_dosed"),
+        last.alias("last_dosed"),
+        F.try_divide(last - first, n - 1).alias("mean_interval"),
+    )
+
+
+def exposure_features(rows: DataFrame, subject="subject", epoch="epoch", dose="dose", weight="weight") -> DataFrame:
+    """Recorded exposure up to each row: dose per kg, cumulative and mean dose, and the mean dose per kg as ``exposure_ratio``.
+
+    Rows are one per subject and epoch, so the window holds a subject's epochs only.
+    """
+    upto = W.partitionBy(subject).orderBy(epoch).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumn("dose_per_kg", F.try_divide(F.col(dose), F.col(weight)))
+    return out.withColumns(
+        {
+            "cumulative_dose": F.sum(dose).over(upto),
+            "mean_dose": F.avg(dose).over(upto),
+            "exposure_ratio": F.avg("dose_per_kg").over(upto),
+        }
+    )
+
+
+def largest_effect(rows: DataFrame, measure: str, subject="subject", dose="dose") -> DataFrame:
+    """Per subject the dose level whose mean measure lies farthest above that of its undosed epochs, and the difference.
+
+    Null without an undosed or a dosed epoch; the lower dose wins a tie.
+    """
+    level = rows.groupBy(subject, dose).agg(F.avg(measure).alias("_m"))
+    out = level.groupBy(subject).agg(
+        F.max(F.when(F.col(dose) > 0, F.struct(F.col("_m").alias("m"), (-F.col(dose)).alias("neg")))).alias("_best"),
+        F.max(F.when(F.col(dose) == 0, F.col("_m"))).alias("_none"),
+    )
+    return out.select(subject, (-F.col("_best.neg")).alias("best_dose"), (F.col("_best.m") - F.col("_none")).alias("effect"))
 
 
 def sigmoid(x: Column) -> Column:
@@ -176,14 +189,12 @@ def linear_score(features: Column, beta: list[float] | None, width: int) -> Colu
     return F.when(F.size(features) == width, dot).otherwise(0.0)
 
 
-def composite_score(sbp_change: Column, dbp_change: Column, hr_change: Column, qtc: Column, alt: Column, alt_base: Column) -> Column:
-    """Weighted benefit score: falls in pressure and rate count up, harm counts down."""
-    zero = F.lit(0.0)
-    long_qtc = F.greatest(zero, qtc - QTC_LIMIT) / COMPOSITE["qtc"]
-    alt_rise = F.greatest(zero, alt / F.greatest(F.lit(1.0), alt_base) - 1.0)
-    return (
-        -sbp_change / COMPOSITE["sbp"] - dbp_change / COMPOSITE["dbp"] - 0.4 * hr_change / COMPOSITE["hr"] - 0.3 * long_qtc - 0.5 * alt_rise
-    )
+def weighted_score(parts: list[tuple[Column, float, float]]) -> Column:
+    """Sum of weight * value / scale over (value, weight, scale); a missing value counts as no change, so no row is lost."""
+    total = F.lit(0.0)
+    for value, weight, scale in parts:
+        total = total + float(weight) * F.coalesce(value, F.lit(0.0)) / float(scale)
+    return total
 
 
 def relatedness(p: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from epochwise.functions import coerce
-from epochwise.functions import kinetics as kin
 from epochwise.functions.numbers import rnd
 from epochwise.operators import grouped, models, ranks
 from epochwise.plans import views as v
@@ -16,52 +15,50 @@ from epochwise.plans.projections import _LIST_SQL
 from epochwise.plans.readouts import rounded
 from epochwise.plans.views import sql
 
-DRUG = kin.Drug()
-TAU = 12.0
 
 
 def subjects(spark, d):
-    c = v.cohort_cust(spark, d)
-    return c.withColumn("metabolism", coerce.exposure_multiplier(F.col("cyp2d6"))).withColumn(
-        "n_conditions", F.size(coerce.to_list(F.col("conditions_text")))
-    )
+    return v.cohort_cust(spark, d).withColumn("n_conditions", F.size(coerce.to_list(F.col("conditions_text"))))
 
 
-_PK = _LIST_SQL + """,
-m AS (SELECT *, CASE cyp2d6 WHEN 'PM' THEN 1.35 WHEN 'IM' THEN 1.175 WHEN 'NM' THEN 1.0 ELSE 0.825 END::DOUBLE AS metabolism, len(conditions) AS n_conditions FROM list),
-c1 AS (SELECT *, greatest(0.05::DOUBLE, 4.0::DOUBLE * greatest(30.0::DOUBLE, weight) * 60 / 1000 * (0.4::DOUBLE * least(1.25::DOUBLE, greatest(0.35::DOUBLE, egfr / 100))
-        + 0.5::DOUBLE * metabolism + 0.1::DOUBLE) * least(1.15::DOUBLE, greatest(0.55::DOUBLE, 1 - 0.008::DOUBLE * greatest(0::DOUBLE, age - 40))) * CASE WHEN sex = 'F' THEN 0.9 ELSE 1.0 END::DOUBLE) AS cl,
-        greatest(5.0::DOUBLE, 1.2::DOUBLE * greatest(30.0::DOUBLE, weight) * (1 + 0.1::DOUBLE * (bmi - 25) / 25)) AS vol FROM m),
-pk AS (SELECT *, cl / vol AS ke, ln(2) / (cl / vol) AS half_life FROM c1)"""
+def doses(spark, d):
+    """Half-year order epochs as dosing epochs: the dose follows the number of orders, the response is the mean root price."""
+    return v.obs_orders(spark, d).select("subject", "epoch", (F.col("n_orders") % 3 * 50.0).alias("dose"), "x")
 
 
-@query("mod01_kinetic_features", sql("cohort_cust", f", {_PK} SELECT subject, {r('cl')} AS cl, {r('vol')} AS vol, {r('ke', 8)} AS ke, {r('half_life')} AS half_life FROM pk"))
-def _(spark, d):
-    f = models.kinetic_features(subjects(spark, d), DRUG).select("subject", "cl", "vol", "ke", "half_life")
-    return rounded(rounded(f, ["cl", "vol", "half_life"]), ["ke"], 8)
+_DOSES = """doses AS (SELECT subject, epoch, (n_orders % 3) * 50.0::DOUBLE AS dose, x FROM obs_orders)"""
 
 
-def exposed(spark, d):
-    """Half-year order epochs as dosing epochs, with the customer's kinetics."""
-    log = v.obs_orders(spark, d).select("subject", "epoch", (F.col("n_orders") % 3 * 50.0).alias("dose"))
-    pk = models.kinetic_features(subjects(spark, d), DRUG).select(
-        "subject", "cl", "vol", "ke", "age", "bmi", "egfr", "n_conditions", "sex", "cyp2d6", "hla_b", "slco1b1", "smoking", "sbp", "alt"
-    )
-    return models.exposure_features(log.join(pk, "subject"), DRUG, TAU)
+@query(
+    "mod01_kinetic_features",
+    sql(
+        "cohort_cust obs_orders",
+        f""", {_DOSES}, g AS (SELECT subject, count(*) FILTER (dose > 0) AS n_dosed, coalesce(sum(dose), 0.0) AS total_dose,
+            min(epoch) FILTER (dose > 0) AS f, max(epoch) FILTER (dose > 0) AS l FROM doses GROUP BY subject)
+        SELECT subject, n_dosed, total_dose, coalesce(CAST(f AS INTEGER), -1) AS first_dosed, coalesce(CAST(l AS INTEGER), -1) AS last_dosed,
+               {r('coalesce((l - f)::DOUBLE / nullif(n_dosed - 1, 0), -1)')} AS mean_interval, {r('total_dose / weight')} AS dose_per_kg
+        FROM g JOIN cohort_cust USING (subject)""",
+    ),
+)
+def _(spark, d):
+    """Recorded dosing of each subject, also per kg of body weight; -1 stands for none."""
+    s = models.dosing_summary(doses(spark, d)).join(v.cohort_cust(spark, d).select("subject", "weight"), "subject")
+    s = s.select("subject", "n_dosed", "total_dose", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("first_dosed", "last_dosed", "mean_interval")], (F.col("total_dose") / F.col("weight")).alias("dose_per_kg"))
+    return rounded(s, ["mean_interval", "dose_per_kg"])
 
 
-def _level(t):
-    decay = lambda k: f"exp(-{k} * {t}) * (1 - exp(-{k} * epoch * 12.0::DOUBLE)) / (1 - exp(-{k} * 12.0::DOUBLE))"
-    return f"greatest(0.0::DOUBLE, 0.7::DOUBLE * dose * 1.1::DOUBLE / (vol * (1.1::DOUBLE - ke)) * ({decay('ke')} - {decay('1.1::DOUBLE')}))"
+def exposed(spark, d):
+    """Recorded exposure of each subject-epoch beside the subject's covariates."""
+    own = subjects(spark, d).select("subject", "weight", "age", "bmi", "egfr", "n_conditions", "sex", "cyp2d6", "hla_b", "slco1b1", "smoking", "sbp", "alt")
+    return models.exposure_features(doses(spark, d).join(own, "subject"))
 
 
-_EXPO = _PK + f""",
-x0 AS (SELECT o.subject, o.epoch, (o.n_orders % 3) * 50.0::DOUBLE AS dose, pk.* EXCLUDE (subject) FROM obs_orders o JOIN pk ON pk.subject = o.subject),
-x1 AS (SELECT *, dose > 0 AND epoch > 0 AS dosed, CASE WHEN dose > 0 AND epoch > 0 THEN ln(1.1::DOUBLE / ke) / (1.1::DOUBLE - ke) ELSE 0 END AS t_max,
-        CASE WHEN dose > 0 AND epoch > 0 THEN 0.7::DOUBLE * dose / cl ELSE 0 END AS auc FROM x0),
-expo AS (SELECT *, CASE WHEN dosed THEN {_level('0.0::DOUBLE')} ELSE 0 END AS c_trough, CASE WHEN dosed THEN {_level('t_max')} ELSE 0 END AS c_peak,
-        auc / 12 AS c_avg, auc / 12 / 0.9::DOUBLE AS exposure_ratio, sum(auc) OVER (PARTITION BY subject ORDER BY epoch) AS cumulative_auc FROM x1)"""
-_EXPO_COLS = ["t_max", "auc", "c_trough", "c_peak", "c_avg", "exposure_ratio", "cumulative_auc"]
+_EXPO = _LIST_SQL + f""",
+m AS (SELECT *, len(conditions) AS n_conditions FROM list), {_DOSES},
+x0 AS (SELECT o.subject, o.epoch, o.dose, o.x, m.* EXCLUDE (subject) FROM doses o JOIN m ON m.subject = o.subject),
+expo AS (SELECT *, dose / weight AS dose_per_kg, sum(dose) OVER w AS cumulative_dose, avg(dose) OVER w AS mean_dose, avg(dose / weight) OVER w AS exposure_ratio
+         FROM x0 WINDOW w AS (PARTITION BY subject ORDER BY epoch))"""
+_EXPO_COLS = ["dose_per_kg", "cumulative_dose", "mean_dose", "exposure_ratio"]
 
 
 @query("mod02_exposure_features", sql("cohort_cust obs_orders", f", {_EXPO} SELECT subject, epoch, " + ", ".join(f"{r(c)} AS {c}" for c in _EXPO_COLS) + " FROM expo"))
@@ -72,12 +69,16 @@ def _(spark, d):
 @query(
     "mod03_emax_effect",
     sql(
-        "cohort_cust obs_orders",
-        f", {_EXPO} SELECT subject, epoch, {r('CASE WHEN c_avg <= 0 THEN 0 ELSE 18 * pow(c_avg, 1.3::DOUBLE) / (pow(0.9::DOUBLE, 1.3::DOUBLE) + pow(c_avg, 1.3::DOUBLE)) END')} AS effect FROM expo",
+        "obs_orders",
+        f""", {_DOSES}, l AS (SELECT subject, dose, avg(x) AS m FROM doses GROUP BY ALL),
+        b AS (SELECT subject, arg_max(dose, m) FILTER (dose > 0) AS best_dose, max(m) FILTER (dose > 0) AS top, max(m) FILTER (dose = 0) AS none FROM l GROUP BY subject)
+        SELECT subject, best_dose, {r('top - none')} AS effect FROM b WHERE top IS NOT NULL AND none IS NOT NULL""",
     ),
 )
 def _(spark, d):
-    return exposed(spark, d).select("subject", "epoch", rnd(kin.emax_effect(F.col("c_avg"), DRUG)).alias("effect"))
+    """Largest measured effect over the dose levels of a subject, where it has dosed and undosed epochs."""
+    found = models.largest_effect(doses(spark, d), "x").where("effect IS NOT NULL")
+    return rounded(found, ["effect"])
 
 
 TERMS = [
@@ -117,14 +118,14 @@ _FEATURES_SQL = [
     "(n_conditions - 2) / 1.5::DOUBLE", "CASE WHEN sex = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE", "CASE WHEN cyp2d6 = 'PM' THEN 1.0 ELSE 0.0 END::DOUBLE",
     "CASE WHEN hla_b THEN 1.0 ELSE 0.0 END::DOUBLE", "epoch / 13.0::DOUBLE", "(sbp - 132) / 14", "(alt - 26) / 12", "CASE WHEN smoking = 'current' THEN 1.0 ELSE 0.0 END::DOUBLE",
 ]
-_FV = ", fv AS (SELECT subject, epoch, c_avg, " + ", ".join(f"{e} AS f{i}" for i, e in enumerate(_FEATURES_SQL)) + ", c_trough * 3 + age / 10 AS y FROM expo)"
+_FV = ", fv AS (SELECT subject, epoch, " + ", ".join(f"{e} AS f{i}" for i, e in enumerate(_FEATURES_SQL)) + ", dose_per_kg * 3 + age / 10 AS y FROM expo)"
 _F = [f"f{i}" for i in range(14)]
 
 
 def featured(spark, d):
     e = exposed(spark, d)
     vec = [c.alias(f"f{i}") for i, c in enumerate(models.feature_vector(13))]
-    return e.select("subject", "epoch", *vec, (F.col("c_trough") * 3 + F.col("age") / 10).alias("y"))
+    return e.select("subject", "epoch", *vec, (F.col("dose_per_kg") * 3 + F.col("age") / 10).alias("y"))
 
 
 @query("mod05_feature_vector", sql("cohort_cust obs_orders", f", {_EXPO}{_FV} SELECT subject, epoch, " + ", ".join(f"{r(f)} AS {f}" for f in _F) + " FROM fv"))
@@ -189,16 +190,16 @@ def _(spark, d):
     "mod09_composite_score",
     sql(
         "trial",
-        f"""SELECT subject, epoch, {r('-x_change / 20 - y_change / 12 - 0.4::DOUBLE * (x - 3) / 10 - 0.3::DOUBLE * greatest(0, 440 + y - 450) / 30 - 0.5::DOUBLE * greatest(0, y / greatest(1, y_base) - 1)')} AS score
-            FROM trial WHERE x_change IS NOT NULL""",
+        f"""SELECT subject, epoch, {r('-coalesce(x_change, 0) / 20 - coalesce(y_change, 0) / 12 - 0.5::DOUBLE * coalesce(greatest(0, y_ratio - 1), 0)')} AS score FROM trial""",
     ),
 )
 def _(spark, d):
+    """Weighted score of measured changes; a subject without a baseline has no change and keeps its rows."""
     from epochwise.plans.trial import trial_log
 
-    log = trial_log(spark, d).where("x_change is not null")
-    s = models.composite_score(F.col("x_change"), F.col("y_change"), F.col("x") - 3, 440 + F.col("y"), F.col("y"), F.col("y_base"))
-    return log.select("subject", "epoch", rnd(s).alias("score"))
+    harm = F.greatest(F.lit(0.0), F.col("y_ratio") - 1.0)
+    s = models.weighted_score([(F.col("x_change"), -1.0, 20.0), (F.col("y_change"), -1.0, 12.0), (F.when(F.col("y_ratio").isNotNull(), harm), -0.5, 1.0)])
+    return trial_log(spark, d).select("subject", "epoch", rnd(s).alias("score"))
 
 
 @query(
