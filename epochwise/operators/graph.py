@@ -67,8 +67,10 @@ def span_tree(spans: DataFrame) -> DataFrame:
     """Root, depth and path of every span; a span without a known parent is a root.
 
     Ancestor pointers double their reach each round, so a tree of depth d takes
-    about log2(d) joins.  Spans caught in a parent cycle have no root: they drop
-    out once their distance covers the whole trace.
+    about log2(d) joins; only spans whose root is not reached yet go into the next
+    round, the others stay where they were written.  Paths are arrays until the end,
+    so an id may hold any character.  Spans caught in a parent cycle have no root: they
+    drop out once their distance covers the whole trace.
     """
     s = spans.select("trace_id", "span_id", F.nullif("parent_id", F.lit("")).alias("parent_id"))
     known = s.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("_known"))
@@ -78,27 +80,29 @@ def span_tree(spans: DataFrame) -> DataFrame:
         "span_id",
         F.when(F.col("_known"), F.col("parent_id")).alias("up"),
         F.when(F.col("_known"), 1).otherwise(0).alias("depth"),
-        F.when(F.col("_known"), F.concat_ws("/", "parent_id", "span_id")).otherwise(F.col("span_id")).alias("path"),
+        F.when(F.col("_known"), F.array("parent_id", "span_id")).otherwise(F.array("span_id")).alias("path"),
     )
-    state = cut_lineage(state)
+    last = cut_lineage(state)
+    closed = last.where("up is null")
     sizes = s.groupBy("trace_id").agg(F.count("span_id").alias("n"))
     i = 0
     while True:
-        open_rows = state.where("up is not null")
+        open_rows = last.where("up is not null")
         if i >= 3:
             open_rows = open_rows.join(sizes, "trace_id").where(F.col("depth") < F.col("n")).drop("n")
         if open_rows.isEmpty():
             break
-        ends = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("path").alias("p2"))
-        own = F.expr("substring_index(path, '/', -depth)")
+        every = closed.unionByName(last.where("up is not null"))
+        ends = every.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("path").alias("p2"))
+        own = F.expr("slice(path, -depth, depth)")
         moved = open_rows.join(ends, ["trace_id", "up"]).select(
             "trace_id",
             "span_id",
             F.col("up2").alias("up"),
             (F.col("depth") + F.col("d2")).alias("depth"),
-            F.concat_ws("/", "p2", own).alias("path"),
+            F.concat("p2", own).alias("path"),
         )
-        state = cut_lineage(state.where("up is null").unionByName(moved))
+        last = cut_lineage(moved)
+        closed = closed.unionByName(last.where("up is null"))
         i += 1
-    done = state.where("up is null")
-    return done.select("trace_id", "span_id", F.split("path", "/")[0].alias("root"), "depth", "path")
+    return closed.select("trace_id", "span_id", F.element_at("path", 1).alias("root"), "depth", F.array_join("path", "/").alias("path"))

@@ -22,7 +22,6 @@ from epochwise.functions.hashing import stable_seed
 from epochwise.functions.numbers import ratio
 from epochwise.operators.joins import beside_control
 from epochwise.operators.longitudinal import meets_threshold
-from epochwise.operators.ranks import cut_into_pieces
 from epochwise.session import cut_lineage
 
 
@@ -79,12 +78,12 @@ def fisher_p(hits="hits", n="n", control_hits="control_hits", control_n="control
     return tails.fisher_two_sided(a, F.col(n) - a, c, F.col(control_n) - c)
 
 
-def mann_whitney(rows: DataFrame, control: str, by: list[str], value="value", arm="arm", per_piece: int = 1_000_000) -> DataFrame:
+def mann_whitney(rows: DataFrame, control: str, by: list[str], value="value", arm="arm") -> DataFrame:
     """U of each arm against control, with tie correction and normal p.
 
-    Equal values are collapsed first.  Distinct values are cut into ranges of
-    about ``per_piece``; ranks run inside a range, and each range adds the
-    control count of the ranges below it, so no task orders the whole sample.
+    Equal values are collapsed first.  Distinct values are dealt by ranges whose
+    bounds are sampled from their order; ranks run inside a range, and each range adds
+    the control count of the ranges below it, so no task orders the whole sample.
     """
     clean = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
     whole, by = by, by or ["_g"]
@@ -93,11 +92,8 @@ def mann_whitney(rows: DataFrame, control: str, by: list[str], value="value", ar
     is_control = F.col(arm) == control
     own = F.when(is_control, F.col("n")).otherwise(0)
     cells = clean.groupBy(*by, arm, value).agg(F.count(F.lit(1)).alias("n"))
-    size = clean.count()
-    if size > per_piece:
-        cells = cut_into_pieces(cut_lineage(cells), by, value, "piece", size, per_piece)
-    else:
-        cells = cells.withColumn("piece", F.lit(0))
+    # rows of one value share a range; the dealt cells are written, so ranges stay as they are
+    cells = cut_lineage(cells.repartitionByRange(*by, value).withColumn("piece", F.spark_partition_id()))
     # the arms that share a value sit side by side; one value has at most one row per arm
     cells = cells.withColumn("c", F.max(own).over(W.partitionBy(*by, "piece").orderBy(value).rangeBetween(0, 0)))
     upto = W.partitionBy(*by, "piece").orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow)

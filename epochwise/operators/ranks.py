@@ -51,33 +51,6 @@ def range_row_number(df: DataFrame, group: list[str], order: list[str], name="rn
     return block_row_number(ranged, group, order, F.col("_range"), name, total).drop("_range")
 
 
-def split_points(df: DataFrame, group: list[str], value: str, parts: int) -> DataFrame:
-    """Approximate quantiles per group: one mergeable summary row, any group size."""
-    probs = [i / parts for i in range(1, parts)]
-    points = F.percentile_approx(value, probs, 4 * parts) if probs else F.array().cast("array<double>")
-    return df.groupBy(*group).agg(points.alias("_points"))
-
-
-def piece_of(points: str, value: str) -> Column:
-    """Index of the piece a value falls into: the number of cut points below it."""
-    return F.size(F.filter(points, lambda p: p < F.col(value)))
-
-
-def cut_into_pieces(df: DataFrame, group: list[str], value: str, name: str, rows: int, per_piece: int = 200_000, fan: int = 256) -> DataFrame:
-    """Add an integer column that numbers value ranges in order, per group.
-
-    A range holds about ``per_piece`` of the ``rows`` rows.  Large inputs take
-    two levels of ``fan`` cuts, so cut lists stay short and a range stays within
-    one task's reach at any table size.
-    """
-    parts = max(1, min(fan, -(-rows // per_piece)))
-    out = df.join(small_side(split_points(df, group, value, parts)), group).withColumn(name, piece_of("_points", value)).drop("_points")
-    if rows > per_piece * fan:
-        fine = small_side(split_points(out, [*group, name], value, fan))
-        out = out.join(fine, [*group, name]).withColumn(name, F.col(name) * (fan + 1) + piece_of("_points", value)).drop("_points")
-    return out
-
-
 SMALL_SIDE_ROWS = 100_000
 
 

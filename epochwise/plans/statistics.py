@@ -133,7 +133,7 @@ def _(spark, d):
 
 @query("sta04_mann_whitney_ties", _mwu_sql("quantity"))
 def _(spark, d):
-    t = inference.mann_whitney(v.dose_lines(spark, d), "d00", [], "quantity", per_piece=10)
+    t = inference.mann_whitney(v.dose_lines(spark, d), "d00", [], "quantity")
     return rounded(t, ["z", "p_value"], 5)
 
 

@@ -49,19 +49,27 @@ def _(spark, d):
     return versions.latest(versions.read_data(spark, root), versions.read_log(spark, root)).select(*_KEEP)
 
 
+def stored(spark, d):
+    """The order batches as a Parquet dataset partitioned by version, and their log."""
+    root = scratch_path(spark, "batches")
+    v.order_batches(spark, d).repartition("_version").write.partitionBy("_version").parquet(f"{root}/data")
+    v.batch_log(spark, d).write.parquet(f"{root}/log")
+    return versions.read_data(spark, root), versions.read_log(spark, root)
+
+
 @query("src04_single_batch", sql("batches", f"SELECT {_COLS} FROM order_batches WHERE _version = 3"))
 def _(spark, d):
-    return versions.batch(v.order_batches(spark, d), 3).select(*_KEEP)
+    return versions.batch(stored(spark, d)[0], 3).select(*_KEEP)
 
 
 @query("src04_as_of", sql("batches", f"SELECT {_COLS} FROM order_batches WHERE _version BETWEEN 4 AND 6"))
 def _(spark, d):
-    return versions.as_of(v.order_batches(spark, d), v.batch_log(spark, d), 6).select(*_KEEP)
+    return versions.as_of(*stored(spark, d), 6).select(*_KEEP)
 
 
 @query("src04_as_of_before_overwrite", sql("batches", f"SELECT {_COLS} FROM order_batches WHERE _version <= 2"))
 def _(spark, d):
-    return versions.as_of(v.order_batches(spark, d), v.batch_log(spark, d), 2).select(*_KEEP)
+    return versions.as_of(*stored(spark, d), 2).select(*_KEEP)
 
 
 @query(
@@ -69,7 +77,7 @@ def _(spark, d):
     sql("batches", f"SELECT {_COLS} FROM order_batches WHERE _version >= (SELECT max(version) FROM batch_log WHERE mode = 'overwrite')"),
 )
 def _(spark, d):
-    return versions.latest(v.order_batches(spark, d), v.batch_log(spark, d)).select(*_KEEP)
+    return versions.latest(*stored(spark, d)).select(*_KEEP)
 
 
 @query("src06_run_scoped", sql("batches", f"SELECT {_COLS} FROM order_batches WHERE run_id = sha256('1997')[1:8]"))
@@ -77,7 +85,8 @@ def _(spark, d):
     import hashlib
 
     run = hashlib.sha256(b"1997").hexdigest()[:8]
-    return versions.of_run(v.order_batches(spark, d), run).select(*_KEEP)
+    data, log = stored(spark, d)
+    return versions.of_run(data, run, log).select(*_KEEP)
 
 
 @query(
@@ -125,7 +134,7 @@ def _(spark, d):
 
 @query("src11_newest_run", sql("batches", f"SELECT {_COLS} FROM order_batches WHERE run_id = (SELECT arg_max(run_id, written_at) FROM batch_log)"))
 def _(spark, d):
-    return versions.newest_run(v.order_batches(spark, d), v.batch_log(spark, d)).select(*_KEEP)
+    return versions.newest_run(*stored(spark, d)).select(*_KEEP)
 
 
 @query(

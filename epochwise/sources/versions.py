@@ -22,8 +22,14 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], LOG_SCHEMA)
 
 
-def read_data(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/data")
+def read_data(spark: SparkSession, root: str, schema: str = "") -> DataFrame:
+    """All batches; a table that was never written is empty, with the columns of ``schema`` (name type, ...) if given."""
+    try:
+        return spark.read.parquet(f"{root}/data")
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return spark.createDataFrame([], ", ".join(x for x in (schema, "run_id string, _version int") if x))
 
 
 def append_batch(rows: DataFrame, root: str, run_id: str, mode: str = "append", partition_by: tuple[str, ...] = (), written_at: str | None = None) -> int:
@@ -73,8 +79,16 @@ def latest(data: DataFrame, log: DataFrame) -> DataFrame:
     return data.where(F.col("_version") >= _last_overwrite(log))
 
 
-def of_run(data: DataFrame, run_id: str) -> DataFrame:
-    return data.where(F.col("run_id") == run_id)
+def _within(data: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows of the versions in ``log``: their list is a scalar subquery, which prunes partitions before files are listed for
+    reading.  A run's versions are as many as its writes."""
+    return data.where(F.array_contains(log.agg(F.collect_set("version")).scalar(), F.col("_version")))
+
+
+def of_run(data: DataFrame, run_id: str, log: DataFrame | None = None) -> DataFrame:
+    """Rows of one run; with the log only the partitions that it wrote are read."""
+    own = data.where(F.col("run_id") == run_id)
+    return own if log is None else _within(own, log.where(F.col("run_id") == run_id))
 
 
 def require_run(log: DataFrame, run_id: str) -> None:
@@ -104,6 +118,6 @@ def beyond_retention(log: DataFrame, keep: int) -> DataFrame:
 
 
 def newest_run(data: DataFrame, log: DataFrame) -> DataFrame:
-    """Rows of the run that wrote data last."""
+    """Rows of the run that wrote data last, from its own partitions."""
     run = log.where("rows > 0").agg(F.max_by("run_id", "written_at")).scalar()
-    return data.where(F.col("run_id") == run)
+    return _within(data.where(F.col("run_id") == run), log.where(F.col("run_id") == run))

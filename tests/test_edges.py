@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import shutil
 
 import pytest
 from pyspark.sql import Row
@@ -314,6 +315,40 @@ def test_digest_of_distant_keys_is_one_row(spark):
     assert digest([1, 2]) == [hashlib.sha256(b"1|2").hexdigest()[:16]]
 
 
+def test_span_ids_of_any_characters(spark):
+    s = spark.createDataFrame([("t", "a/b", None), ("t", "c", "a/b"), ("t", "d/e", "c"), ("t", "/", "d/e"), ("t", "x|y", "nobody")], "trace_id string, span_id string, parent_id string")
+    got = {r.span_id: (r.root, r.depth, r.path) for r in graph.span_tree(s).collect()}
+    assert got == {"a/b": ("a/b", 0, "a/b"), "c": ("a/b", 1, "a/b/c"), "d/e": ("a/b", 2, "a/b/c/d/e"), "/": ("a/b", 3, "a/b/c/d/e//"), "x|y": ("x|y", 0, "x|y")}
+
+
+def test_reads_open_only_the_partitions_asked_for(spark, tmp_path):
+    """Files of all other versions are replaced by rubbish that no reader could open."""
+    root = f"{tmp_path}/table"
+    rows = spark.range(60).selectExpr("id", "cast(id % 6 + 1 AS int) AS _version", "concat('r', id % 3) AS run_id")
+    rows.repartition("_version").write.partitionBy("_version").parquet(f"file://{root}/data")
+    log = [(n, f"2024-01-0{n}", f"r{(n - 1) % 3}", "overwrite" if n == 4 else "append", 10) for n in range(1, 7)]
+    spark.createDataFrame(log, versions.LOG_SCHEMA).write.parquet(f"file://{root}/log")
+    reads = {
+        "batch": ([3], lambda d, g: versions.batch(d, 3)),
+        "as_of": ([4, 5], lambda d, g: versions.as_of(d, g, 5)),
+        "latest": ([4, 5, 6], lambda d, g: versions.latest(d, g)),
+        "of_run": ([2, 5], lambda d, g: versions.of_run(d, "r1", g)),
+        "newest_run": ([3, 6], lambda d, g: versions.newest_run(d, g)),
+    }
+    for name, (kept, read) in reads.items():
+        copy = tmp_path / name
+        shutil.copytree(root, copy)
+        for n in set(range(1, 7)) - set(kept):
+            for f in (copy / f"data/_version={n}").glob("*.parquet"):
+                f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+                f.write_bytes(b"not a parquet file at all")
+        data, g = spark.read.schema("id bigint, run_id string, _version int").parquet(f"file://{copy}/data"), versions.read_log(spark, f"file://{copy}")
+        assert sorted({r._version for r in read(data, g).collect()}) == kept, name
+        assert read(data, g).count() == 10 * len(kept), name
+    assert versions.read_data(spark, f"file://{tmp_path}/none", "id bigint").columns == ["id", "run_id", "_version"]
+    assert versions.latest(versions.read_data(spark, f"file://{tmp_path}/none"), versions.read_log(spark, f"file://{tmp_path}/none")).count() == 0
+
+
 def test_span_tree(spark):
     s = spark.createDataFrame(
         [("t", "a", ""), ("t", "b", "a"), ("t", "c", "b"), ("t", "d", "gone"), ("t", "p", "q"), ("t", "q", "p"), ("u", "a", None)], "trace_id string, span_id string, parent_id string"

@@ -79,12 +79,15 @@ def test_welch_edges(spark):
     assert row.t is None and row.p_value is None
 
 
-@pytest.mark.parametrize("per_piece", [1_000_000, 7])
-def test_mann_whitney_against_pairs(spark, per_piece):
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_mann_whitney_against_pairs(spark, coalesced):
+    """All values in one range, and in as many as there are shuffle partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
     rng = random.Random(3)
     data = [("g1", a, float(rng.randrange(12))) for a in ("c", "t", "u") for _ in range(40)] + [("g2", a, rng.random()) for a in ("c", "t") for _ in range(30)]
     df = spark.createDataFrame(data, "g string, arm string, value double")
-    got = {(r.g, r.arm): r for r in inference.mann_whitney(df, "c", ["g"], per_piece=per_piece).collect()}
+    got = {(r.g, r.arm): r for r in inference.mann_whitney(df, "c", ["g"]).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert set(got) == {("g1", "t"), ("g1", "u"), ("g2", "t")}
     for (g, arm), row in got.items():
         a = [x for gg, aa, x in data if gg == g and aa == arm]
