@@ -96,9 +96,12 @@ TRAILING_COMMA = r",\s*([}\]])"
 SINGLE_QUOTED_KEY = r"'([^'\\]*)'\s*:"
 
 
-@F.pandas_udf(StringType())
-def literal_to_json(texts: pd.Series) -> pd.Series:
-    """JSON text of a Python dict or list literal; null for all else."""
+_LITERALS = StructType([StructField(f"l{i}", StringType()) for i in range(3)])
+
+
+@F.pandas_udf(_LITERALS)
+def literals_to_json(first: pd.Series, second: pd.Series, third: pd.Series) -> pd.DataFrame:
+    """JSON text of the first of three candidates that is a Python dict or list literal, under its number; the rest is null."""
 
     def one(value):
         if value is None:
@@ -109,7 +112,14 @@ def literal_to_json(texts: pd.Series) -> pd.Series:
             return None
         return json.dumps(parsed, default=str) if isinstance(parsed, (dict, list)) else None
 
-    return texts.map(one)
+    out = {f"l{i}": [None] * len(first) for i in range(3)}
+    for at, row in enumerate(zip(first, second, third, strict=True)):
+        for i, value in enumerate(row):
+            found = one(value)
+            if found is not None:
+                out[f"l{i}"][at] = found
+                break
+    return pd.DataFrame(out, dtype=object)
 
 
 def repair(value: Column) -> Column:
@@ -134,21 +144,34 @@ def read_answers(answers: DataFrame, column="text") -> DataFrame:
     """Add ``payload`` (JSON text), ``repaired`` and ``error`` to each answer.
 
     The stages are tried in order: whole text, first object, first array; each
-    as it is, then repaired, then as a Python literal.  Only texts that no JVM
-    stage can read reach the Arrow function.
+    as it is, then repaired, then as a Python literal.  Each step is computed once,
+    for the texts that no step before it could read; one Arrow call takes what is left.
     """
     t = F.col(column)
+    keep = list(answers.columns)
+
+    def step(df, **made):
+        df = _settled(df, keep, [c.alias(n) for n, c in made.items()])
+        keep.extend(made)
+        return df
+
     fenced = F.regexp_extract(t, FENCE, 1)
-    a = answers.withColumn("_c0", F.trim(F.when(t.rlike(FENCE), fenced).otherwise(t), F.lit(" \n\t\r")))
-    a = a.withColumns({"_c1": F.regexp_extract("_c0", FIRST_OBJECT, 1), "_c2": F.regexp_extract("_c0", FIRST_ARRAY, 1)})
-    a = a.withColumns({f"_s{i}": _readable(F.col(f"_c{i}")) for i in range(3)})
-    a = a.withColumns({f"_r{i}": _readable(repair(F.col(f"_c{i}")), F.col(f"_s{i}").isNull()) for i in range(3)})
+    a = step(answers, _c0=F.trim(F.when(t.rlike(FENCE), fenced).otherwise(t), F.lit(" \n\t\r")))
+    a = step(a, _s0=_readable(F.col("_c0")))
+    a = step(a, _r0=_readable(repair(F.col("_c0")), F.col("_s0").isNull()))
+    unread = F.col("_s0").isNull() & F.col("_r0").isNull()
+    a = step(a, _c1=F.when(unread, F.regexp_extract("_c0", FIRST_OBJECT, 1)), _c2=F.when(unread, F.regexp_extract("_c0", FIRST_ARRAY, 1)))
+    a = step(a, _s1=_readable(F.col("_c1")), _s2=_readable(F.col("_c2")))
+    a = step(a, **{f"_r{i}": _readable(repair(F.col(f"_c{i}")), F.col(f"_s{i}").isNull()) for i in (1, 2)})
 
     def leftover(i):
-        unread = F.col(f"_s{i}").isNull() & F.col(f"_r{i}").isNull() & F.col(f"_c{i}").rlike(r"^[\{\[]")
-        return F.when(unread, F.col(f"_c{i}"))
+        nothing = F.col(f"_s{i}").isNull() & F.col(f"_r{i}").isNull()
+        if i == 2:  # what the first object gave comes before the first array
+            nothing = nothing & F.col("_s1").isNull() & F.col("_r1").isNull()
+        return F.when(nothing & F.col(f"_c{i}").rlike(r"^[\{\[]"), F.col(f"_c{i}"))
 
-    a = a.withColumns({f"_l{i}": literal_to_json(leftover(i)) for i in range(3)})
+    a = a.withColumn("_l", literals_to_json(*[leftover(i) for i in range(3)])).select("*", "_l.*")
+    a = a.withColumnsRenamed({f"l{i}": f"_l{i}" for i in range(3)})
     empty = F.coalesce(F.trim(t, F.lit(" \n\t\r")) == "", F.lit(True))
     advice = F.coalesce(tx.gives_advice(t), F.lit(False))
     found = F.coalesce(*[F.col(f"_{k}{i}") for i in range(3) for k in "srl"])

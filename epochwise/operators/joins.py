@@ -117,6 +117,8 @@ def hot_split_join(left: DataFrame, right: DataFrame, key: str, how: str = "left
     fewer than 1000 hot keys, and their right-side rows may be broadcast.  Hot
     left rows then stay where they are; the others take the ordinary join.
     """
+    if how not in ("left", "inner"):
+        raise ValueError(f"cannot split a {how} join: rows of the right side would repeat")
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = left.agg(F.count(F.lit(1))).scalar()
     hot = cut_lineage(counts.where(F.col("_n") * HOT_SHARE > total).select(key))

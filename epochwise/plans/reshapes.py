@@ -342,6 +342,11 @@ _SHAPES = """
 _ADVICE = " OR ".join(f"contains(lower(text), '{p}')" for p in text.ADVICE_PHRASES)
 
 
+def spread_answers(spark, d):
+    """Parsing takes far longer than reading, so a few file splits would leave most cores idle: texts are dealt to all of them."""
+    return v.answers(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "answer_id")
+
+
 @query(
     "txt01_symptom_rows",
     sql(
@@ -354,7 +359,7 @@ _ADVICE = " OR ".join(f"contains(lower(text), '{p}')" for p in text.ADVICE_PHRAS
     ),
 )
 def _(spark, d):
-    return events.symptom_rows(v.answers(spark, d), "answer_id")
+    return events.symptom_rows(spread_answers(spark, d), "answer_id")
 
 
 @query(
@@ -369,7 +374,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return events.answer_status(v.answers(spark, d), "answer_id")
+    return events.answer_status(spread_answers(spark, d), "answer_id")
 
 
 _GRADE_TEXT = """CASE k % 9 WHEN 0 THEN ' Severe ' WHEN 1 THEN 'life threatening' WHEN 2 THEN 'grade ' || (k % 7) WHEN 3 THEN CAST(k / 10.0::DOUBLE AS VARCHAR) WHEN 4 THEN 'true'

@@ -132,7 +132,7 @@ ae_events AS (
 def obs_events(spark: SparkSession, d: str) -> DataFrame:
     """subject x day log with doses, grades, narration fields and withdrawals."""
     e = _events(spark, d)
-    ae = F.when(F.col("k") % 4 == 0, 1 + F.col("k") % 5)
+    ae = 1 + F.col("k") % 5
     view = F.col("event_type") == "view"
     g = e.groupBy("subject", "arm", "epoch").agg(
         F.avg(F.sqrt("value")).alias("x"),
@@ -179,8 +179,8 @@ OBS_EVENTS = """
 obs_events AS (
   WITH g AS (
     SELECT subject, arm, epoch, avg(sqrt(value)) AS x, max(value) AS y, count(*) AS n_rows,
-           CAST(coalesce(max(CASE WHEN k % 4 = 0 THEN 1 + k % 5 END), 0) AS INTEGER) AS worst_grade,
-           count(*) FILTER (k % 4 = 0) AS n_ae, bool_or(event_type = 'view') AS narrated,
+           CAST(coalesce(max(1 + k % 5), 0) AS INTEGER) AS worst_grade,
+           count(k) AS n_ae, bool_or(event_type = 'view') AS narrated,
            coalesce(max(k) FILTER (event_type = 'purchase'), 0) AS pk,
            CAST(coalesce(sum(k) FILTER (event_type = 'view'), 0) AS BIGINT) AS tokens_in,
            CAST(coalesce(sum(k % 7) FILTER (event_type = 'view'), 0) AS BIGINT) AS tokens_out,

@@ -62,6 +62,9 @@ def test_buckets_of_cohorts_with_a_common_prefix(spark):
 def test_hot_split_join_equals_the_join(spark):
     left = skewed(spark)
     right = spark.range(45).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("w"))
+    for how in ("right", "full_outer"):
+        with pytest.raises(ValueError):
+            joins.hot_split_join(left, right, "k", how)
     for how in ("left", "inner"):
         a, b = joins.hot_split_join(left, right, "k", how), left.join(right, "k", how)
         assert compare.symmetric_difference(a.select("k", "v", "w"), b.select("k", "v", "w")).count() == 0
