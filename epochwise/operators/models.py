@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -147,21 +149,59 @@ def gram_sums(rows: DataFrame, features: list[str], target: str) -> DataFrame:
     return rows.select(*columns).dropna().mapInPandas(partial, schema).groupBy("i", "j").agg(F.sum("s").alias("s"))
 
 
-def ridge_fit(rows: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> list[float]:
-    """Ridge coefficients; the first feature is the bias and is not penalised.
+#: Groups in which the triangles of tasks are merged before the last merge.
+TRIANGLE_GROUPS = 256
+
 
-    Only the aggregated k x k system reaches the driver.
+def triangle(rows: DataFrame, features: list[str], target: str) -> DataFrame:
+    """One row (r, used, dropped): the triangular factor of the table [features, target], row by row, and row counts.
+
+    Tall-skinny QR: a task folds each Arrow batch into its own triangle, triangles are merged in TRIANGLE_GROUPS groups and
+    then in one, so no task holds more than tasks / TRIANGLE_GROUPS small matrices and products, which square the
+    condition number, are never formed.  Rows with a null, NaN or infinite value are left out and counted.
     """
-    k = len(features)
-    m = np.zeros((k + 1, k + 1))
-    for row in gram_sums(rows, features, target).collect():
-        m[row["i"], row["j"]] = m[row["j"], row["i"]] = row["s"]
-    g, rhs = m[:k, :k].copy(), m[:k, k]
-    g[np.arange(1, k), np.arange(1, k)] += alpha
-    try:
-        return [float(x) for x in np.linalg.solve(g, rhs)]
-    except np.linalg.LinAlgError:
-        return [float(x) for x in np.linalg.lstsq(g, rhs, rcond=None)[0]]
+    names = [*features, target]
+    k = len(names)
+
+    def fold(parts: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((k, k))
+        r = np.linalg.qr(np.concatenate(parts), mode="r")
+        out[: len(r)] = r
+        return out
+
+    def table(group, r, used, dropped):
+        return pa.table({"group": pa.array([group], pa.int32()), "r": pa.array([r.ravel().tolist()], pa.list_(pa.float64())), "used": [int(used)], "dropped": [int(dropped)]})
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, used, dropped = np.zeros((k, k)), 0, 0
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            good = np.isfinite(x).all(axis=1)
+            used, dropped = used + int(good.sum()), dropped + int((~good).sum())
+            r = fold([r, x[good]])
+        yield from table(TaskContext.get().partitionId() % TRIANGLE_GROUPS, r, used, dropped).to_batches()
+
+    def merge(t: pa.Table) -> pa.Table:
+        parts = [np.reshape(r, (k, k)) for r in t.column("r").to_pylist()]
+        return table(0, fold(parts), sum(t.column("used").to_pylist()), sum(t.column("dropped").to_pylist()))
+
+    schema = "group int, r array<double>, used long, dropped long"
+    out = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(partial, schema)
+    return out.groupBy("group").applyInArrow(merge, schema).groupBy("group").applyInArrow(merge, schema).drop("group")
+
+
+def ridge_solution(r: list[float] | np.ndarray, k: int, alpha: float = 1.0) -> list[float]:
+    """Coefficients of ``k`` features from the triangle of [features, target]; the first one, the bias, is not penalised."""
+    r = np.reshape(r, (k + 1, k + 1))
+    penalty = np.sqrt(alpha) * np.eye(k)[1:]
+    stacked = np.concatenate([r[:, :k], penalty])
+    return [float(x) for x in np.linalg.lstsq(stacked, np.concatenate([r[:, k], np.zeros(k - 1)]), rcond=None)[0]]
+
+
+def ridge_fit(rows: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> list[float]:
+    """Ridge coefficients; only the merged triangle reaches the driver.  An empty table gives zeros."""
+    found = triangle(rows, features, target).first()
+    return ridge_solution(found["r"], len(features), alpha) if found else [0.0] * len(features)
 
 
 def split_holdout(rows: DataFrame, seed: str, key: list[str], fraction: float = 0.2) -> DataFrame:

@@ -195,6 +195,23 @@ def test_ridge_matches_numpy(spark):
     assert models.ridge_fit(df, ["f0", "f1", "f2", "f3"], "y", 1.0) == pytest.approx(list(want))
 
 
+def test_ridge_of_nearly_collinear_columns(spark):
+    """Columns that differ by 1e-7: products would lose all digits, the triangle does not; bad rows are counted."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=400)
+    x = np.column_stack([np.ones(400), a, a + 1e-7 * rng.normal(size=400)])
+    y = x @ [1.0, 2.0, 3.0]
+    rows = [tuple(map(float, [*p, q])) for p, q in zip(x, y)] + [(1.0, None, 2.0, 3.0), (1.0, 2.0, float("nan"), 3.0), (1.0, 2.0, 3.0, float("inf"))]
+    df = spark.createDataFrame(rows, "f0 double, f1 double, f2 double, y double").repartition(5)
+    found = models.triangle(df, ["f0", "f1", "f2"], "y").first()
+    assert (found.used, found.dropped) == (400, 3)
+    assert models.ridge_solution(found.r, 3, 0.0) == pytest.approx([1.0, 2.0, 3.0], abs=1e-5)
+    names = ["f0", "f1", "f2"]
+    assert models.ridge_fit(df.limit(0), names, "y") == pytest.approx([0.0] * 3)
+    one = spark.createDataFrame([(1.0, 0.0, 0.0, 7.0)], "f0 double, f1 double, f2 double, y double")
+    assert models.ridge_fit(one, names, "y") == pytest.approx([7.0, 0.0, 0.0])
+
+
 def test_calibration_band(spark):
     risks = spark.createDataFrame([("a", s, "t", 0.5) for s in (1, 2) for _ in range(2)], "arm string, subject int, term string, p double")
     events = spark.createDataFrame([("a", 1, "t")], "arm string, subject int, term string")
