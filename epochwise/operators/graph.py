@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochwise.operators.ranks import SMALL_SIDE_ROWS, small_side
 from epochwise.session import cut_lineage
 
 
@@ -21,24 +22,43 @@ def edge_table(edges: DataFrame, run_id: str, created_at: str, details: Column |
     )
 
 
+#: Neighbours that one row of the packed adjacency holds.
+WIDE = 4096
+
+
+def _packed(edges: DataFrame, near: str, far: str) -> DataFrame:
+    """(near, nodes): the neighbours of each node in arrays of about WIDE; a hub has several rows."""
+    links = edges.select(F.col(near).alias("near"), F.col(far).alias("node")).where("near is not null and node is not null").distinct()
+    links = cut_lineage(links)
+    hubs = links.groupBy("near").agg(F.count("*").alias("n")).where(F.col("n") > WIDE).select(F.col("near").alias("hub"), F.ceil(F.col("n") / WIDE).alias("pieces"))
+    cut = links.join(small_side(hubs), F.col("near") == F.col("hub"), "left")
+    piece = F.pmod(F.xxhash64("node"), F.coalesce("pieces", F.lit(1)))
+    return cut.groupBy("near", piece.alias("piece")).agg(F.collect_list("node").alias("nodes")).select("near", "nodes")
+
+
 def _reach(edges: DataFrame, start: str, near: str, far: str, union_every: int = 16) -> DataFrame:
-    links = edges.select(F.col(near).alias("near"), F.col(far).alias("node"))
-    front = cut_lineage(links.where(F.col("near") == start).select("node").distinct())
-    seen, rounds = front, 0
-    while not front.isEmpty():
-        step = links.join(front.withColumnRenamed("node", "near"), "near").select("node").distinct()
-        front = cut_lineage(step.join(seen, "node", "left_anti"))
-        seen, rounds = seen.unionByName(front), rounds + 1
+    links = cut_lineage(_packed(edges, near, far))
+    front, seen, rounds = None, None, 0
+    while True:
+        at = links.where(F.col("near") == start) if front is None else links.join(front, "near", "left_semi")
+        step = at.select(F.explode("nodes").alias("node")).distinct()
+        found = cut_lineage(step if seen is None else step.join(seen, "node", "left_anti"))
+        few = found.limit(SMALL_SIDE_ROWS + 1).count()
+        seen, rounds = found if seen is None else seen.unionByName(found), rounds + 1
+        if not few:
+            return seen
+        # a small front goes to the packed rows where they lie; a large one is joined by shuffling
+        names = found.select(F.col("node").alias("near"))
+        front = F.broadcast(names) if few <= SMALL_SIDE_ROWS else names
         if rounds % union_every == 0:
             seen = cut_lineage(seen)
-    return seen
 
 
 def upstream(edges: DataFrame, node: str) -> DataFrame:
     """All ancestors of ``node``; cycles end when a round finds nothing new.
 
-    Each round joins the edges with the nodes found last, drops known nodes and
-    checkpoints the rest, so plans stay short and lost executors cost one round.
+    The edges are read once and packed by node.  Each round looks up the nodes found last, drops known nodes and
+    checkpoints the rest, so plans stay short and lost executors cost one round.  Edges with a null end are left out.
     """
     return _reach(edges, node, "target", "source")
 

@@ -4,6 +4,7 @@ import hashlib
 import json
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -435,6 +436,45 @@ def test_grouped_map_failures(spark):
     assert grouped.grouped_map(df.where("k > 5"), "k", f, schema).count() == 0
 
 
+def test_combined_map_isolates_rows_of_a_hot_key(spark):
+    from pyspark.sql.types import LongType, StructType
+
+    schema = StructType().add("k", LongType()).add("n", LongType()).add("top", LongType())
+
+    def f(pdf):
+        if (pdf["v"] % 1000 == 7).any():
+            raise ValueError("bad row")
+        k = pdf["k"].iloc[0]
+        return pd.DataFrame([{"k": None if pd.isna(k) else int(k), "n": len(pdf), "top": int(pdf["v"].max())}]).astype({"k": "Int64"})
+
+    key = F.when(F.col("id") % 10 == 0, None).when(F.col("id") == 1007, 9).otherwise(F.when(F.col("id") % 3 < 2, 0).otherwise(1))
+    df = spark.range(6000).select(key.cast("long").alias("k"), F.col("id").alias("v")).repartition(5)
+    out = grouped.combined_map(df, "k", f, schema, {"n": F.sum, "top": F.max})
+    got = {r.k: (r.n, r.top, r.failed_rows, r.failure) for r in out.collect()}
+    want = {}
+    for r in df.collect():
+        n, top, bad, _ = want.get(r.k, (None, None, 0, ""))
+        want[r.k] = (n, top, bad + 1, "ValueError: bad row") if r.v % 1000 == 7 else ((n or 0) + 1, max(top or 0, r.v), bad, "ValueError: bad row" if bad else "")
+    assert got == want and got[9] == (None, None, 1, "ValueError: bad row")
+    assert grouped.combined_map(df.limit(0), "k", f, schema, {"n": F.sum, "top": F.max}).count() == 0
+    with pytest.raises(ValueError):
+        grouped.combined_map(df, "k", f, schema, {"n": F.sum})
+
+
+def test_closure_with_a_hub(spark, monkeypatch):
+    """A node with a third of all edges, cut into several rows, in a cycle; null ends are left out."""
+    monkeypatch.setattr(graph, "WIDE", 50)
+    hub = [("hub", f"n{i}") for i in range(1000)]
+    rest = [(f"n{i}", f"m{i % 7}") for i in range(0, 1000, 2)] + [(f"m{i}", "hub") for i in range(3)] + [("far", "hub"), ("hub", None), (None, "hub"), ("hub", "n1")]
+    e = spark.createDataFrame(hub + rest, "source string, target string")
+    assert graph._packed(e, "source", "target").where("near = 'hub'").count() > 10
+    down = {r.node for r in graph.downstream(e, "far").collect()}
+    assert down == {"hub"} | {f"n{i}" for i in range(1000)} | {f"m{i}" for i in range(7)}
+    up = {r.node for r in graph.upstream(e, "m4").collect()}
+    assert up == {"far", "hub", "m0", "m1", "m2"} | {f"n{i}" for i in range(1000) if i % 2 == 0 and i % 7 in (0, 1, 2, 4)} | {f"n{i}" for i in range(1000) if i % 2 == 0 and i % 7 == 4}
+    assert graph.downstream(e, "nobody").count() == 0
+
+
 def test_batch_map_keeps_the_rest_of_a_failing_batch(spark):
     def fn(pdf):
         if (pdf.v == 500).any():
