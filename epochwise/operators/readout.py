@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from epochwise.functions import intervals
 from epochwise.functions.hashing import stable_hash, stable_seed
 from epochwise.functions.numbers import ratio, rnd
+from epochwise.operators.ranks import range_row_number
 from epochwise.operators.safety import arm_sizes
 
 
@@ -174,21 +175,29 @@ def distribution(rows: DataFrame, key: str) -> DataFrame:
     return g.withColumn("share", ratio(F.col("n"), F.sum("n").over(W.partitionBy(F.lit(1)))))
 
 
-def cohort_digest(rows: DataFrame, text: Column, order: str, bits: int = 10) -> DataFrame:
-    """Order-sensitive digest of a whole table, as a tree of block digests.
+#: Levels of the digest tree; with 1024 children a node they hold 1e15 rows.
+DIGEST_LEVELS = 5
 
-    Leaves cover 2**``bits`` consecutive integer keys; each level hashes up to
-    as many digests of the level below, so no task joins more texts.  There are
-    as many levels as 64-bit keys need, so any keys end in one digest.  A table
-    that fits one leaf gives the plain digest of its joined texts.
+
+def cohort_digest(rows: DataFrame, text: Column, *order: str, bits: int = 10) -> DataFrame:
+    """Order-sensitive digest of a whole table, as a tree of digests over rank positions.
+
+    Leaves cover 2**``bits`` consecutive ranks in the order of ``order`` (any orderable types, nulls first, ties by text);
+    each level hashes up to as many digests of the level below, so no task joins more texts.  The shape depends on the
+    number of rows only: the same texts in the same order give the same digest whatever the keys' values.  A table that
+    fits one leaf gives the plain digest of its joined texts; a null text counts as empty.  No rows give no row.
     """
-    levels = -(-64 // bits)
-    key = F.col(order).cast("bigint")
-    level = rows.select(F.shiftright(key, bits).alias("b"), key.alias("o"), text.alias("t"))
-    for i in range(levels):
+    keys = [f"k{i}" for i in range(len(order))]
+    named = rows.select(*[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], F.coalesce(text, F.lit("")).alias("t"))
+    ranked = range_row_number(named, [], [*keys, "t"], "rn")
+    level = ranked.select((F.col("rn") - 1).alias("o"), "t")
+    for i in range(DIGEST_LEVELS):
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), "|")
-        level = level.groupBy("b").agg(F.when(F.count(F.lit(1)) == 1, F.max("t")).otherwise(F.sha2(joined, 256)).alias("t") if i else F.sha2(joined, 256).alias("t"))
-        level = level.select(F.shiftright("b", bits).alias("b") if i < levels - 2 else F.lit(0).alias("b"), F.col("b").alias("o"), "t")
+        whole = F.sha2(joined, 256)
+        level = level.groupBy((F.shiftright("o", bits) if i < DIGEST_LEVELS - 1 else F.lit(0)).alias("b")).agg(
+            (F.when(F.count(F.lit(1)) == 1, F.max("t")).otherwise(whole) if i else whole).alias("t")
+        )
+        level = level.select(F.col("b").alias("o"), "t")
     return level.select(F.substring("t", 1, 16).alias("digest"))
 
 

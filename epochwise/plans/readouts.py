@@ -251,21 +251,27 @@ def _(spark, d):
     return rounded(readout.distribution(v.cohort_cust(spark, d), "ancestry"), ["share"])
 
 
-@query(
-    "agg13_cohort_digest",
-    sql(
-        "cohort_cust",
-        """, l AS (SELECT subject // 1024 AS b, sha256(string_agg(subject || ':' || CAST(age AS INTEGER) || ':' || sex || ':' || CAST(sbp AS INTEGER), '|' ORDER BY subject)) AS t
-                FROM cohort_cust GROUP BY 1)
-           SELECT CASE WHEN count(*) = 1 THEN any_value(t) ELSE sha256(string_agg(t, '|' ORDER BY b)) END[1:16] AS digest FROM l""",
-    ),
-)
+def _digest_sql(source: str, text: str, order: str) -> str:
+    """Tree of two levels, enough for 1024 * 1024 rows."""
+    return f""", k AS (SELECT {text} AS t, row_number() OVER (ORDER BY {order}) - 1 AS o FROM {source}),
+        l AS (SELECT o // 1024 AS b, sha256(string_agg(t, '|' ORDER BY o)) AS t FROM k GROUP BY 1),
+        l2 AS (SELECT b // 1024 AS b, CASE WHEN count(*) = 1 THEN any_value(t) ELSE sha256(string_agg(t, '|' ORDER BY b)) END AS t FROM l GROUP BY 1)
+        SELECT CASE WHEN count(*) = 1 THEN any_value(t) ELSE sha256(string_agg(t, '|' ORDER BY b)) END[1:16] AS digest FROM l2"""
+
+
+@query("agg13_cohort_digest", sql("cohort_cust", _digest_sql("cohort_cust", "subject || ':' || CAST(age AS INTEGER) || ':' || sex || ':' || CAST(sbp AS INTEGER)", "subject")))
 def _(spark, d):
     parts = [F.col("subject"), F.col("age").cast("int"), F.col("sex"), F.col("sbp").cast("int")]
     text = F.concat_ws(":", *[p.cast("string") for p in parts])
     return readout.cohort_digest(v.cohort_cust(spark, d), text, "subject")
 
 
+@query("agg13_text_key_digest", sql("edges_dim", _digest_sql("edges_dim", "source || '>' || target || ':' || relation", "source, target, relation")))
+def _(spark, d):
+    text = F.concat(F.col("source"), F.lit(">"), F.col("target"), F.lit(":"), F.col("relation"))
+    return readout.cohort_digest(v.edges_dim(spark, d), text, "source", "target", "relation")
+
+
 def _traj_sql(m, sd):
     half = f"1.96 * coalesce(stddev_samp({m}), 0.0) / sqrt(greatest(1, count({m})))"
     return (

@@ -316,6 +316,28 @@ def test_digest_of_distant_keys_is_one_row(spark):
     assert digest([1, 2]) == [hashlib.sha256(b"1|2").hexdigest()[:16]]
 
 
+def test_digest_depends_on_ranks_only(spark):
+    """Text keys with a common prefix, repeated rows, several levels: as a plain tree; other key values give the same digest."""
+
+    def tree(texts, width):
+        level = [hashlib.sha256("|".join(texts[i : i + width]).encode()).hexdigest() for i in range(0, len(texts), width)]
+        while len(level) > 1:
+            groups = [level[i : i + width] for i in range(0, len(level), width)]
+            level = [g[0] if len(g) == 1 else hashlib.sha256("|".join(g).encode()).hexdigest() for g in groups]
+        return [level[0][:16]]
+
+    texts = [f"t{i % 90:02d}" for i in range(203)]
+    near = [(f"S-{i:05d}", t) for i, t in enumerate(texts)]
+    far = [(f"S-{i * 397:09d}x", t) for i, t in enumerate(texts)]
+    for rows in (near, far, [(i - 100) ** 3 for i in range(203)]):
+        rows = rows if isinstance(rows[0], tuple) else list(zip(rows, texts, strict=True))
+        df = spark.createDataFrame(rows[::-1], ["k", "t"]).repartition(7)
+        assert [r.digest for r in readout.cohort_digest(df, F.col("t"), "k", bits=2).collect()] == tree(texts, 4)
+    ties = spark.createDataFrame([(None, "b"), (None, "a"), (1, "c"), (1, "c"), (2, None)], "k int, t string")
+    assert readout.cohort_digest(ties, F.col("t"), "k").first().digest == hashlib.sha256(b"a|b|c|c|").hexdigest()[:16]
+    assert readout.cohort_digest(ties.limit(0), F.col("t"), "k").count() == 0
+
+
 def test_span_ids_of_any_characters(spark):
     s = spark.createDataFrame([("t", "a/b", None), ("t", "c", "a/b"), ("t", "d/e", "c"), ("t", "/", "d/e"), ("t", "x|y", "nobody")], "trace_id string, span_id string, parent_id string")
     got = {r.span_id: (r.root, r.depth, r.path) for r in graph.span_tree(s).collect()}
