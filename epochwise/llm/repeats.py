@@ -34,7 +34,7 @@ from epochwise.session import cut_lineage
 BASE = 0x9E3779B97F4A7C15
 NULL_ID = -(1 << 63)
 #: Tokens that are hashed at a time; a longer document is hashed alone.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Phrases under one trigger, summed over chunks, above which its windows travel one by one.
 HOT = 4096
 #: Bytes of dictionary that are judged at a time.
