@@ -89,6 +89,26 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.run("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-@query("op3_bytededup")
+#: Every window as text, the smallest document of each, runs of removed places.
+SQL = """
+WITH rows AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM rows),
+windows AS (SELECT doc_id, p, substring(h, 2 * p + 1, 100) AS w FROM starts),
+known AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY w) AS low FROM windows),
+steps AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -100) + 50 AS fresh FROM known WHERE low < doc_id),
+numbered AS (SELECT doc_id, p, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM steps),
+spans AS (SELECT doc_id, span, min(p) AS s, max(p) + 50 AS e FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, span, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans),
+kept AS (
+  SELECT r.doc_id, any_value(h) AS h, count(s) AS n_spans, coalesce(sum(e - s), 0) AS n_removed, coalesce(max(e), 0) AS tail,
+         coalesce(string_agg(substring(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s), '') AS heads
+  FROM rows r LEFT JOIN gaps g ON r.doc_id = g.doc_id GROUP BY r.doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+       sha256(unhex(heads || substring(h, 2 * tail + 1))) AS kept_sha256
+FROM kept
+"""
+
+
+@query("op3_bytededup", SQL)
 def op3_bytededup(spark, sf_dir):
     return without_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept")

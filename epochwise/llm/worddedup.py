@@ -146,6 +146,22 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.run("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-@query("op4_worddedup")
+#: Every window as text, the smallest document of each, runs of removed places.
+SQL = r"""
+WITH rows AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM rows),
+windows AS (SELECT doc_id, p, array_to_string(ws[p : p + 12], ' ') AS w FROM starts),
+known AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY w) AS low FROM windows),
+gone AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(p, p + 13)) AS k FROM known WHERE low < doc_id) GROUP BY doc_id),
+single AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM rows),
+kept AS (
+  SELECT s.doc_id, string_agg(word, ' ' ORDER BY k) AS text
+  FROM single s ANTI JOIN (SELECT doc_id, unnest(gone) AS k FROM gone) g ON s.doc_id = g.doc_id AND s.k = g.k GROUP BY s.doc_id)
+SELECT r.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM rows r LEFT JOIN gone g ON r.doc_id = g.doc_id LEFT JOIN kept k ON r.doc_id = k.doc_id
+"""
+
+
+@query("op4_worddedup", SQL)
 def op4_worddedup(spark, sf_dir):
     return without_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept")
