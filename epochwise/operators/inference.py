@@ -242,12 +242,13 @@ def endpoint_values(eot: DataFrame, endpoints: list[Endpoint], subject="subject"
     return eot.select(subject, arm, F.explode(F.array(*entries)).alias("_e")).select(subject, arm, "_e.endpoint", "_e.value", "_e.hit")
 
 
-def compare_endpoints(eot: DataFrame, endpoints: list[Endpoint], control: str, seed: str, resamples=2000) -> DataFrame:
+def compare_endpoints(eot: DataFrame, endpoints: list[Endpoint], control: str, seed: str, resamples=2000, resampled: bool = True) -> DataFrame:
     """Every treatment arm and endpoint against control, with adjusted p values.
 
     Continuous: Welch test with a bootstrap interval.  Binary: pooled z, or the
     exact test where any table cell is below 5, with a Newcombe interval.  The
-    false-discovery family is the non-primary endpoints over all arms.
+    false-discovery family is the non-primary endpoints over all arms.  ``resampled=False`` is for readers of effects and
+    p values: continuous endpoints get no interval, and no bootstrap is run.
     """
     from epochwise.operators.multiplicity import benjamini_hochberg
 
@@ -266,7 +267,11 @@ def compare_endpoints(eot: DataFrame, endpoints: list[Endpoint], control: str, s
     pairs = welch(pairs).withColumnRenamed("p_value", "p_welch")
     pairs = z_test(pairs).withColumnRenamed("p_value", "p_z").withColumn("p_fisher", fisher_p())
     kinds = [e.name for e in endpoints if e.kind != "binary"]
-    boot = bootstrap_difference(long.where(F.col("endpoint").isin(kinds)), control, ["endpoint"], seed, resamples)
+    if resampled:
+        boot = bootstrap_difference(long.where(F.col("endpoint").isin(kinds)), control, ["endpoint"], seed, resamples)
+        pairs = pairs.join(boot, ["endpoint", "arm"], "left")
+    else:
+        pairs = pairs.withColumns({c: F.lit(None).cast("double") for c in ("ci_low", "ci_high")})
     low, high = intervals.newcombe(F.col("hits"), F.col("n"), F.col("control_hits"), F.col("control_n"))
     few = F.least("hits", "control_hits", F.col("n") - F.col("hits"), F.col("control_n") - F.col("control_hits")) < 5
     binary = constants("kind") == "binary"
@@ -280,8 +285,7 @@ def compare_endpoints(eot: DataFrame, endpoints: list[Endpoint], control: str, s
             reached = meets_threshold(F.col("effect"), e.direction, -size if e.direction == "decrease" else size)
             meets = F.when(F.col("endpoint") == name, reached).otherwise(meets)
     out = (
-        pairs.join(boot, ["endpoint", "arm"], "left")
-        .withColumn("effect", effect)
+        pairs.withColumn("effect", effect)
         .withColumn("ci_low", F.when(binary, low).otherwise(F.col("ci_low")))
         .withColumn("ci_high", F.when(binary, high).otherwise(F.col("ci_high")))
         .withColumn("p_value", F.when(binary & few, F.col("p_fisher")).when(binary, F.col("p_z")).otherwise(F.col("p_welch")))

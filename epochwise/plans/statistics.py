@@ -221,8 +221,8 @@ fq AS (SELECT endpoint, arm, least(1.0, min(p_value * m / rk) OVER (ORDER BY rk
 comparisons AS (SELECT co.*, fq.q_value FROM co LEFT JOIN fq USING (endpoint, arm))"""
 
 
-def comparisons(spark, d):
-    return inference.compare_endpoints(end_rows(trial_log(spark, d)), ENDPOINTS, "ctl", "9")
+def comparisons(spark, d, resampled=True):
+    return inference.compare_endpoints(end_rows(trial_log(spark, d)), ENDPOINTS, "ctl", "9", resampled=resampled)
 
 
 @query(
@@ -333,7 +333,7 @@ def _(spark, d):
 def _(spark, d):
     s = arm_summary(spark, d)
     s = rounded(s, [c for c, t in s.dtypes if t == "double"])
-    return readout.overview(s, comparisons(spark, d), rule_rows(spark, d), safety.safety_alerts(safety_rows(spark, d)), "change_x", "x_change")
+    return readout.overview(s, comparisons(spark, d, resampled=False), rule_rows(spark, d), safety.safety_alerts(safety_rows(spark, d)), "change_x", "x_change")
 
 
 def _verdict_sql(where):

@@ -217,3 +217,16 @@ def test_calibration_band(spark):
     events = spark.createDataFrame([("a", 1, "t")], "arm string, subject int, term string")
     row = inference.calibration(risks, events).first()
     assert row.predicted == pytest.approx(0.75) and row.observed == 0.5 and row.within_band
+
+
+def test_comparisons_without_resampling_keep_all_but_the_continuous_intervals(spark):
+    rows = [(k, "ctl" if k % 2 else "a", float(k * k % 17 + 3 * (k % 2)), k % 3 == 0) for k in range(60)]
+    eot = spark.createDataFrame(rows, "subject long, arm string, change double, responder boolean")
+    ends = [inference.Endpoint("change", "change", "continuous", "decrease", 1.0, True), inference.Endpoint("rate", "responder", "binary", "increase", 0.1, False)]
+    full = {(r.endpoint, r.arm): r.asDict() for r in inference.compare_endpoints(eot, ends, "ctl", "s", 200).collect()}
+    plain = inference.compare_endpoints(eot, ends, "ctl", "s", resampled=False)
+    got = {(r.endpoint, r.arm): r.asDict() for r in plain.collect()}
+    assert got.keys() == full.keys() == {("change", "a"), ("rate", "a")}
+    assert full["change", "a"]["ci_low"] < full["change", "a"]["effect"] < full["change", "a"]["ci_high"]
+    full["change", "a"] |= {"ci_low": None, "ci_high": None}
+    assert got == full
