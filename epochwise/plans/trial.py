@@ -43,3 +43,6 @@ trial AS (
   LEFT JOIN stops s ON s.subject = o.subject
 )""", """
 eot AS (SELECT * FROM trial WHERE epoch = last_epoch)"""]
+
+# the same with the rule that the log states: the ratio to a zero baseline is null (DuckDB's quotient would be infinite)
+v._SQL["trial_ratios"] = [p.replace("o.x / b.x AS", "o.x / nullif(b.x, 0) AS").replace("o.y / b.y AS", "o.y / nullif(b.y, 0) AS") for p in v._SQL["trial"]]
