@@ -204,7 +204,7 @@ def _(spark, d):
 @query(
     "mod09_composite_score",
     sql(
-        "trial",
+        "trial_ratios",
         f"""SELECT subject, epoch, {r('-coalesce(x_change, 0) / 20 - coalesce(y_change, 0) / 12 - 0.5::DOUBLE * coalesce(greatest(0, y_ratio - 1), 0)')} AS score FROM trial""",
     ),
 )

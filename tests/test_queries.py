@@ -28,7 +28,7 @@ def test_entry_is_stable(spark):
 
 
 #: Queries that read the ratio to a baseline.
-RATIOS = ["agg01_arm_summary", "agg11_null_counts", "agg19_trajectories"]
+RATIOS = ["agg01_arm_summary", "agg11_null_counts", "agg19_trajectories", "mod09_composite_score"]
 
 
 @pytest.fixture(scope="module")
