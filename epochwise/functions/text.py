@@ -118,20 +118,27 @@ def top_entry(m: Column) -> Column:
     )
 
 
-def rule_based_report(probabilities: Column, grade: Column, epoch: Column, threshold: float = 0.15) -> Column:
-    """JSON answer put together from recorded term scores and the grade, in the contract of a free-text answer; its words are the terms."""
+def rule_based_report(probabilities: Column, grade: Column, epoch: Column, threshold: float = 0.15, wording: dict[str, str] | None = None, source: str = "recorded") -> Column:
+    """JSON answer put together from recorded term scores and the grade, in the contract of a free-text answer.
+
+    ``wording`` is protocol text: the sentence of a term.  Terms without one are put into a general sentence.
+    """
     # Entries from the largest probability down; equal ones keep their map order.
     numbered = F.transform(
         F.map_entries(probabilities),
         lambda x, i: F.struct((-x["value"]).alias("neg"), i.alias("i"), x["key"].alias("term")),
     )
     hits = F.filter(F.array_sort(numbered), lambda x: -x["neg"] >= threshold)
+    sentences = F.create_map(*[F.lit(v) for kv in (wording or {}).items() for v in kv])
     symptoms = F.transform(
         F.slice(hits, 1, 3),
         lambda x: F.struct(
             x["term"].alias("term"),
             F.greatest(F.lit(1), F.least(F.lit(5), grade)).alias("ctcae_grade"),
-            F.replace(x["term"], F.lit("_"), F.lit(" ")).alias("verbatim"),
+            F.coalesce(
+                *([F.try_element_at(sentences, x["term"])] if wording else []),
+                F.concat(F.lit("I have some "), F.replace(x["term"], F.lit("_"), F.lit(" ")), F.lit(" since the dose.")),
+            ).alias("verbatim"),
         ),
     )
     return F.to_json(
@@ -140,6 +147,6 @@ def rule_based_report(probabilities: Column, grade: Column, epoch: Column, thres
             F.when(F.size(symptoms) == 0, "good").when(grade <= 2, "acceptable").otherwise("poor").alias("overall_tolerability"),
             F.when(grade >= 4, "discontinue").when(grade == 3, "unsure").otherwise("continue").alias("adherence_intent"),
             epoch.alias("epoch"),
-            F.lit("recorded").alias("source"),
+            F.lit(source).alias("source"),
         )
     )

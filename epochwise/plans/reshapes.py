@@ -411,6 +411,14 @@ def _(spark, d):
     return v.table(spark, d, "orders").select("o_orderkey", level.alias("level"))
 
 
+#: Protocol text: how an answer puts a term.
+WORDING = {
+    "headache": "I have a dull headache that started a few hours after the dose.",
+    "nausea": "My stomach feels unsettled and I have little appetite.",
+    "rash": "I noticed a red itchy patch on my forearm.",
+}
+
+
 @query(
     "txt05_rule_based_report",
     sql(
@@ -419,9 +427,10 @@ def _(spark, d):
              {'i': 2, 't': 'dry_mouth', 'p': 0.2::DOUBLE}, {'i': 3, 't': 'nausea', 'p': (epoch % 3) / 4.0::DOUBLE}]) AS e FROM obs_events),
         k AS (SELECT subject, epoch, worst_grade, e.t AS t, row_number() OVER (PARTITION BY subject, epoch ORDER BY e.p DESC, e.i) AS i FROM p WHERE e.p >= 0.15),
         j AS (SELECT subject, epoch, string_agg('{"term":"' || t || '","ctcae_grade":' || greatest(1, least(5, worst_grade)) || ',"verbatim":"' ||
-             replace(t, '_', ' ') || '"}', ',' ORDER BY i) AS s FROM k WHERE i <= 3 GROUP BY ALL)
+             CASE t WHEN 'headache' THEN 'I have a dull headache that started a few hours after the dose.' WHEN 'rash' THEN 'I noticed a red itchy patch on my forearm.'
+               WHEN 'nausea' THEN 'My stomach feels unsettled and I have little appetite.' ELSE 'I have some dry mouth since the dose.' END || '"}', ',' ORDER BY i) AS s FROM k WHERE i <= 3 GROUP BY ALL)
         SELECT o.subject, o.epoch, '{"symptoms":[' || coalesce(j.s, '') || '],"overall_tolerability":"' || CASE WHEN j.s IS NULL THEN 'good' WHEN worst_grade <= 2 THEN 'acceptable' ELSE 'poor' END ||
-          '","adherence_intent":"' || CASE WHEN worst_grade >= 4 THEN 'discontinue' WHEN worst_grade = 3 THEN 'unsure' ELSE 'continue' END || '","epoch":' || o.epoch || ',"source":"recorded"}' AS report
+          '","adherence_intent":"' || CASE WHEN worst_grade >= 4 THEN 'discontinue' WHEN worst_grade = 3 THEN 'unsure' ELSE 'continue' END || '","epoch":' || o.epoch || ',"source":"offline-heuristic"}' AS report
         FROM obs_events o LEFT JOIN j USING (subject, epoch)""",
     ),
 )
@@ -429,7 +438,8 @@ def _(spark, d):
     probs = F.create_map(
         F.lit("headache"), (F.col("n_ae") % 4) / 10.0, F.lit("rash"), (F.col("n_rows") % 5) / 8.0, F.lit("dry_mouth"), F.lit(0.2), F.lit("nausea"), (F.col("epoch") % 3) / 4.0
     )
-    return v.obs_events(spark, d).select("subject", "epoch", text.rule_based_report(probs, F.col("worst_grade"), F.col("epoch")).alias("report"))
+    report = text.rule_based_report(probs, F.col("worst_grade"), F.col("epoch"), wording=WORDING, source="offline-heuristic")
+    return v.obs_events(spark, d).select("subject", "epoch", report.alias("report"))
 
 
 @query(

@@ -538,3 +538,14 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_report_words_each_term(spark):
+    """A term's sentence comes from the wording, else from the term; top three of at least the threshold."""
+    probs = F.create_map(F.lit("rash"), F.lit(0.2), F.lit("dry_mouth"), F.lit(0.5), F.lit("cough"), F.lit(0.1))
+    report = text.rule_based_report(probs, F.lit(3), F.lit(2), wording={"rash": "It itches."}, source="rule")
+    got = json.loads(spark.range(1).select(report.alias("r")).first().r)
+    assert [(x["term"], x["verbatim"]) for x in got["symptoms"]] == [("dry_mouth", "I have some dry mouth since the dose."), ("rash", "It itches.")]
+    assert got["source"] == "rule" and got["adherence_intent"] == "unsure"
+    plain = json.loads(spark.range(1).select(text.rule_based_report(probs, F.lit(1), F.lit(2)).alias("r")).first().r)
+    assert [x["verbatim"] for x in plain["symptoms"]] == ["I have some dry mouth since the dose.", "I have some rash since the dose."]
