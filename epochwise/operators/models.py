@@ -67,6 +67,22 @@ def exposure_features(rows: DataFrame, subject="subject", epoch="epoch", dose="d
     )
 
 
+def exposure_course(rows: DataFrame, subject="subject", epoch="epoch", dose="dose") -> DataFrame:
+    """Add to rows of ``exposure_features`` the course of a subject's doses up to each row: dosed epochs, highest and lowest dose
+    per kg of the dosed epochs (0 before the first) and epochs since the last dosed one (-1 before the first)."""
+    upto = W.partitionBy(subject).orderBy(epoch).rowsBetween(W.unboundedPreceding, 0)
+    dosed = F.col(dose) > 0
+    given = F.when(dosed, F.col("dose_per_kg"))
+    return rows.withColumns(
+        {
+            "n_dosed": F.count(F.when(dosed, 1)).over(upto),
+            "peak_dose_per_kg": F.coalesce(F.max(given).over(upto), F.lit(0.0)),
+            "trough_dose_per_kg": F.coalesce(F.min(given).over(upto), F.lit(0.0)),
+            "since_dose": F.coalesce(F.col(epoch) - F.max(F.when(dosed, F.col(epoch))).over(upto), F.lit(-1)),
+        }
+    )
+
+
 def largest_effect(rows: DataFrame, measure: str, subject="subject", dose="dose") -> DataFrame:
     """Per subject the dose level whose mean measure lies farthest above that of its undosed epochs, and the difference.
 

@@ -61,9 +61,23 @@ expo AS (SELECT *, dose / weight AS dose_per_kg, sum(dose) OVER w AS cumulative_
 _EXPO_COLS = ["dose_per_kg", "cumulative_dose", "mean_dose", "exposure_ratio"]
 
 
-@query("mod02_exposure_features", sql("cohort_cust obs_orders", f", {_EXPO} SELECT subject, epoch, " + ", ".join(f"{r(c)} AS {c}" for c in _EXPO_COLS) + " FROM expo"))
+_COURSE_COLS = ["n_dosed", "peak_dose_per_kg", "trough_dose_per_kg", "since_dose"]
+
+
+@query(
+    "mod02_exposure_features",
+    sql(
+        "cohort_cust obs_orders",
+        f""", {_EXPO}, course AS (SELECT *, count(*) FILTER (dose > 0) OVER w AS n_dosed, coalesce(max(dose_per_kg) FILTER (dose > 0) OVER w, 0.0::DOUBLE) AS peak_dose_per_kg,
+            coalesce(min(dose_per_kg) FILTER (dose > 0) OVER w, 0.0::DOUBLE) AS trough_dose_per_kg, CAST(coalesce(epoch - max(epoch) FILTER (dose > 0) OVER w, -1) AS INTEGER) AS since_dose
+            FROM expo WINDOW w AS (PARTITION BY subject ORDER BY epoch))
+        SELECT subject, epoch, {', '.join(f"{r(c)} AS {c}" for c in _EXPO_COLS)}, n_dosed, {r('peak_dose_per_kg')} AS peak_dose_per_kg, {r('trough_dose_per_kg')} AS trough_dose_per_kg, since_dose FROM course""",
+    ),
+)
 def _(spark, d):
-    return rounded(exposed(spark, d).select("subject", "epoch", *_EXPO_COLS), _EXPO_COLS)
+    """Exposure so far on every row: level, sum and means, the dosed epochs, highest and lowest dose, distance to the last dose."""
+    e = models.exposure_course(exposed(spark, d))
+    return rounded(e.select("subject", "epoch", *_EXPO_COLS, *_COURSE_COLS), [*_EXPO_COLS, "peak_dose_per_kg", "trough_dose_per_kg"])
 
 
 @query(

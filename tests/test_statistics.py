@@ -230,3 +230,11 @@ def test_comparisons_without_resampling_keep_all_but_the_continuous_intervals(sp
     assert full["change", "a"]["ci_low"] < full["change", "a"]["effect"] < full["change", "a"]["ci_high"]
     full["change", "a"] |= {"ci_low": None, "ci_high": None}
     assert got == full
+
+
+def test_exposure_has_the_course_of_doses(spark):
+    """Before the first dose, after a pause, and the highest and lowest dose per kg so far."""
+    rows = spark.createDataFrame([(1, e, x, 50.0) for e, x in ((0, 0.0), (1, 100.0), (2, 0.0), (4, 50.0))], "subject long, epoch int, dose double, weight double")
+    got = models.exposure_course(models.exposure_features(rows)).orderBy("epoch").collect()
+    assert [(r.n_dosed, r.peak_dose_per_kg, r.trough_dose_per_kg, r.since_dose) for r in got] == [(0, 0.0, 0.0, -1), (1, 2.0, 2.0, 0), (1, 2.0, 2.0, 1), (2, 2.0, 1.0, 0)]
+    assert [r.cumulative_dose for r in got] == [0.0, 100.0, 100.0, 150.0]
