@@ -249,6 +249,16 @@ def linear_score(features: Column, beta: list[float] | None, width: int) -> Colu
     return F.when(F.size(features) == width, dot).otherwise(0.0)
 
 
+def above(value: Column, limit: float) -> Column:
+    """How far a value lies above its limit, 0 below it; null where it is missing."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), value - limit))
+
+
+def rise_over(value: Column, base: Column, least: float) -> Column:
+    """Relative rise over the baseline, taken as ``least`` at least, so a baseline of zero is no division by zero; null where either is missing."""
+    return F.when(base.isNotNull(), above(value / F.greatest(F.lit(least), base), 1.0))
+
+
 def weighted_score(parts: list[tuple[Column, float, float]]) -> Column:
     """Sum of weight * value / scale over (value, weight, scale); a missing value counts as no change, so no row is lost."""
     total = F.lit(0.0)

@@ -219,17 +219,19 @@ def _(spark, d):
 @query(
     "mod09_composite_score",
     sql(
-        "trial_ratios",
-        f"""SELECT subject, epoch, {r('-coalesce(x_change, 0) / 20 - coalesce(y_change, 0) / 12 - 0.5::DOUBLE * coalesce(greatest(0, y_ratio - 1), 0)')} AS score FROM trial""",
+        "trial",
+        f"""SELECT subject, epoch, {r("""-coalesce(x_change, 0) / 20 - coalesce(y_change, 0) / 12 - 0.4::DOUBLE * coalesce(x - 3, 0) / 10 - 0.3::DOUBLE * coalesce(greatest(0, 440 + y - 450), 0) / 30
+            - 0.5::DOUBLE * CASE WHEN y IS NULL OR y_base IS NULL THEN 0 ELSE greatest(0, y / greatest(1, y_base) - 1) END""")} AS score FROM trial""",
     ),
 )
 def _(spark, d):
-    """Weighted score of measured changes; a subject without a baseline has no change and keeps its rows."""
+    """Weighted score of measured changes and levels; a subject without a baseline has no change and keeps its rows."""
     from epochwise.plans.trial import trial_log
 
-    harm = F.greatest(F.lit(0.0), F.col("y_ratio") - 1.0)
-    s = models.weighted_score([(F.col("x_change"), -1.0, 20.0), (F.col("y_change"), -1.0, 12.0), (F.when(F.col("y_ratio").isNotNull(), harm), -0.5, 1.0)])
-    return trial_log(spark, d).select("subject", "epoch", rnd(s).alias("score"))
+    rise = models.rise_over(F.col("y"), F.col("y_base"), 1.0)
+    high = models.above(440.0 + F.col("y"), 450.0)
+    parts = [(F.col("x_change"), -1.0, 20.0), (F.col("y_change"), -1.0, 12.0), (F.col("x") - 3.0, -0.4, 10.0), (high, -0.3, 30.0), (rise, -0.5, 1.0)]
+    return trial_log(spark, d).select("subject", "epoch", rnd(models.weighted_score(parts)).alias("score"))
 
 
 @query(

@@ -246,3 +246,11 @@ def test_every_row_has_its_dose_effect(spark):
     got = models.level_effects(spark.createDataFrame(rows, "subject long, epoch int, dose double, x double"), "x").orderBy("subject", "epoch").collect()
     assert [(r.subject, r.epoch, r.effect, r.best_dose, r.best_effect) for r in got] == [
         (1, 0, 0.0, 50.0, 4.0), (1, 1, 4.0, 50.0, 4.0), (1, 2, 4.0, 50.0, 4.0), (1, 3, 4.0, 50.0, 4.0), (2, 0, None, 50.0, None), (3, 0, 0.0, None, None), (3, 1, 0.0, None, None)]
+
+
+def test_score_parts_keep_rows_without_a_baseline(spark):
+    """Harm counts above a limit only; a missing baseline or value counts as no change, a zero baseline as the least one."""
+    rows = spark.createDataFrame([(1, 12.0, 4.0), (2, 2.0, 0.0), (3, 8.0, None), (4, None, 4.0), (5, 3.0, 4.0)], "i int, y double, b double")
+    rise, high = models.rise_over(F.col("y"), F.col("b"), 1.0), models.above(F.col("y"), 10.0)
+    got = rows.select("i", models.weighted_score([(rise, -0.5, 1.0), (high, -1.0, 2.0)]).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == [-2.0, -0.5, 0.0, 0.0, 0.0]
