@@ -7,12 +7,8 @@ path given by the caller, which must be shared by all executors.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from epochwise.operators import events as ev
@@ -41,125 +37,80 @@ def events_to_table(log: DataFrame, out: str, column="adverse_events_json") -> D
 
 # --- interim safety monitor -----------------------------------------------------
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-DELTAS = "kind string, metric string, arm string, epoch int, n bigint"
 _METRICS = ("grade3_plus_rate", "sae_rate", "mortality_rate")
 
 
-class _FirstHits(StatefulProcessor):
-    """Keyed state of one subject: baseline, epochs seen, readings that wait for a baseline, first hit per metric and arm.
-
-    Emits changes of counts only: +1 where a subject is newly at risk or first hit; when an earlier hit arrives late, -1
-    where it was counted before.  State is one row per subject, bounded by its epochs.
-    """
-
-    def __init__(self, fold: float, floor: float, keep_days: int | None):
-        self.fold, self.floor, self.keep_ms = fold, floor, None if keep_days is None else keep_days * 86_400_000
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("subject", StructType().add("state", "string"))
-
-    def handleInputRows(self, key, rows, timerValues):
-        state = {"base": None, "seen": [], "waiting": [], "hits": {}}
-        if self.held.exists():
-            state = json.loads(self.held.get()[0])
-        seen, hits, out, last = {tuple(x) for x in state["seen"]}, state["hits"], [], 0
-
-        def hit(metric, arm, epoch):
-            name = json.dumps([metric, arm])
-            before = hits.get(name)
-            if before is None or epoch < before:
-                hits[name] = epoch
-                out.append(("hit", metric, arm, epoch, 1))
-                if before is not None:
-                    out.append(("hit", metric, arm, before, -1))
-
-        for frame in rows:
-            for arm, epoch, y, at, *flags in zip(*(frame[c] for c in ("arm", "epoch", "y", "at", *_METRICS)), strict=True):
-                if (arm, int(epoch)) in seen:  # the same observation again
-                    continue
-                seen.add((arm, int(epoch)))
-                last = max(last, int(at))
-                out.append(("risk", "", arm, int(epoch), 1))
-                for metric, flag in zip(_METRICS, flags, strict=True):
-                    if flag:
-                        hit(metric, arm, int(epoch))
-                if y == y and epoch == 0:
-                    state["base"] = float(y)
-                if y == y and y > self.floor:
-                    state["waiting"].append([arm, int(epoch), float(y)])
-        if state["base"] is not None:
-            for arm, epoch, y in state["waiting"]:
-                if y >= self.fold * state["base"]:
-                    hit("alt_elevation_rate", arm, epoch)
-            state["waiting"] = []
-        state["seen"] = sorted(map(list, seen))
-        self.held.update((json.dumps(state),))
-        if self.keep_ms is not None:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs() + 1) + self.keep_ms)
-        yield pd.DataFrame(out, columns=["kind", "metric", "arm", "epoch", "n"]).astype({"epoch": "int32", "n": "int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.held.clear()
-        yield pd.DataFrame({"kind": [], "metric": [], "arm": [], "epoch": [], "n": []}).astype({"kind": "object", "metric": "object", "arm": "object", "epoch": "int32", "n": "int64"})
-
-    def close(self) -> None:
-        pass
-
-
 class SafetyMonitor:
     """First qualifying epoch per subject, kept current as observations arrive; all four metrics.
 
-    The state sits in Spark's state store, keyed by subject: the baseline and first hits, so the elevation rule works
-    whether the baseline comes first or late.  A micro-batch writes only its own changes of the counts, summed, under its
-    number; a replayed batch overwrites its own files, so results are exactly-once.  Counts are sums over batches; a missing
-    batch raises.  The first observation of a subject, arm and epoch counts, repeated ones never do.  Observations older than the watermark
-    are ignored.  ``keep_days`` drops the state of subjects of whom nothing came for so long; those already counted stay
-    counted.
+    Spark's state store holds which observations (subject, arm, epoch) came before: the first one counts, repeated ones never
+    do.  A micro-batch writes, under its number, the counts of those newly at risk and what decides first hits: flagged
+    epochs (the first of a subject, arm and metric), baselines and readings above the floor.  A replayed batch
+    overwrites its own files, so results are exactly-once; a missing batch raises.  First hits are minima over the batches and the
+    elevation rule meets baseline and reading there, so either may come late.
+
+    Observations older than the watermark are ignored.  ``keep_days`` bounds the state: an observation is forgotten when the
+    watermark, then at least so many days behind, has passed it by as much; those already counted stay counted.
     """
 
     def __init__(self, spark: SparkSession, root: str, measure: str = "y", fold: float = 3.0, floor: float = 100.0, keep_days: int | None = None):
         self.spark, self.root, self.measure = spark, root, measure
-        self.processor = _FirstHits(fold, floor, keep_days)
+        self.fold, self.floor, self.keep_days = fold, floor, keep_days
 
     def _file(self, rows: DataFrame, batch: int) -> None:
-        marker = self.spark.range(1).select(F.lit("batch").alias("kind"), F.lit("").alias("metric"), F.lit("").alias("arm"), F.lit(0).alias("epoch"), F.lit(1).cast("bigint").alias("n"))
-        summed = rows.groupBy("kind", "metric", "arm", "epoch").agg(F.sum("n").alias("n"))
-        summed.unionByName(marker).write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch}")
+        y = F.when(~F.isnan("y"), F.col("y"))
+        none, subject = F.lit(None).cast("double"), F.col("subject")
+
+        def entry(kind, metric="", subject=subject, arm=F.col("arm"), value=none):
+            return F.struct(F.lit(kind).alias("kind"), F.lit(metric).alias("metric"), subject.alias("subject"), arm.alias("arm"), "epoch", value.alias("value"))
+
+        entries = [entry("risk", subject=F.lit(None).cast(rows.schema["subject"].dataType))]
+        entries += [F.when(F.col(m), entry("first", m)) for m in _METRICS]
+        entries += [F.when((F.col("epoch") == 0) & y.isNotNull(), entry("base", arm=F.lit(""), value=y)), F.when(y > self.floor, entry("reading", value=y))]
+        # texts are parsed here, once a row and by all tasks, not in the few that read the files
+        worst, serious = ev.worst_and_serious(F.col("events"))
+        told = rows.select("*", F.explode(F.array(F.struct(worst.alias("worst"), serious.alias("serious")))).alias("told"))
+        flags = (F.col("told.worst") >= 3, F.col("told.serious"), F.col("told.worst") >= 5)
+        told = told.withColumns(dict(zip(_METRICS, flags, strict=True)))
+        each = told.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+        at = F.when(F.col("kind") != "first", F.col("epoch"))
+        summed = each.groupBy("kind", "metric", "subject", "arm", at.alias("at")).agg(F.min("epoch").alias("epoch"), F.max("value").alias("value"), F.count("*").alias("n")).drop("at")
+        marker = self.spark.range(1).select(F.lit("batch").alias("kind"), F.lit(1).cast("bigint").alias("n"))
+        summed.unionByName(marker, allowMissingColumns=True).write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch}")
 
     def consume(self, log: DataFrame, ts="ts", watermark="31 days", column="adverse_events_json") -> SafetyMonitor:
-        worst, serious = ev.worst_and_serious(F.col(column))
-        flags = (worst >= 3, serious, worst >= 5)
-        rows = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-        rows = rows.select(
-            "subject",
-            "arm",
-            F.col("epoch").cast("int").alias("epoch"),
-            F.coalesce(F.col(self.measure).cast("double"), F.lit(float("nan"))).alias("y"),
-            F.unix_millis(ts).alias("at"),
-            *[F.coalesce(f, F.lit(False)).alias(m) for m, f in zip(_METRICS, flags, strict=True)],
-            ts,
-        )
-        mode = "None" if self.processor.keep_ms is None else "EventTime"
-        deltas = rows.groupBy("subject").transformWithStateInPandas(self.processor, DELTAS, "Append", mode)
+        at = F.col(ts).cast("timestamp").alias(ts)
+        rows = log.select("subject", "arm", F.col("epoch").cast("int").alias("epoch"), F.col(self.measure).cast("double").alias("y"), F.col(column).alias("events"), at)
+        keys = ["subject", "arm", "epoch"]
+        if self.keep_days is None:
+            fresh = rows.withWatermark(ts, watermark).dropDuplicates(keys)
+        else:
+            fresh = rows.withWatermark(ts, self._longer(watermark)).dropDuplicatesWithinWatermark(keys)
         # the store for keyed state is chosen when the query starts
         before = self.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
         self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
         try:
-            _drain(deltas.writeStream.outputMode("append").foreachBatch(self._file).option("checkpointLocation", f"{self.root}/_checkpoint"))
+            _drain(fresh.writeStream.outputMode("append").foreachBatch(self._file).option("checkpointLocation", f"{self.root}/_checkpoint"))
         finally:
             self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
         return self
 
+    def _longer(self, watermark: str) -> str:
+        """The longer one of a delay and ``keep_days``."""
+        kept = f"{self.keep_days} days"
+        return kept if self.spark.range(1).select(F.expr(f"INTERVAL {kept} + timestamp'1970-01-01' > INTERVAL {watermark} + timestamp'1970-01-01'")).first()[0] else watermark
+
     def evaluate(self, rules: list[safety.Rule]) -> DataFrame:
-        """Rule evaluations from the counts of all batches so far."""
-        deltas = self.spark.read.schema(DELTAS + ", batch int").parquet(f"{self.root}/deltas")
+        """Rule evaluations from all batches so far."""
+        deltas = self.spark.read.parquet(f"{self.root}/deltas")
         batches = deltas.where("kind = 'batch'").agg(F.count_distinct("batch").alias("n"), F.max("batch").alias("last")).first()
         if batches["n"] != (batches["last"] or 0) + 1:
             raise RuntimeError(f"counts of {(batches['last'] or 0) + 1 - batches['n']} batches are missing below {self.root}/deltas")
-        hits = deltas.where("kind = 'hit'").groupBy("metric", "arm", F.greatest("epoch", F.lit(0)).alias("epoch")).agg(F.sum("n").alias("new_hits"))
+        base = deltas.where("kind = 'base'").groupBy("subject").agg(F.min_by("value", "batch").alias("base"))
+        raised = deltas.where("kind = 'reading'").join(base, "subject").where(F.col("value") >= self.fold * F.col("base"))
+        found = deltas.where("kind = 'first'").select("metric", "arm", "subject", "epoch").unionByName(raised.select(F.lit("alt_elevation_rate").alias("metric"), "arm", "subject", "epoch"))
+        first = found.groupBy("metric", "arm", "subject").agg(F.min("epoch").alias("epoch"))
+        hits = first.groupBy("metric", "arm", F.greatest("epoch", F.lit(0)).alias("epoch")).agg(F.count("*").alias("new_hits"))
         risk = deltas.where("kind = 'risk'").groupBy("arm", "epoch").agg(F.sum("n").alias("n_at_risk"))
         return safety.evaluate(hits, risk, rules)
 

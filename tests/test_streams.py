@@ -77,3 +77,22 @@ def test_late_span_merges_two_sessions(spark, tmp_path):
     assert got == [("t", 3, 25 * 60)]
     add(9)  # behind the watermark
     assert [r.spans for r in run().collect()] == [3]
+
+
+def test_monitor_keeps_its_state_without_python(spark, tmp_path, monkeypatch):
+    """Many subjects: one pass of the state store for each row, no Python call for each subject; a row sent again counts once."""
+    path, root, plans = f"file://{tmp_path}/obs", f"file://{tmp_path}/monitor", []
+
+    def drain(writer):
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        plans.append(query._jsq.explainInternal(False))
+
+    monkeypatch.setattr(streams, "_drain", drain)
+    rows = [(s, "ab"[s % 2], e, 30.0 if e == 0 else 100.0 + s, None) for s in range(2000) for e in (0, 1)]
+    write(spark, path, rows)
+    write(spark, path, rows[::7])
+    for keep in (None, 50):
+        m = streams.SafetyMonitor(spark, f"{root}-{keep}", keep_days=keep).consume(streams.source(spark, path, spark.read.schema(LOG).parquet(path).schema, 1))
+        assert sorted(map(str, m.evaluate(RULES).collect())) == batch(spark, path)
+    assert len(plans) == 2 and not any("Pandas" in p or "Python" in p for p in plans)
