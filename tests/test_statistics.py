@@ -254,3 +254,24 @@ def test_score_parts_keep_rows_without_a_baseline(spark):
     rise, high = models.rise_over(F.col("y"), F.col("b"), 1.0), models.above(F.col("y"), 10.0)
     got = rows.select("i", models.weighted_score([(rise, -0.5, 1.0), (high, -1.0, 2.0)]).alias("s")).orderBy("i").collect()
     assert [r.s for r in got] == [-2.0, -0.5, 0.0, 0.0, 0.0]
+
+
+def test_calibration_of_terms_shuffles_subjects_not_terms(spark):
+    """The general form's figures; a sure event predicts one; no exchange carries rows of subject and term."""
+    rows = spark.createDataFrame([("ab"[s % 2], s, e, 1 + (s + e) % 3) for s in range(12) for e in range(s % 4 + 1)], "arm string, subject int, epoch int, n long")
+    events = spark.createDataFrame([("ab"[s % 2], s, t) for s in range(0, 12, 3) for t in ("t1", "t2") for _ in range(2)] + [("z", 99, "t1")], "arm string, subject int, term string")
+    bases = {"t1": 0.1, "t2": 0.3, "sure": 0.7}
+    terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(b).alias("base")) for t, b in bases.items()])
+    risk = lambda n, t: t["base"] + n / 10.0
+    found = inference.calibration_of_terms(rows.where("n = 1 OR subject > 3"), events, terms, "n", risk)
+    long = rows.where("n = 1 OR subject > 3").select("arm", "subject", "n", F.explode(terms).alias("t")).select("arm", "subject", "t.term", F.least(risk(F.col("n"), F.col("t")), F.lit(1 - 1e-15)).alias("p"))
+    want = {(r.arm, r.term): r for r in inference.calibration(long, events).collect()}
+    got = {(r.arm, r.term): r for r in found.collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    for k, r in got.items():
+        assert (r.n, r.observed, r.within_band) == (want[k].n, want[k].observed, want[k].within_band)
+        assert r.predicted == pytest.approx(want[k].predicted)
+    from epochwise.plans import statistics
+
+    plan = statistics.calibrated(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.replace("JoinHint", "")
