@@ -24,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts whose shingle sets are alike: the one with the smallest id.  Rows that share an id but
-    are not alike all stay, whatever their id."""
+    """One row of each group of texts whose shingle sets are alike: the one with the smallest id.  Candidates are texts whose
+    SimHash fingerprints are linked by ball hashing, as in op1, and texts that share minimum hashes; both are verified on whole
+    sets.  Rows that share an id but are not alike all stay, whatever their id."""
     return jaccard.without_copies(docs, size=SHINGLE)
 
 

@@ -1,7 +1,9 @@
 """Near copies by the Jaccard similarity of shingle sets.
 
-Candidates share one of BANDS keys, each made of ROWS minimum hashes; at similarity 0.8 a pair shares none with probability
-(1 - 0.8**4)**20 = 3e-5, at higher ones less.  Every link is verified on whole sets.  Inside a key's members components are
+Candidates come in two ways.  SimHash fingerprints of the same shingles are linked by ball hashing as in ``simhash``: texts
+whose fingerprints are joined by steps of 3 bits or fewer share a key.  Few pairs below equal sets are so close, so candidates
+also share one of BANDS keys, each made of ROWS minimum hashes; at similarity 0.8 a pair shares none with probability
+(1 - 0.8**4)**20 = 3e-5, at higher ones less.  Every link of either kind is verified on whole sets.  Inside a key's members components are
 grown from one member after the other: each is compared with all that are not yet in a component, so no link between two
 components is passed over, no pairs are written out, and a large group of near copies is used up by its first members.
 
@@ -21,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochwise.llm import simhash
 from epochwise.llm.base import arrow_map, arrow_schema, forest, slim
 from epochwise.llm.components import connected
 from epochwise.operators.ranks import small_side
@@ -38,13 +41,18 @@ SLAB = 1 << 14
 WIDE, CELLS = 512, 1 << 21
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``size`` words (of all words, if they are fewer); words as in SimHash."""
+def hashed(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words in order, repeats included (of all words, if they are fewer); words as in SimHash."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))], np.uint64))
+    return np.array([digest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))], np.uint64)
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's runs of words."""
+    return np.unique(hashed(text, size))
 
 
 def band_keys(own: np.ndarray) -> list[int]:
@@ -60,7 +68,7 @@ def band_keys(own: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)]
 
 
-_MARKED = "doc_id long, digest binary, mark long, size long, keys array<long>"
+_MARKED = "doc_id long, digest binary, mark long, size long, fp long, keys array<long>"
 _SETS = "mark long, own binary"
 
 
@@ -75,21 +83,30 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc_id, digest, mark, size, keys): a hash of each row's shingle set, its size and its band keys."""
+    """(doc_id, digest, mark, size, fp, keys): a hash of each row's shingle set, its size, its SimHash and its band keys."""
     schema = arrow_schema(_MARKED)
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                sets = [shingles(t, size) for t in part.column(1).to_pylist()]
+                runs = [hashed(t, size) for t in part.column(1).to_pylist()]
+                fps = pa.array(list(map(simhash.majority, runs)), pa.int64())
+                sets = list(map(np.unique, runs))
                 marks = pa.array([_mark(s.tobytes()) for s in sets], pa.int64())
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), marks, sizes, pa.array(list(map(band_keys, sets)), pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), marks, sizes, fps, pa.array(list(map(band_keys, sets)), pa.list_(pa.int64()))], schema=schema)
 
     return named(docs, id_col, text_col).mapInArrow(run, _MARKED)
 
 
+def ball_keys(rows: DataFrame) -> DataFrame:
+    """(mark, size, key): one key for all texts whose fingerprints are joined by links of ``simhash.RADIUS`` bits or fewer."""
+    own = rows.where("size > 0").select("mark", "size", "fp").distinct()
+    joined = connected(simhash.links(own.select("fp").distinct()))
+    return own.join(joined, own["fp"] == joined["node"], "left").select("mark", "size", F.xxhash64(F.coalesce("root", "fp"), F.lit("ball")).alias("key"))
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
     """(mark, own): the sets of the rows that ``wanted`` (id, dig) names, one row a mark."""
     few = small_side(wanted)
@@ -210,7 +227,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
     """(doc_id, digest, lead): a row per input row; lead (none, doc_id, digest) names the first row of its component."""
     rows = cut_lineage(marked(docs, id_col, text_col, size))
     each = rows.groupBy("mark").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
-    keyed = rows.select("mark", "size", F.explode("keys").alias("key")).distinct()
+    keyed = rows.select("mark", "size", F.explode("keys").alias("key")).unionByName(ball_keys(rows)).distinct()
     # the keys of near copies mostly have the same members; one key of each member set does
     members = F.struct(F.count("*").alias("n"), F.bit_xor("mark").alias("x"), F.bit_xor(F.xxhash64("mark")).alias("y"), F.sum("size").alias("cells"))
     several = keyed.groupBy("key").agg(members.alias("who")).where("who.n > 1").groupBy("who").agg(F.min("key").alias("key"))

@@ -30,6 +30,15 @@ RADIUS = 3
 BLOCK_ROWS = 1 << 18
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed number; zero of none."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        octets = h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        count += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(h), bitorder="little").view("<i8")[0])
+
+
 def simhash(text: str | None, size: int = 3) -> int:
     """Fingerprint of one text as a signed 64-bit number; zero without words."""
     words = (text or "").encode().lower().split()  # bytes: ASCII case and ASCII white space only
@@ -44,11 +53,7 @@ def simhash(text: str | None, size: int = 3) -> int:
         spans = zip((end - length)[: 1 - size].tolist(), end[size - 1 :].tolist())
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(joined[i:j], SEED) for i, j in spans), np.uint64, len(words) - size + 1)
-    count = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        octets = h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        count += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > len(h), bitorder="little").view("<i8")[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:

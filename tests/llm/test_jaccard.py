@@ -130,3 +130,19 @@ def test_members_outside_the_largest_component_meet_every_block(spark, monkeypat
         texts[k] = " ".join(own)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in K.near_copies(docs).collect()} == brute(texts)
+
+
+def test_fingerprints_within_three_bits_share_a_key(spark):
+    """The ball hashing of op1 finds candidates: exactly the texts joined by steps of 3 bits or fewer have a key in common."""
+    from epochwise.llm import simhash as S
+
+    base = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(base), " ".join([*base[:2000], "other", *base[2001:]]), " ".join(reversed(base)), "a b", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = K.marked(docs, "doc_id", "text", 5).cache()
+    fps = {r.doc_id: r.fp for r in rows.collect()}
+    assert fps == {i: S.simhash(t, 5) for i, t in enumerate(texts)}
+    assert 0 < ((fps[0] ^ fps[1]) & (1 << 64) - 1).bit_count() <= S.RADIUS
+    keys = {r.mark: r.key for r in K.ball_keys(rows).collect()}
+    mark = {r.doc_id: r.mark for r in rows.collect()}
+    assert len(keys) == 4 and keys[mark[0]] == keys[mark[1]] and len(set(keys.values())) == 3
