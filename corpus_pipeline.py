@@ -1,4 +1,7 @@
-"""Cleaning of a document table in stages; each stage reads what the one before it wrote."""
+"""Cleaning of a document table in stages; each stage reads what the one before it wrote.
+
+The ids that a stage rejects are found first and sent to the rows if they are few, so texts are not shuffled beside the search.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochwise.llm import decontaminate, jaccard, pii, sentencepiece, toxicity
-from epochwise.llm.base import table
+from epochwise.llm.base import TEXT_ROWS, table
+from epochwise.operators.ranks import small_side
 from epochwise.session import scratch_path
 
 #: Documents at or above this score are rejected, as op8 predicts them.
@@ -19,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score is below TOXIC; the fit uses the labels table.  The score joins a row by id, the lowest of an id's rows
     would be wrong for one of them, so an id is rejected if any of its rows is.  Rows without an id stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    bad = toxicity.scored(docs, model).where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("__id")).distinct()
+    bad = small_side(toxicity.scored(docs, model).where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("__id")).distinct(), TEXT_ROWS)
     return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti")
 
 
@@ -33,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no benchmark item is found; rows without an id stay."""
     hits = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    bad = hits.select(F.col("doc_id").alias("__id")).distinct()
+    bad = small_side(hits.select(F.col("doc_id").alias("__id")).distinct(), TEXT_ROWS)
     return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti")
 
 

@@ -14,6 +14,8 @@ ORACLES: dict[str, str] = {}
 
 #: Bytes of text that one group of rows should hold; groups are as many as the input needs.
 GROUP_BYTES = 8 << 20
+#: Rows of an Arrow batch of texts, where a plan is run at once.
+TEXT_ROWS = 1000
 
 
 def query(name: str, oracle: str | None = None):

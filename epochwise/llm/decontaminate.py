@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from epochwise.llm.base import arrow_map, query, slim, table
 from epochwise.session import cut_lineage
@@ -274,8 +273,9 @@ def _search_block(rows: DataFrame, block: DataFrame, parts: range | None = None,
     count, n = _frequencies(rows, terms)
     idf = np.log((n + 1) / (count + 1)) + 0.1
     weighed = [_weights([bytes(w) for w in r["words"]], terms, idf) for r in cut]
-    sparse = T.StructType([T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
-    matrix = spark.createDataFrame([(t, w.tolist()) for t, w in weighed], sparse)
+    kinds = {"terms": pa.list_(pa.int64()), "weights": pa.list_(pa.float64())}
+    # an Arrow table takes no Python workers of its own
+    matrix = spark.createDataFrame(pa.table([pa.array([r[k] for r in weighed], t) for k, t in enumerate(kinds.values())], names=list(kinds)))
     basis = randomised_svd(matrix, len(terms), len(cut))
     latent = np.stack([w @ basis[t] for t, w in weighed])
     # a word's weight is squared at each of its occurrences, in passages as in windows

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochwise.llm import simhash
-from epochwise.llm.base import arrow_map, arrow_schema, forest, slim
+from epochwise.llm.base import TEXT_ROWS, arrow_map, arrow_schema, forest, slim
 from epochwise.llm.components import connected
 from epochwise.operators.ranks import small_side
 from epochwise.session import cut_lineage
@@ -225,7 +225,7 @@ def _cut_keys(wide: DataFrame, joined: DataFrame, grow: Callable[[DataFrame], Da
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(doc_id, digest, lead): a row per input row; lead (none, doc_id, digest) names the first row of its component."""
-    rows = cut_lineage(marked(docs, id_col, text_col, size))
+    rows = cut_lineage(marked(docs, id_col, text_col, size), TEXT_ROWS)
     each = rows.groupBy("mark").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
     keyed = rows.select("mark", "size", F.explode("keys").alias("key")).unionByName(ball_keys(rows)).distinct()
     # the keys of near copies mostly have the same members; one key of each member set does
@@ -238,7 +238,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
         """Links (a, b) within the blocks of (mark, block)."""
         wanted = each.join(blocks.select("mark").distinct(), "mark", "left_semi").select(F.col("first.doc_id").alias("id"), F.col("first.digest").alias("dig"))
         whole = blocks.join(shingle_sets(docs, id_col, text_col, size, wanted), "mark").select("block", "mark", "own")
-        return whole.repartition("block").sortWithinPartitions("block", "mark").mapInArrow(_verify, "a long, b long").distinct()
+        return cut_lineage(whole.repartition("block").sortWithinPartitions("block", "mark").mapInArrow(_verify, "a long, b long").distinct(), TEXT_ROWS)
 
     joined = connected(grow(pairs.select("mark", F.xxhash64("key", _block(F.col("count"), 0)).alias("block"))))
     joined = _cut_keys(pairs.where("count > 1").select("key", "mark", "size"), joined, grow)

@@ -25,8 +25,8 @@ SAMPLE_PER_CLASS = 2000
 SAMPLE_TEXT_BYTES = 1 << 16
 #: A gram gets a vector if it is in so many sample texts and its share differs between the classes by so many deviations.
 MIN_TEXTS, MIN_Z = 4, 3.5
-#: Texts are hashed in pieces of about this many bytes.
-PIECE_BYTES = 1 << 20
+#: Texts are hashed in pieces of about this many bytes; a task holds some hundred times as much while it does.
+PIECE_BYTES = 1 << 17
 
 
 @dataclass

@@ -54,12 +54,12 @@ def range_row_number(df: DataFrame, group: list[str], order: list[str], name="rn
 SMALL_SIDE_ROWS = 100_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     """Materialise an aggregate, and broadcast it only if its row count allows.
 
     Larger results keep the ordinary shuffled join.
     """
-    kept = cut_lineage(df)
+    kept = cut_lineage(df, arrow_rows)
     few = kept.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS
     return F.broadcast(kept) if few else kept
 
