@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from epochwise.llm import decontaminate, jaccard, pii, sentencepiece, toxicity
 from epochwise.llm.base import TEXT_ROWS, table
 from epochwise.operators.ranks import small_side
-from epochwise.session import scratch_path
+from epochwise.session import ARROW_ROWS, scratch_path
 
 #: Documents at or above this score are rejected, as op8 predicts them.
 TOXIC = 0.5
@@ -19,6 +19,12 @@ TOXIC = 0.5
 SHINGLE = 5
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Python tasks of the session get TEXT_ROWS texts at a time, unless it sets another number itself; a stage's plan runs after it returns."""
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, str(TEXT_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score is below TOXIC; the fit uses the labels table.  The score joins a row by id, the lowest of an id's rows
     would be wrong for one of them, so an id is rejected if any of its rows is.  Rows without an id stay."""
@@ -36,6 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no benchmark item is found; rows without an id stay."""
+    _small_batches(spark)
     hits = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
     bad = small_side(hits.select(F.col("doc_id").alias("__id")).distinct(), TEXT_ROWS)
     return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti")
@@ -49,6 +56,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids, scores, decoded): the ids of each text, the scores of its best segmentations, its text again."""
+    _small_batches(spark)
     found = sentencepiece.encoded(docs, sentencepiece.default_model())
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), "ids", "scores", "decoded")
 
