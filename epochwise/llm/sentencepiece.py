@@ -4,8 +4,8 @@ Over the lattice of a text's pieces the forward pass keeps the best score up to
 the end uses these scores as exact heuristics, so hypotheses leave the agenda from best to worst.
 
 No piece runs over the start of a white-space run or over a line break, so the lattice falls apart there; also between Latin
-letters and ASCII marks, if the vocabulary has no piece with both.  Segments are
-solved once and kept in a bounded table.  The N best of a text differ from the best in at most N - 1 segments, and only in
+letters and ASCII marks, if the vocabulary has no piece with both.  New segments of
+some texts are solved together, a numpy step for each offset and length, and kept in a bounded table.  The N best of a text differ from the best in at most N - 1 segments, and only in
 those with the smallest distance between best and second; the search over whole texts is confined to them.
 """
 
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from epochwise.llm.base import arrow_map, query, slim, table
 
 SPACE = "▁"
-#: Segments kept per worker; the table is emptied when it is full.
-KEPT = 300_000
+#: Segments kept per worker, some 350 bytes each.  Once half as many are new, the half before them goes.
+KEPT = 120_000
+#: Characters of texts whose segments are looked up together, and the longest segment that is solved with others.
+PIECE, LONG = 1 << 19, 32
 N_BEST = 3
 #: Characters of a start of a text that decide which pieces start there, if none of the beginnings is longer.
 AHEAD = 5
@@ -60,7 +62,16 @@ class Pieces:
         self.spelled = min((s for s in self.score.values() if s > -1e8), default=0.0) - 10.0
         both = re.compile(f"[{_LETTER}][{_MARK}]|[{_MARK}][{_LETTER}]")
         self.segment = re.compile(_COARSE if any(map(both.search, self.score)) else _FINE)
+        # the beginnings of pieces as a tree: node and character lead to a node
+        node = {"": 0}
+        for t in self.reach:
+            node[t] = len(node)
+        steps = np.array([(node[t[:-1]] << 21 | ord(t[-1]), k) for t, k in node.items() if t], np.int64)
+        self.steps, self.next = steps[np.argsort(steps[:, 0])].T.copy()
+        self.own = np.array([self.id.get(t, -1) for t in node], np.int32)
+        self.worth = np.array([self.score.get(t, 0.0) for t in node])
         self.kept: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.ranked: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
         self.starts: dict[str, tuple[tuple[int, float], ...]] = {}
 
@@ -133,31 +144,131 @@ class Pieces:
         i = self.id.get(piece)
         return [i] if i is not None else [self.byte[b] for b in piece.encode()]
 
-    def solve(self, segment: str) -> tuple[np.ndarray, float, float]:
+    def keep(self, segment: str, answer: tuple) -> tuple:
+        """Both halves of the table hold at most KEPT // 2 segments."""
+        if len(self.kept) >= KEPT // 2:
+            self.turn()
+        self.kept[segment] = answer
+        return answer
+
+    def turn(self) -> None:
+        self.older, self.kept = self.kept, {}
+        self.ranked.clear()
+        self.starts.clear()
+
+    def solve(self, segment: str) -> tuple[bytes, float, float]:
         """(ids, best score, distance to the second best) of a segment."""
         hit = self.kept.get(segment)
         if hit is None:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-                self.ranked.clear()
-                self.starts.clear()
-            best, second, back = self.forward(segment)
-            parts, at = [], len(segment)
-            while at:
-                parts.append(segment[back[at] : at])
-                at = back[at]
-            parts.reverse()
-            ids = list(map(self.id.get, parts))
-            if None in ids:
-                ids = [i for x in parts for i in self.ids(x)]
-            hit = self.kept[segment] = (struct.pack(f"<{len(ids)}I", *ids), best[-1], best[-1] - second[-1])
+            hit = self.older.get(segment)
+            if hit is None:
+                best, second, back = self.forward(segment)
+                parts, at = [], len(segment)
+                while at:
+                    parts.append(segment[back[at] : at])
+                    at = back[at]
+                parts.reverse()
+                ids = list(map(self.id.get, parts))
+                if None in ids:
+                    ids = [i for x in parts for i in self.ids(x)]
+                hit = struct.pack(f"<{len(ids)}I", *ids), best[-1], best[-1] - second[-1]
+            self.keep(segment, hit)
         return hit
 
+    def pieces_in(self, code: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, node) of all pieces in characters; a piece from a start ends at its ``stop`` or before."""
+        at, node, found, k = np.arange(len(code)), np.zeros(len(code), np.int64), [], 0
+        while len(at):
+            key = node << 21 | code[at + k]
+            to = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            held = self.steps[to] == key
+            at, node, k = at[held], self.next[to[held]], k + 1
+            whole = self.own[node] >= 0
+            found.append((at[whole], np.full(int(whole.sum()), k), node[whole]))
+            more = at + k < stop[at]
+            at, node = at[more], node[more]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def solve_all(self, segments: list[str]) -> list[tuple[str, tuple]]:
+        """``solve`` for short segments at once: the same sums, by offset in the segment, then by length of the piece.  Segments
+        with a character that has no piece are left out."""
+        if not segments:
+            return []
+        size = np.array(list(map(len, segments)), np.int64)
+        code = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        owner, end = np.repeat(np.arange(len(size)), size), np.cumsum(size)
+        start, length, node = self.pieces_in(code, end[owner])
+        alone = np.zeros(len(code), bool)
+        alone[start[length == 1]] = True
+        whole = np.ones(len(size), bool)
+        whole[owner[~alone]] = False
+        # a segment has one place more than characters
+        first = end - size + np.arange(len(size))
+        last = first + size
+        by = (start - (end - size)[owner[start]]) * (self.longest + 1) + length
+        order = np.argsort(by.astype(np.uint16) if by.max(initial=0) < 1 << 16 else by, kind="stable")
+        cuts = np.flatnonzero(np.diff(by[order], prepend=-1)).tolist()
+        from_ = (start + owner[start])[order]
+        to, node = from_ + length[order], node[order]
+        value = self.worth[node]
+        best, second = np.full(len(code) + len(size), NONE), np.full(len(code) + len(size), NONE)
+        back, via = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
+        best[first] = 0.0
+        for i, j in zip(cuts, [*cuts[1:], len(order)], strict=False):
+            f, t, v = from_[i:j], to[i:j], value[i:j]
+            x, was = best[f] + v, best[t]
+            better = x > was
+            second[t] = np.where(better, np.maximum(was, second[f] + v), np.maximum(second[t], x))
+            best[t] = np.where(better, x, was)
+            back[t[better]], via[t[better]] = f[better], node[i:j][better]
+        names, ids = [], []
+        which = np.flatnonzero(whole)
+        at = last[which]
+        while len(which):
+            names.append(which)
+            ids.append(self.own[via[at]])
+            at = back[at]
+            more = at != first[which]
+            which, at = which[more], at[more]
+        names, ids = (np.concatenate([*x[::-1], np.zeros(0, np.int64)]).astype(np.int64) for x in (names, ids))
+        joined = ids[np.argsort(names, kind="stable")].astype("<u4").tobytes()
+        cut = np.concatenate([[0], 4 * np.cumsum(np.bincount(names, minlength=len(size)))]).tolist()
+        scores, gaps = best[last], np.full(len(size), -NONE)
+        np.subtract(scores, second[last], out=gaps, where=whole)
+        done = zip(segments, whole.tolist(), cut, cut[1:], scores.tolist(), gaps.tolist(), strict=False)
+        return [(s, (joined[a:b], x, gap)) for s, good, a, b, x, gap in done if good]
+
+    def encode_all(self, texts: list[str | None], n: int = N_BEST):
+        """``encode`` of each text; new segments of PIECE characters of texts are solved together."""
+        at = 0
+        while at < len(texts):
+            first, size = at, 0
+            while at < len(texts) and (at == first or size + len(texts[at] or "") <= PIECE):
+                size += len(texts[at] or "")
+                at += 1
+            cut = [self.cut(t) for t in texts[first:at]]
+            every = set().union(*cut)
+            if len(every) < KEPT // 2:
+                new = every.difference(self.kept)
+                if len(self.kept) + len(new) > KEPT // 2:
+                    self.turn()
+                    new = every
+                again = new.intersection(self.older)
+                self.kept.update(zip(again, map(self.older.get, again), strict=True))
+                self.kept.update(self.solve_all([s for s in new.difference(again) if len(s) <= LONG]))
+            while cut:
+                yield self.best(cut.pop(0), n)
+
+    def cut(self, text: str | None) -> list[str]:
+        return self.segment.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
     def encode(self, text: str | None, n: int = N_BEST) -> tuple[bytes, list[float], list[bytes]]:
         """(best ids as little-endian 32-bit numbers, scores of the n best, ids of the others)."""
-        if not text:
+        return self.best(self.cut(text), n)
+
+    def best(self, segments: list[str], n: int) -> tuple[bytes, list[float], list[bytes]]:
+        if not segments:
             return b"", [0.0], []
-        segments = self.segment.findall(SPACE + text.replace(" ", SPACE))
         solved = list(map(self.kept.get, segments))
         if None in solved:
             solved = [x or self.solve(s) for x, s in zip(solved, segments, strict=True)]
@@ -210,7 +321,7 @@ def encoded(docs: DataFrame, model: str, n: int = N_BEST, id_col: str = "doc_id"
     def run(batches):
         own = pieces(model)
         for ids, texts in batches:
-            done = [own.encode(t, n) for t in texts]
+            done = list(own.encode_all(texts, n))
             yield {"doc_id": ids, "ids": [d[0] for d in done], "scores": [d[1] for d in done], "others": [d[2] for d in done], "decoded": [own.decode(d[0]) for d in done]}
 
     schema_sql = "doc_id long, ids binary, scores array<double>, others array<binary>, decoded string"

@@ -77,3 +77,29 @@ def test_table_of_segments_is_bounded(monkeypatch):
     for i in range(300):
         p.encode(f"w{i} x{i * 7}")
         assert len(p.kept) <= 50
+
+
+def test_segments_solved_together_are_those_solved_alone(spark):
+    """The same ids, scores and distances to the last bit, whatever the order; those with a character without a piece are left to ``solve``."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [None, "", "日本! né\n\n  x😀y", "a" * 200]
+    p, alone = S.Pieces(S.default_model()), S.Pieces(S.default_model())
+    every = sorted({s for t in texts for s in p.cut(t)})
+    got = dict(p.solve_all(every))
+    assert len(got) > 0.9 * len(every) and "\n" in every and "\n" not in got
+    assert all(alone.solve(s) == answer for s, answer in got.items())
+    assert list(p.encode_all(texts)) == [alone.encode(t) for t in texts]
+    assert p.solve_all([]) == p.solve_all(["\n"]) == []
+
+
+def test_frequent_segments_outlive_a_full_table(monkeypatch):
+    p, solved = S.Pieces(S.default_model()), []
+    forward = S.Pieces.forward
+    monkeypatch.setattr(S, "KEPT", 50)
+    monkeypatch.setattr(S.Pieces, "forward", lambda self, s: solved.append(s) or forward(self, s))
+    for i in range(300):
+        p.encode(f"the w{i} x{i * 7}", 1)
+        assert len(p.kept) + len(p.older) <= 50
+    assert solved.count(S.SPACE + "the") == 1
+    for few in (10, 200):  # the table takes all of a piece's segments or fewer
+        monkeypatch.setattr(S, "KEPT", few)
+        assert list(p.encode_all(["the old man and the sea", "a new man and an old sea " * 9])) == [p.encode(t) for t in ("the old man and the sea", "a new man and an old sea " * 9)]
