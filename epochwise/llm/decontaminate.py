@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ PASSAGE, WINDOW, STRIDE = 48, 64, 16
 BLOCK = 512
 RANK = 512
 MIN_COSINE = 0.3
-#: Words that are projected at a time.
-SLAB = 1 << 14
+#: Words that are projected at a time; each distinct word of them is looked up once.
+SLAB = 1 << 10
 #: Share of an item's squared weight that a window must carry to be a candidate.
 MIN_MASS = 0.25
 #: Share of an item's words in order: alone, and together with its answer.
@@ -144,9 +145,11 @@ class _Block:
     def __init__(self, terms, idf, basis, latent, norms, owner, items):
         # the last row stands for words outside the vocabulary
         self.terms, self.idf = terms, np.append(idf, 0).astype(np.float32)
-        self.basis = np.vstack([basis * idf[:, None], np.zeros(basis.shape[1])]).astype(np.float32)
-        self.latent = (latent / norms[:, None]).astype(np.float32)
+        # a window's product with a passage is the sum of its words' products, so these are taken once
+        near = (basis * idf[:, None]) @ (latent / norms[:, None]).T
+        self.near = np.vstack([near, np.zeros(near.shape[1])]).astype(np.float32)
         self.owner, self.items = owner, items
+        self.kinds = {i: frozenset(w) for i, (w, _) in items.items()}
         self.floor = MIN_MASS * float((norms**2).min())
 
     def search(self, text: str | None) -> list[tuple]:
@@ -154,25 +157,25 @@ class _Block:
         words = words_of(text)
         if not words:
             return []
-        get = self.terms.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        at[at < 0] = len(self.idf) - 1
+        at = np.fromiter(map(self.terms.get, words, repeat(len(self.idf) - 1)), np.int64, len(words))
         best: dict[int, tuple] = {}
         # blocks of STRIDE words are summed once; a window is a few blocks in a row
         per = WINDOW // STRIDE
         for lo in range(0, len(words), SLAB):
             part = at[lo : lo + SLAB + WINDOW]
             edges = np.arange(0, len(part), STRIDE)
-            sums = np.add.reduceat(self.basis[part], edges, axis=0)
+            kinds, which = np.unique(part, return_inverse=True)
+            times = np.bincount(np.arange(len(part)) // STRIDE * len(kinds) + which, minlength=len(edges) * len(kinds))
+            sums = times.reshape(len(edges), len(kinds)).astype(np.float32) @ self.near[kinds]
             mass = np.add.reduceat(self.idf[part] ** 2, edges)
             n = max(1, min(len(edges) - per + 1, SLAB // STRIDE))
             pad = max(0, n + per - 1 - len(edges))
             sums, mass = np.pad(sums, ((0, pad), (0, 0))), np.pad(mass, (0, pad))
-            vectors, norms = sums[:n].copy(), mass[:n].copy()
+            cosine, norms = sums[:n].copy(), mass[:n].copy()
             for k in range(1, per):
-                vectors += sums[k : k + n]
+                cosine += sums[k : k + n]
                 norms += mass[k : k + n]
-            cosine = vectors @ self.latent.T / np.sqrt(np.maximum(norms, 1e-9))[:, None]
+            cosine /= np.sqrt(np.maximum(norms, 1e-9))[:, None]
             for k, p in zip(*np.nonzero((cosine >= MIN_COSINE) & (norms >= self.floor)[:, None]), strict=True):
                 item = int(self.owner[p])
                 found = self._check(item, words, lo + int(k) * STRIDE, float(cosine[k, p]))
@@ -189,7 +192,7 @@ class _Block:
             return (item, cosine, 1.0, True, start, len(own)) if ok else None
         # words of the item that the region lacks cannot be in the subsequence
         here = set(region)
-        if sum(w in here for w in own) < LCS_WITH_ANSWER * len(own):
+        if len(self.kinds[item] - here) > len(own) - LCS_WITH_ANSWER * len(own) or sum(w in here for w in own) < LCS_WITH_ANSWER * len(own):
             return None
         share = lcs(own, region) / len(own)
         if share < LCS_WITH_ANSWER:

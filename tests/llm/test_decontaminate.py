@@ -80,3 +80,21 @@ def test_blocks_hold_no_more_passages_than_the_rank(spark, monkeypatch):
     got = sorted((r.doc_id, r.item_id) for r in D.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
     assert max(sizes) <= 16
     assert got == sorted([(i, i) for i, _ in items] + [(41, 41)])
+
+
+def test_projection_takes_each_distinct_word_once():
+    """The product of a window with a passage by way of the latent space, in long texts too, without a row for each word of the text."""
+    rng = np.random.default_rng(5)
+    terms = {f"w{k}".encode(): k for k in range(60)}
+    idf, basis = rng.uniform(0.5, 3, 60), np.linalg.qr(rng.standard_normal((60, 12)))[0]
+    cut = [rng.integers(0, 60, 40) for _ in range(12)]
+    latent, norms = np.stack([(basis * idf[:, None])[c].sum(0) for c in cut]), np.array([np.sqrt((idf[c] ** 2).sum()) for c in cut])
+    items = {i: ([b"w%d" % k for k in c], [b"w%d" % cut[i][-1]]) for i, c in enumerate(cut)}
+    block = D._Block(terms, idf, basis, latent, norms, list(items), items)
+    assert block.near.shape == (61, 12)
+    text = [b"other"] * 3000 + items[4][0] + [b"other"] * 5000
+    hits = {h[0]: h for h in block.search(b" ".join(text).decode())}
+    at = hits[4][4]
+    words = [terms[w] for w in text[at : at + D.WINDOW] if w in terms]
+    window = (basis * idf[:, None])[words].sum(0) @ latent[4] / norms[4] / np.sqrt((idf[words] ** 2).sum())
+    assert set(hits) == {4} and 3000 - D.WINDOW < at < 3040 and np.isclose(hits[4][1], window, atol=1e-5)
