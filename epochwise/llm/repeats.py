@@ -1,7 +1,7 @@
 """Repeated token windows over a corpus: phrases by a rolling hash, a dictionary of phrases by trigger, content compared.
 
 A document is a sequence of tokens (bytes or words).  Every window of ``n`` tokens is given to the trigger in it: of its
-grams of ``w`` tokens the one with the smallest rolling hash, the leftmost of equal ones.  Neighbouring windows share
+grams of ``w`` tokens the one with the smallest rolling hash (its high 32 bits), the leftmost of equal ones.  Neighbouring windows share
 triggers, so a document falls into phrases: a trigger with the run of windows that it serves, and the tokens under them.
 Equal windows have equal triggers, hence only phrases with equal triggers need comparing, and equal phrases once.
 
@@ -33,6 +33,7 @@ from epochwise.session import cut_lineage
 
 BASE = 0x9E3779B97F4A7C15
 NULL_ID = -(1 << 63)
+LOW = np.uint64(0xFFFFFFFF)
 #: Tokens that are hashed at a time; a longer document is hashed alone.
 PIECE = 1 << 18
 #: Phrases under one trigger, summed over chunks, above which its windows travel one by one.
@@ -49,18 +50,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to ``n`` or more of the base and of its inverse; a worker keeps those that a piece needs."""
+    if n not in _POWERS:
+        if n < PIECE:
+            return powers(PIECE)
+        found = [np.cumprod(np.r_[np.ones(1, np.uint64), np.full(n, x, np.uint64)], dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
+        if n > PIECE:
+            return tuple(found)
+        _POWERS[n] = tuple(found)
+    return _POWERS[n]
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 class Rolling:
     """Hashes of any stretch of a token array in constant time; all arithmetic is modulo 2**64 with an odd base."""
 
     def __init__(self, tokens: np.ndarray):
-        n = len(tokens)
-        up = np.full(n, BASE, np.uint64)
-        down = np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
-        if n:
-            up[0] = 1
-        down[0] = 1
-        self.down = np.cumprod(down, dtype=np.uint64)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * np.cumprod(up, dtype=np.uint64), dtype=np.uint64)])
+        up, self.down = powers(len(tokens))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * up[: len(tokens)], dtype=np.uint64)])
 
     def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -87,30 +97,30 @@ class Phrases:
 def phrases(tokens: np.ndarray, lengths: np.ndarray, n: int, w: int) -> Phrases:
     """Phrases of documents laid end to end; no window crosses a document's end."""
     rolling = Rolling(tokens)
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
     starts = np.arange(max(0, len(tokens) - n + 1))
     if not len(starts):
         none = np.zeros(0, np.int64)
         return Phrases(none, none, none, none.astype(np.uint64), none.astype(np.uint64), rolling)
     grams = np.arange(len(tokens) - w + 1)
     value = rolling.stretch(grams, grams + w)
-    place = grams
+    # high half of the hash, then the place: the smallest is the leftmost of the smallest hashes; documents have less than 2**32 tokens
+    least = value & ~LOW | grams.astype(np.uint64)
     k, width = 1, n - w + 1
-    while k < width:  # smallest hash and its leftmost place over the next k grams
+    while k < width:  # over the next k grams
         step = min(k, width - k)
-        left, right = value[: len(value) - step], value[step:]
-        take = right < left
-        value, place = np.where(take, right, left), np.where(take, place[step:], place[: len(place) - step])
+        least = np.minimum(least[: len(least) - step], least[step:])
         k += step
-    good = starts + n <= ends[starts]
-    starts, value, place = starts[good], value[: len(good)][good], place[: len(good)][good]
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    good = starts + n <= ends[: len(starts)]
+    starts, place = starts[good], (least[: len(good)][good] & LOW).astype(np.int64)
     if not len(starts):
         return phrases(tokens[:0], lengths[:0], n, w)
-    new = np.r_[True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1) | (owner[starts[1:]] != owner[starts[:-1]])]
+    # windows of two documents never start side by side, or have different places
+    new = np.r_[True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]
     head = np.flatnonzero(new)
     first, last = starts[head], starts[np.r_[head[1:] - 1, len(starts) - 1]]
-    return Phrases(owner[first], first, last, value[head], rolling.stretch(first, last + n), rolling)
+    owner = np.searchsorted(np.cumsum(lengths), first, "right")
+    return Phrases(owner, first, last, value[place[head]], rolling.stretch(first, last + n), rolling)
 
 
 def _pieces(texts: list[bytes], view: Callable):

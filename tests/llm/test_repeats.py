@@ -138,3 +138,22 @@ def test_matching_statistics_stay_at_the_window_length():
     assert shard.repeated(b"y x a b c d".split(), 2, 3) == [(2, 3)]
     assert shard.repeated(b"x a b c".split(), 3, 3) == [(0, 1)]
     assert shard.repeated(b"z a b c d".split(), 1, 3) == []
+
+
+def test_triggers_against_brute_force(monkeypatch):
+    """Each window is served by the leftmost of the smallest high halves of its grams' hashes, whatever stands before or after it."""
+    mix = R.mix
+    monkeypatch.setattr(R, "mix", lambda h: (mix(h) % np.uint64(7)) << np.uint64(32) | mix(h) >> np.uint64(32))  # ties in plenty
+    rng, n, w = np.random.default_rng(2), 9, 4
+    lengths = np.array([0, 40, 3, 0, 9, 8, 200, 30, 0])
+    tokens = rng.integers(1, 5, lengths.sum()).astype(np.uint64)
+    p = R.phrases(tokens, lengths, n, w)
+    got = {s: (d, t) for d, a, b, t in zip(p.doc, p.first, p.last, p.trigger, strict=True) for s in range(a, b + 1)}
+    want, begin = {}, 0
+    for d, size in enumerate(lengths):
+        for s in range(begin, begin + size - n + 1):
+            grams = [p.rolling.stretch(np.array([k]), np.array([k + w]))[0] for k in range(s, s + n - w + 1)]
+            want[s] = (d, min(grams, key=lambda h: h >> np.uint64(32)))
+        begin += size
+    assert got == want and len(want) > 200
+    assert R.powers(10) is R.powers(20)
