@@ -30,6 +30,8 @@ SPACE = "▁"
 KEPT = 120_000
 #: Characters of texts whose segments are looked up together, and the longest segment that is solved with others.
 PIECE, LONG = 1 << 19, 32
+#: Segments that are solved together; each takes some 3 KB while it is.
+TOGETHER = 1 << 13
 N_BEST = 3
 #: Characters of a start of a text that decide which pieces start there, if none of the beginnings is longer.
 AHEAD = 5
@@ -255,7 +257,9 @@ class Pieces:
                     new = every
                 again = new.intersection(self.older)
                 self.kept.update(zip(again, map(self.older.get, again), strict=True))
-                self.kept.update(self.solve_all([s for s in new.difference(again) if len(s) <= LONG]))
+                new = [s for s in new.difference(again) if len(s) <= LONG]
+                for k in range(0, len(new), TOGETHER):
+                    self.kept.update(self.solve_all(new[k : k + TOGETHER]))
             while cut:
                 yield self.best(cut.pop(0), n)
 
