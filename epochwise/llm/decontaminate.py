@@ -170,28 +170,36 @@ class _Block:
             mass = np.add.reduceat(self.idf[part] ** 2, edges)
             n = max(1, min(len(edges) - per + 1, SLAB // STRIDE))
             pad = max(0, n + per - 1 - len(edges))
-            sums, mass = np.pad(sums, ((0, pad), (0, 0))), np.pad(mass, (0, pad))
+            if pad:
+                sums, mass = np.pad(sums, ((0, pad), (0, 0))), np.pad(mass, (0, pad))
             cosine, norms = sums[:n].copy(), mass[:n].copy()
             for k in range(1, per):
                 cosine += sums[k : k + n]
                 norms += mass[k : k + n]
             cosine /= np.sqrt(np.maximum(norms, 1e-9))[:, None]
-            for k, p in zip(*np.nonzero((cosine >= MIN_COSINE) & (norms >= self.floor)[:, None]), strict=True):
+            around: dict = {}  # regions of the window at hand
+            before = -1
+            for k, p in zip(*(x.tolist() for x in np.nonzero((cosine >= MIN_COSINE) & (norms >= self.floor)[:, None])), strict=True):
                 item = int(self.owner[p])
-                found = self._check(item, words, lo + int(k) * STRIDE, float(cosine[k, p]))
+                if k != before:
+                    around.clear()
+                    before = k
+                found = self._check(item, words, lo + k * STRIDE, float(cosine[k, p]), around)
                 if found and (item not in best or found[1:3] > best[item][1:3]):
                     best[item] = found
         return list(best.values())
 
-    def _check(self, item: int, words: list[bytes], start: int, cosine: float) -> tuple | None:
+    def _check(self, item: int, words: list[bytes], start: int, cosine: float, around: dict) -> tuple | None:
         own, answer = self.items[item]
         reach = max(0, len(own) - PASSAGE) + STRIDE
-        region = words[max(0, start - reach) : start + WINDOW + reach]
+        if reach not in around:
+            region = words[max(0, start - reach) : start + WINDOW + reach]
+            around[reach] = region, set(region)
+        region, here = around[reach]
         if len(own) < SHORT_ITEM:
             ok = contains(own, region)
             return (item, cosine, 1.0, True, start, len(own)) if ok else None
         # words of the item that the region lacks cannot be in the subsequence
-        here = set(region)
         if len(self.kinds[item] - here) > len(own) - LCS_WITH_ANSWER * len(own) or sum(w in here for w in own) < LCS_WITH_ANSWER * len(own):
             return None
         share = lcs(own, region) / len(own)
