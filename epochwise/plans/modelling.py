@@ -164,19 +164,25 @@ _FEATURES_SQL = [
     "(n_conditions - 2) / 1.5::DOUBLE", "CASE WHEN sex = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE", "CASE WHEN cyp2d6 = 'PM' THEN 1.0 ELSE 0.0 END::DOUBLE",
     "CASE WHEN hla_b THEN 1.0 ELSE 0.0 END::DOUBLE", "epoch / 13.0::DOUBLE", "(sbp - 132) / 14", "(alt - 26) / 12", "CASE WHEN smoking = 'current' THEN 1.0 ELSE 0.0 END::DOUBLE",
 ]
-_FV = ", fv AS (SELECT subject, epoch, " + ", ".join(f"{e} AS f{i}" for i, e in enumerate(_FEATURES_SQL)) + ", dose_per_kg * 3 + age / 10 AS y FROM expo)"
+
+
+def _fv(own, level):
+    return f", fv AS (SELECT subject, epoch, {own}" + ", ".join(f"{e} AS f{i}" for i, e in enumerate(_FEATURES_SQL)) + f", {level} * 3 + age / 10 AS y FROM expo)"
+
+
+_FV, _KIN_FV = _fv("", "dose_per_kg"), _fv("c_avg, ", "c_trough")
 _F = [f"f{i}" for i in range(14)]
 
 
-def featured(spark, d):
-    e = exposed(spark, d)
+def featured(rows, level):
+    """The feature vector of exposure rows, and a target made of their ``level`` and age."""
     vec = [c.alias(f"f{i}") for i, c in enumerate(models.feature_vector(13))]
-    return e.select("subject", "epoch", *vec, (F.col("dose_per_kg") * 3 + F.col("age") / 10).alias("y"))
+    return rows.select("subject", "epoch", *vec, (F.col(level) * 3 + F.col("age") / 10).alias("y"))
 
 
-@query("mod05_feature_vector", sql("cohort_cust obs_orders", f", {_EXPO}{_FV} SELECT subject, epoch, " + ", ".join(f"{r(f)} AS {f}" for f in _F) + " FROM fv"))
+@query("mod05_feature_vector", sql("cohort_cust obs_orders", f", {_KIN}{_KIN_FV} SELECT subject, epoch, " + ", ".join(f"{r(f)} AS {f}" for f in _F) + " FROM fv"))
 def _(spark, d):
-    return rounded(featured(spark, d).select("subject", "epoch", *_F), _F)
+    return rounded(featured(kinetic(spark, d), "c_trough").select("subject", "epoch", *_F), _F)
 
 
 _PAIRS = [(i, j) for i in range(15) for j in range(i, 15)]
@@ -192,7 +198,7 @@ _NAMES = [*_F, "y"]
     ),
 )
 def _(spark, d):
-    return rounded(models.gram_sums(featured(spark, d), _F, "y"), ["s"], 3)
+    return rounded(models.gram_sums(featured(exposed(spark, d), "dose_per_kg"), _F, "y"), ["s"], 3)
 
 
 _SYSTEM = ", ".join("[" + ", ".join(f"g_{min(i, j)}_{max(i, j)}" + (" + 1.0::DOUBLE" if i == j and i > 0 else "") for j in range(15)) + "]" for i in range(14))
@@ -212,7 +218,7 @@ _SYSTEM = ", ".join("[" + ", ".join(f"g_{min(i, j)}_{max(i, j)}" + (" + 1.0::DOU
     ),
 )
 def _(spark, d):
-    beta = models.ridge_fit(featured(spark, d), _F, "y", 1.0)
+    beta = models.ridge_fit(featured(exposed(spark, d), "dose_per_kg"), _F, "y", 1.0)
     return rounded(spark.createDataFrame([(f"f{i}", float(b)) for i, b in enumerate(beta)], "feature string, coefficient double"), ["coefficient"])
 
 
@@ -230,7 +236,7 @@ _DOT = " + ".join(f"{b}::DOUBLE * f{i}" for i, b in enumerate(_BETA))
     ),
 )
 def _(spark, d):
-    f = models.split_holdout(featured(spark, d), "5", ["subject", "epoch"])
+    f = models.split_holdout(featured(exposed(spark, d), "dose_per_kg"), "5", ["subject", "epoch"])
     scored = f.withColumn("yhat", models.linear_score(F.array(*_F), _BETA, 14))
     return rounded(models.fit_metrics(scored, "y", "yhat", ["holdout"]), ["rmse", "r2"])
 
@@ -238,7 +244,7 @@ def _(spark, d):
 @query("mod08_linear_scores", sql("cohort_cust obs_orders", f", {_EXPO}{_FV} SELECT subject, epoch, {r(_DOT)} AS score, 0.0::DOUBLE AS missing, 0.0::DOUBLE AS ill_sized FROM fv"))
 def _(spark, d):
     vec = F.array(*_F)
-    return featured(spark, d).select(
+    return featured(exposed(spark, d), "dose_per_kg").select(
         "subject",
         "epoch",
         rnd(models.linear_score(vec, _BETA, 14)).alias("score"),
