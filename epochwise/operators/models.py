@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import DoubleType, IntegerType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
 from epochwise.functions import kinetics as kin
 from epochwise.functions.hashing import uniform
@@ -181,21 +181,26 @@ def gram_sums(rows: DataFrame, features: list[str], target: str) -> DataFrame:
 
     The target has the last index.  Each task multiplies its Arrow batches and
     emits one small matrix, so the shuffle carries tasks x features^2 numbers.
+    A row counts in every product whose two values it has; without one, the sum is null.
     """
     names = [*features, target]
     k = len(names)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k))
+        total, count = np.zeros((k, k)), np.zeros((k, k))
         for pdf in batches:
             x = pdf.to_numpy(dtype=float)
+            known = ~np.isnan(x)
+            x = np.where(known, x, 0.0)
             total += x.T @ x
+            count += known.T.astype(float) @ known.astype(float)
         i, j = np.triu_indices(k)
-        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "s": total[i, j]})
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "s": total[i, j], "n": count[i, j].astype("int64")})
 
-    schema = StructType().add("i", IntegerType()).add("j", IntegerType()).add("s", DoubleType())
+    schema = StructType().add("i", IntegerType()).add("j", IntegerType()).add("s", DoubleType()).add("n", LongType())
     columns = [F.col(c).cast("double").alias(c) for c in names]
-    return rows.select(*columns).dropna().mapInPandas(partial, schema).groupBy("i", "j").agg(F.sum("s").alias("s"))
+    sums = rows.select(*columns).mapInPandas(partial, schema).groupBy("i", "j")
+    return sums.agg(F.when(F.sum("n") > 0, F.sum("s")).alias("s"))
 
 
 #: Groups in which the triangles of tasks are merged before the last merge.

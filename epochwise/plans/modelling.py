@@ -193,12 +193,12 @@ _NAMES = [*_F, "y"]
     "mod06_gram_sums",
     sql(
         "cohort_cust obs_orders",
-        f", {_EXPO}{_FV}, g AS (SELECT " + ", ".join(f"sum({_NAMES[i]} * {_NAMES[j]}) AS g_{i}_{j}" for i, j in _PAIRS) + " FROM fv) "
+        f", {_KIN}{_KIN_FV}, g AS (SELECT " + ", ".join(f"sum({_NAMES[i]} * {_NAMES[j]}) AS g_{i}_{j}" for i, j in _PAIRS) + " FROM fv) "
         + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {r(f'g_{i}_{j}', 3)} AS s FROM g" for i, j in _PAIRS),
     ),
 )
 def _(spark, d):
-    return rounded(models.gram_sums(featured(exposed(spark, d), "dose_per_kg"), _F, "y"), ["s"], 3)
+    return rounded(models.gram_sums(featured(kinetic(spark, d), "c_trough"), _F, "y"), ["s"], 3)
 
 
 _SYSTEM = ", ".join("[" + ", ".join(f"g_{min(i, j)}_{max(i, j)}" + (" + 1.0::DOUBLE" if i == j and i > 0 else "") for j in range(15)) + "]" for i in range(14))
