@@ -230,13 +230,13 @@ _DOT = " + ".join(f"{b}::DOUBLE * f{i}" for i, b in enumerate(_BETA))
     "mod07_holdout_metrics",
     sql(
         "cohort_cust obs_orders",
-        f""", {_EXPO}{_FV}, s AS (SELECT y, {_DOT} AS yhat, {uniform_sql("'5|' || subject || '|' || epoch")} < 0.2 AS holdout FROM fv),
+        f""", {_KIN}{_KIN_FV}, s AS (SELECT y, {_DOT} AS yhat, {uniform_sql("'5|' || subject || '|' || epoch")} < 0.2 AS holdout FROM fv),
         g AS (SELECT holdout, avg(y) AS m FROM s GROUP BY holdout)
         SELECT s.holdout, count(*) AS n, {r('sqrt(avg(pow(y - yhat, 2)))')} AS rmse, {r('1 - sum(pow(y - yhat, 2)) / sum(pow(y - m, 2))')} AS r2 FROM s JOIN g USING (holdout) GROUP BY s.holdout""",
     ),
 )
 def _(spark, d):
-    f = models.split_holdout(featured(exposed(spark, d), "dose_per_kg"), "5", ["subject", "epoch"])
+    f = models.split_holdout(featured(kinetic(spark, d), "c_trough"), "5", ["subject", "epoch"])
     scored = f.withColumn("yhat", models.linear_score(F.array(*_F), _BETA, 14))
     return rounded(models.fit_metrics(scored, "y", "yhat", ["holdout"]), ["rmse", "r2"])
 
