@@ -241,10 +241,10 @@ def _(spark, d):
     return rounded(models.fit_metrics(scored, "y", "yhat", ["holdout"]), ["rmse", "r2"])
 
 
-@query("mod08_linear_scores", sql("cohort_cust obs_orders", f", {_EXPO}{_FV} SELECT subject, epoch, {r(_DOT)} AS score, 0.0::DOUBLE AS missing, 0.0::DOUBLE AS ill_sized FROM fv"))
+@query("mod08_linear_scores", sql("cohort_cust obs_orders", f", {_KIN}{_KIN_FV} SELECT subject, epoch, {r(_DOT)} AS score, 0.0::DOUBLE AS missing, 0.0::DOUBLE AS ill_sized FROM fv"))
 def _(spark, d):
     vec = F.array(*_F)
-    return featured(exposed(spark, d), "dose_per_kg").select(
+    return featured(kinetic(spark, d), "c_trough").select(
         "subject",
         "epoch",
         rnd(models.linear_score(vec, _BETA, 14)).alias("score"),
