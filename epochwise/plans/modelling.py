@@ -275,7 +275,7 @@ def _(spark, d):
     "mod10_risk_curve_fit",
     sql(
         "cohort_cust obs_orders",
-        f""", {_EXPO}{_COV}, s AS (SELECT subject, first(female) AS female, first(age_z) AS age_z, first(comorbidity_z) AS cz FROM cov GROUP BY subject),
+        f""", {_KIN}{_COV}, s AS (SELECT subject, first(female) AS female, first(age_z) AS age_z, first(comorbidity_z) AS cz FROM cov GROUP BY subject),
         sh AS (SELECT 'cough' AS term, avg(0.45::DOUBLE * female + 0.1::DOUBLE * age_z) AS shift FROM s UNION ALL SELECT 'headache', avg(0.35::DOUBLE * female - 0.1::DOUBLE * age_z + 0.12::DOUBLE * cz) FROM s),
         u AS (SELECT dose, exposure_ratio AS v, row_number() OVER (PARTITION BY dose ORDER BY exposure_ratio) AS i, count(*) OVER (PARTITION BY dose) AS n FROM expo WHERE epoch > 0),
         md AS (SELECT dose, v AS ratio FROM u WHERE i = n // 2 + 1),
@@ -287,7 +287,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    rows = exposed(spark, d)
+    rows = kinetic(spark, d)
     shift = models.covariate_shift(subjects(spark, d).join(rows.select("subject").distinct(), "subject"), {t["term"]: t["coefficients"] for t in TERMS[:2]}, covariates())
     mid = ranks.order_statistics(rows.where("epoch > 0"), "exposure_ratio", {"ratio": F.floor(F.col("n") / 2) + 1}, ["dose"])
     targets = {"cough": (0.05, 0.12, 0.3), "headache": (0.0, 0.1, 0.2)}
