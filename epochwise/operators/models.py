@@ -142,7 +142,8 @@ def risk_scores(rows: DataFrame, terms: list[dict], covariates: dict[str, Column
     scores are an array of literal-coefficient expressions: one pass over the
     rows, no join and no shuffle.
     """
-    early = EARLY_RISK * F.exp(-F.greatest(F.lit(0), F.col("epoch")) / EARLY_EPOCHS)
+    # a row without an epoch has no known risk
+    early = F.when(F.col("epoch").isNotNull(), EARLY_RISK * F.exp(-F.greatest(F.lit(0), F.col("epoch")) / EARLY_EPOCHS))
     dose_part = F.log1p(F.greatest(F.lit(0.0), F.col("exposure_ratio")))
     entries = []
     for t in terms:
